@@ -1,20 +1,17 @@
-"""The behavioural features of every entity over all trailing windows, in one wide row per entity.
+"""The behavioural features of every entity over all trailing windows.
 
-Three partial results, each keyed by entity, make up the features:
+Two partial results, each keyed by (entity, window), make up the features:
 
-* activity: conditional counts, one aggregate over the events;
-* values: how often each value of a column occurs (distinct counts, entropies, reciprocal edges),
-  counted per (entity, column, value) first so that a busy entity never gathers in one task;
+* values: how often each value of a column occurs (counters, distinct counts, entropies, reciprocal
+  edges), counted per (entity, window, column, value) first, so that a busy entity never gathers in
+  one task;
 * sequence: gaps and distances between consecutive events, over range-partitioned chunks.
-
-Windows are nested, so each partial result carries one counter per window instead of repeating
-events per window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,8 +19,8 @@ from pyspark.sql import functions as F
 
 from watchmere.functions.columns import filled, haversine_km, ratio, zero_if_null
 from watchmere.operators.sequence import CHUNK, chunk_window, with_chunks
-from watchmere.operators.windows import age_micros, in_window, window_events
-from watchmere.schemas import WINDOW_SECONDS
+from watchmere.operators.windows import in_windows
+from watchmere.schemas import WINDOW_SECONDS, as_timestamp
 
 # Feature names in their order, by family.
 FAMILIES = {
@@ -94,27 +91,28 @@ TYPE_COUNTERS = {
     "network_connections": "network",
 }
 
-CONNECTION = "connection"
+KEYS = ["entity_id", "window_size"]
 
 
 @dataclass(frozen=True)
 class Family:
-    """A feature family: which partial results it needs and how a window's features follow.
+    """A feature family: which partial results it needs and how its features follow from them.
 
-    `features` maps (partial columns by name, window seconds) to a column per feature name.
+    `features` maps (partial column by name, window seconds) to a column per feature name.
     """
 
     names: Sequence[str]
-    features: Callable[[Callable[[str], Column], int], dict[str, Column]]
-    dimensions: Sequence[str] = field(default=())
-    entropies: Sequence[str] = field(default=())
-    activity: Sequence[str] = field(default=())
+    features: Callable[[Callable[[str], Column], Column], dict[str, Column]]
+    activity: Sequence[str] = ()
+    distinct: Sequence[str] = ()
+    entropies: Sequence[str] = ()
+    links: bool = False
     gaps: bool = False
     places: bool = False
 
 
-def _hours(window: int) -> float:
-    return max(window / 3600.0, MIN_HOURS)
+def _hours(window: Column) -> Column:
+    return F.greatest(window / 3600.0, F.lit(MIN_HOURS))
 
 
 def _frequency(part, window):
@@ -126,13 +124,8 @@ def _frequency(part, window):
 
 
 def _entropy(part, window):
-    return {
-        "source_ip_entropy": part("entropy_source_ip"),
-        "hostname_entropy": part("entropy_hostname"),
-        "event_type_entropy": part("entropy_event_type"),
-        "command_entropy": part("entropy_command_line"),
-        "dns_query_entropy": part("entropy_dns_query"),
-    }
+    columns = ("source_ip", "hostname", "event_type", "command_line", "dns_query")
+    return dict(zip(FAMILIES["entropy"], [part(f"entropy_{column}") for column in columns]))
 
 
 def _geo(part, window):
@@ -153,12 +146,12 @@ def _timeseries(part, window):
     variance = F.greatest(ratio(part("gap_squares"), gaps) - mean * mean, F.lit(0.0))
     regular = F.greatest(F.lit(0.0), 1 - F.least(ratio(F.sqrt(variance), mean), F.lit(1.0)))
     return {
-        "events_per_minute": n / max(window / 60.0, MIN_MINUTES),
+        "events_per_minute": n / F.greatest(window / 60.0, F.lit(MIN_MINUTES)),
         "events_per_hour": n / _hours(window),
         "night_activity_ratio": zero_if_null(ratio(part("night"), n)),
         "weekend_activity_ratio": zero_if_null(ratio(part("weekend"), n)),
         "periodicity_score": zero_if_null(F.when(n >= PERIODICITY_MIN_EVENTS, regular)),
-        "burst_score": F.least(n / max(window, 1) / BURST_EVENTS_PER_SECOND, F.lit(1.0)),
+        "burst_score": F.least(n / F.greatest(window, F.lit(1)) / BURST_EVENTS_PER_SECOND, F.lit(1.0)),
     }
 
 
@@ -169,7 +162,7 @@ def _graph(part, window):
     return {
         "degree_centrality": links / F.greatest(possible, F.lit(1.0)),
         "betweenness_centrality": hosts / F.greatest(ips, F.lit(1.0)),
-        "clustering_coefficient": F.when(links >= 2, part("reciprocal") / F.greatest(links, F.lit(1.0))).otherwise(0.0),
+        "clustering_coefficient": F.when(links >= 2, part("reciprocal") / links).otherwise(0.0),
         "new_connections": hosts,
         "connection_diversity": hosts / F.greatest(links, F.lit(1.0)),
         "access_pattern_score": zero_if_null(ratio(part("changes"), part("n"))),
@@ -179,178 +172,154 @@ def _graph(part, window):
 # Further families can be added under a new name; their partial results must be among those below.
 REGISTRY: dict[str, Family] = {
     "frequency": Family(
-        FAMILIES["frequency"], _frequency, dimensions=("hostname", "source_ip"), activity=("n", *TYPE_COUNTERS)
+        FAMILIES["frequency"], _frequency, activity=("n", *TYPE_COUNTERS), distinct=("hostname", "source_ip")
     ),
     "entropy": Family(
         FAMILIES["entropy"],
         _entropy,
         entropies=("source_ip", "hostname", "event_type", "command_line", "dns_query"),
     ),
-    "geo": Family(FAMILIES["geo"], _geo, dimensions=("country", "city"), places=True),
+    "geo": Family(FAMILIES["geo"], _geo, distinct=("country", "city"), places=True),
     "timeseries": Family(FAMILIES["timeseries"], _timeseries, activity=("n", "night", "weekend"), gaps=True),
     "graph": Family(
-        FAMILIES["graph"], _graph, dimensions=("hostname", "source_ip", CONNECTION), activity=("n", "changes")
+        FAMILIES["graph"], _graph, activity=("n", "changes"), distinct=("hostname", "source_ip"), links=True
     ),
 }
 
 
-def _conditions() -> dict[str, Column]:
-    kind = F.lower("event_type")
+def _slot() -> Column:
+    """Day or night, working day or weekend: four values."""
     hour = F.hour("event_time")
-    tests = {name: kind.contains(text) for name, text in TYPE_COUNTERS.items()}
-    tests["n"] = F.lit(True)
-    tests["night"] = (hour >= NIGHT_START_HOUR) | (hour < NIGHT_END_HOUR)
-    tests["weekend"] = F.weekday("event_time") >= 5
-    tests["changes"] = kind.contains("delete") | kind.contains("modify")
+    night = F.when((hour >= NIGHT_START_HOUR) | (hour < NIGHT_END_HOUR), "night").otherwise("day")
+    return F.concat_ws(" ", night, F.when(F.weekday("event_time") >= 5, "weekend").otherwise("week"))
+
+
+def _activity_tests() -> dict[str, tuple[str, Column]]:
+    """Counters that follow from value counts: name to (column, test of its value)."""
+    value, kind = F.col("value"), F.lower("value")
+    tests = {name: ("event_type", kind.contains(text)) for name, text in TYPE_COUNTERS.items()}
+    tests["n"] = ("event_type", F.lit(True))
+    tests["changes"] = ("event_type", kind.contains("delete") | kind.contains("modify"))
+    tests["night"] = ("slot", value.startswith("night"))
+    tests["weekend"] = ("slot", value.endswith("weekend"))
     return tests
 
 
-def _activity(recent: DataFrame, windows: Sequence[int], names: Sequence[str]) -> DataFrame:
-    tests = _conditions()
-    return recent.groupBy("entity_id").agg(
-        *[
-            F.count_if(in_window(F.col("age"), w) & tests[name]).alias(f"{name}_{w}")
-            for w in windows
-            for name in names
-        ]
-    )
-
-
 def _values(
-    recent: DataFrame, windows: Sequence[int], dimensions: Sequence[str], entropies: Sequence[str]
+    held: DataFrame, activity: Sequence[str], distinct: Sequence[str], entropies: Sequence[str], links: bool
 ) -> DataFrame:
-    """Distinct counts, entropies and reciprocal edges from counts per (entity, column, value)."""
-    columns = [name for name in dict.fromkeys([*dimensions, *entropies]) if name != CONNECTION]
-    linked = CONNECTION in dimensions
+    """Counters, distinct counts, entropies and reciprocal edges from counts per value.
+
+    An edge (address, host) and its reverse share one value, the smaller end first, so that the
+    number of reversed pairs follows from how many of its rows run each way.
+    """
+    tests = {name: test for name, test in _activity_tests().items() if name in activity}
+    columns = list(dict.fromkeys([*(column for column, _ in tests.values()), *distinct, *entropies]))
     source, target = filled("source_ip"), filled("hostname")
-    picked = [
-        F.col(name).alias(name) if name == "event_type" else filled(name).alias(name) for name in columns
-    ]
-    if linked:
-        # One key for an edge and its reverse: the smaller end first, its length telling them apart.
+    special = {"event_type": F.coalesce("event_type", F.lit("")), "slot": _slot()}
+    picked = [(special[c] if c in special else filled(c)).alias(c) for c in columns]
+    if links:
         low, high = F.least(source, target), F.greatest(source, target)
         both = source.isNotNull() & target.isNotNull()
-        key = F.when(both, F.concat(F.length(low).cast("string"), F.lit(":"), low, high))
-        picked.append(key.alias(CONNECTION))
-        columns = [*columns, CONNECTION]
-    forward = (source < target) if linked else F.lit(None).cast("boolean")
-    loop = (source == target) if linked else F.lit(None).cast("boolean")
-    slim = recent.select("entity_id", "age", forward.alias("forward"), loop.alias("loop"), *picked)
-    long = slim.unpivot(["entity_id", "age", "forward", "loop"], columns, "dimension", "value").filter(
-        F.col("value").isNotNull()
+        # The length tells where the first end stops.
+        edge = F.when(both, F.concat(F.length(low).cast("string"), F.lit(":"), low, high))
+        picked += [edge.alias("edge"), (source < target).alias("forward"), (source == target).alias("loop")]
+        columns.append("edge")
+    carried = ["forward", "loop"] if links else []
+    long = (
+        held.select(*KEYS, *picked)
+        .unpivot([*KEYS, *carried], columns, "dimension", "value")
+        .filter(F.col("value").isNotNull())
     )
-    per_value = long.groupBy("entity_id", "dimension", "value").agg(
-        *[F.count_if(in_window(F.col("age"), w)).alias(f"c_{w}") for w in windows],
-        *(
-            [F.count_if(in_window(F.col("age"), w) & F.col("forward")).alias(f"f_{w}") for w in windows]
-            + [F.max("loop").alias("loop")]
-            if linked
-            else []
-        ),
-    )
-    out = []
-    for w in windows:
-        count = F.col(f"c_{w}")
-        for name in dict.fromkeys(dimensions):
-            here = F.col("dimension") == name
-            if name == CONNECTION:
-                ahead = F.col(f"f_{w}")
-                pairs = F.when(F.col("loop"), F.bround(count * (count - 1) / 2)).otherwise(ahead * (count - ahead))
-                out.append(F.sum(F.when(here, count)).alias(f"links_{w}"))
-                out.append(F.sum(F.when(here, pairs.cast("double"))).alias(f"reciprocal_{w}"))
-            else:
-                out.append(F.count_if(here & (count > 0)).alias(f"distinct_{name}_{w}"))
-        for name in entropies:
-            here = (F.col("dimension") == name) & (count > 0)
-            out.append(F.sum(F.when(here, count)).alias(f"total_{name}_{w}"))
-            out.append(F.sum(F.when(here, count * F.log2(count.cast("double")))).alias(f"weighted_{name}_{w}"))
-    gathered = per_value.groupBy("entity_id").agg(*out)
+    ways = [F.count_if("forward").alias("ahead"), F.max("loop").alias("loop")] if links else []
+    counts = long.groupBy(*KEYS, "dimension", "value").agg(F.count("*").alias("c"), *ways)
+    c = F.col("c")
+    out = [
+        F.sum(F.when((F.col("dimension") == column) & test, c)).alias(name) for name, (column, test) in tests.items()
+    ]
+    out += [F.count_if(F.col("dimension") == name).alias(f"distinct_{name}") for name in distinct]
+    for name in entropies:
+        here = F.col("dimension") == name
+        out.append(F.sum(F.when(here, c)).alias(f"total_{name}"))
+        out.append(F.sum(F.when(here, c * F.log2(c.cast("double")))).alias(f"weighted_{name}"))
+    if links:
+        here, ahead = F.col("dimension") == "edge", F.col("ahead")
+        pairs = F.when(F.col("loop"), c * (c - 1) / 2).otherwise((ahead * (c - ahead)).cast("double"))
+        out += [F.sum(F.when(here, c)).alias("links"), F.sum(F.when(here, pairs)).alias("reciprocal")]
+    gathered = counts.groupBy(*KEYS).agg(*out)
     # H = log2(N) - sum(c * log2(c)) / N
-    bits = {
-        f"entropy_{name}_{w}": F.greatest(
-            F.log2(F.col(f"total_{name}_{w}").cast("double"))
-            - ratio(F.col(f"weighted_{name}_{w}"), F.col(f"total_{name}_{w}")),
-            F.lit(0.0),
-        )
-        for w in windows
-        for name in entropies
-    }
-    dropped = [f"{part}_{name}_{w}" for part in ("total", "weighted") for name in entropies for w in windows]
-    return gathered.withColumns(bits).drop(*dropped) if bits else gathered
+    bits = {}
+    for name in entropies:
+        total = F.col(f"total_{name}").cast("double")
+        bits[f"entropy_{name}"] = F.greatest(F.log2(total) - ratio(F.col(f"weighted_{name}"), total), F.lit(0.0))
+    gone = [f"{part}_{name}" for part in ("total", "weighted") for name in entropies]
+    return gathered.withColumns(bits).drop(*gone) if bits else gathered
 
 
-def _pair_terms(windows: Sequence[int], gaps: bool, places: bool) -> dict[str, tuple[Callable, Column]]:
+def _pair_terms(gaps: bool, places: bool) -> dict[str, tuple[Callable, Column]]:
     """Aggregates over pairs of consecutive rows: name to (aggregate, term of one pair).
 
-    A row carries `age` and `before` (the age of the row before it), and `distance`, `hours` and
-    `place_before` if it and an earlier row have places. A pair lies in a window when its earlier row
-    does; a term is null outside.
+    A row carries `gap` (seconds since the row before it), and `distance` and `hours` since the last
+    row with a place if it has one itself; they are null where there is no such row.
     """
     terms: dict[str, tuple[Callable, Column]] = {}
     if gaps:
-        gap = (F.col("before") - F.col("age")) / 1e6
-        for w in windows:
-            here = in_window(F.col("before"), w) & (F.col("before") > F.col("age"))
-            terms[f"gap_n_{w}"] = (F.sum, F.when(here, 1))
-            terms[f"gap_sum_{w}"] = (F.sum, F.when(here, gap))
-            terms[f"gap_squares_{w}"] = (F.sum, F.when(here, gap * gap))
+        gap = F.when(F.col("gap") > 0, F.col("gap"))
+        terms["gap_n"] = (F.sum, F.when(gap.isNotNull(), 1))
+        terms["gap_sum"] = (F.sum, gap)
+        terms["gap_squares"] = (F.sum, gap * gap)
     if places:
-        distance, fast = F.col("distance"), F.col("distance") / F.col("hours") > IMPOSSIBLE_KMH
-        for w in windows:
-            here = in_window(F.col("place_before.age"), w) & distance.isNotNull()
-            terms[f"distance_n_{w}"] = (F.sum, F.when(here, 1))
-            terms[f"distance_sum_{w}"] = (F.sum, F.when(here, distance))
-            terms[f"distance_max_{w}"] = (F.max, F.when(here, distance))
-            terms[f"impossible_{w}"] = (F.sum, F.when(here & fast, 1))
+        distance = F.col("distance")
+        terms["distance_n"] = (F.sum, F.when(distance.isNotNull(), 1))
+        terms["distance_sum"] = (F.sum, distance)
+        terms["distance_max"] = (F.max, distance)
+        terms["impossible"] = (F.sum, F.when(distance / F.col("hours") > IMPOSSIBLE_KMH, 1))
     return terms
 
 
 def _with_distance(rows: DataFrame) -> DataFrame:
     ends = [F.col(f"{at}.{x}") for at in ("place_before", "place") for x in ("lat", "lon")]
-    hours = (F.col("place_before.age") - F.col("place.age")) / 3.6e9
+    hours = (F.unix_micros("place.event_time") - F.unix_micros("place_before.event_time")) / 3.6e9
     return rows.withColumns({"distance": haversine_km(*ends), "hours": F.greatest(hours, F.lit(MIN_HOURS))})
 
 
-def _sequence(recent: DataFrame, windows: Sequence[int], gaps: bool, places: bool) -> DataFrame:
+def _sequence(held: DataFrame, gaps: bool, places: bool) -> DataFrame:
     """Sums over pairs of consecutive events: inside chunks first, then over the seams between them."""
     order = ["event_time", "event_id"]
-    point = F.struct(
-        *order,
-        F.coalesce("location.lat", F.lit(0.0)).alias("lat"),
-        F.coalesce("location.lon", F.lit(0.0)).alias("lon"),
-        "age",
-    )
-    slim = recent.select(
-        "entity_id", *order, "age", *([F.when(F.col("location").isNotNull(), point).alias("place")] if places else [])
-    )
+    lat, lon = (F.coalesce(f"location.{x}", F.lit(0.0)).alias(x) for x in ("lat", "lon"))
+    point = F.when(F.col("location").isNotNull(), F.struct(*order, lat, lon))
+    slim = held.select(*KEYS, *order, *([point.alias("place")] if places else []))
     if places and not gaps:
         slim = slim.filter(F.col("place").isNotNull())
-    terms = _pair_terms(windows, gaps, places)
+    terms = _pair_terms(gaps, places)
 
-    inner = chunk_window("entity_id", order)
-    rows = with_chunks(slim, "entity_id", order)
+    def seconds(later: str, earlier: Column) -> Column:
+        return (F.unix_micros(later) - F.unix_micros(earlier)) / 1e6
+
+    inner = chunk_window(KEYS, order)
+    rows = with_chunks(slim, KEYS, order)
     ends = []
     if gaps:
-        rows = rows.withColumn("before", F.lag("age").over(inner))
-        ends += [F.max("age").alias("age"), F.min("age").alias("last_age")]
+        rows = rows.withColumn("gap", seconds("event_time", F.lag("event_time").over(inner)))
+        ends += [F.min("event_time").alias("first_time"), F.max("event_time").alias("last_time")]
     if places:
         earlier = inner.rowsBetween(Window.unboundedPreceding, -1)
         rows = _with_distance(rows.withColumn("place_before", F.last("place", ignorenulls=True).over(earlier)))
         ends += [F.min("place").alias("place"), F.max("place").alias("last_place")]
-    chunks = rows.groupBy("entity_id", CHUNK).agg(
+    chunks = rows.groupBy(*KEYS, CHUNK).agg(
         *[aggregate(term).alias(f"inside_{name}") for name, (aggregate, term) in terms.items()], *ends
     )
 
     # One row per chunk from here on: its first event against the last one of the chunks before.
-    along = Window.partitionBy("entity_id").orderBy(CHUNK)
+    along = Window.partitionBy(*KEYS).orderBy(CHUNK)
     seams = chunks
     if gaps:
-        seams = seams.withColumn("before", F.lag("last_age").over(along))
+        seams = seams.withColumn("gap", seconds("first_time", F.lag("last_time").over(along)))
     if places:
         so_far = along.rowsBetween(Window.unboundedPreceding, -1)
         seams = _with_distance(seams.withColumn("place_before", F.last("last_place", ignorenulls=True).over(so_far)))
     both = seams.select(
-        "entity_id",
+        *KEYS,
         F.inline(
             F.array(
                 F.struct(*[F.col(f"inside_{name}").cast("double").alias(name) for name in terms]),
@@ -358,81 +327,83 @@ def _sequence(recent: DataFrame, windows: Sequence[int], gaps: bool, places: boo
             )
         ),
     )
-    return both.groupBy("entity_id").agg(*[aggregate(name).alias(name) for name, (aggregate, _) in terms.items()])
+    return both.groupBy(*KEYS).agg(*[aggregate(name).alias(name) for name, (aggregate, _) in terms.items()])
 
 
-def entity_spine(events: DataFrame) -> DataFrame:
-    """Every entity ever seen, so that quiet ones get rows of zeros."""
-    return events.select("entity_id").distinct()
+def entity_spine(entities: DataFrame, windows: Sequence[int]) -> DataFrame:
+    """Every entity once per window, so that quiet ones get rows of zeros."""
+    sizes = F.array(*[F.lit(w).cast("bigint") for w in sorted(windows)])
+    return entities.select("entity_id").distinct().select("entity_id", F.explode(sizes).alias("window_size"))
 
 
-def flattened_features(
+def extract_features(
     events: DataFrame,
     as_of,
     windows: Sequence[int] = WINDOW_SECONDS,
     families: Sequence[str] = tuple(FAMILIES),
     entities: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per entity with a column `w<seconds>_<feature>` per window and feature.
+    """One row per entity and window with a DOUBLE column per feature, zeros where nothing happened.
 
-    The partial results and the spine are all hash partitioned by entity, so that joining them
-    moves nothing again.
+    `entities` are all entities to report on, otherwise those that any event names. The partial
+    results are small by then: one row per entity and window.
     """
     chosen = [REGISTRY[name] for name in families]
-    windows = sorted(windows)
-    recent = window_events(events, as_of, max(windows)).withColumn("age", age_micros(as_of))
+    held = in_windows(events, as_of, windows)
     activity = list(dict.fromkeys(name for family in chosen for name in family.activity))
-    dimensions = list(dict.fromkeys(name for family in chosen for name in family.dimensions))
+    distinct = list(dict.fromkeys(name for family in chosen for name in family.distinct))
     entropies = list(dict.fromkeys(name for family in chosen for name in family.entropies))
-    gaps, places = any(f.gaps for f in chosen), any(f.places for f in chosen)
+    links = any(family.links for family in chosen)
+    gaps, places = any(family.gaps for family in chosen), any(family.places for family in chosen)
     parts = []
-    if activity:
-        parts.append(_activity(recent, windows, activity))
-    if dimensions or entropies:
-        parts.append(_values(recent, windows, dimensions, entropies))
+    if activity or distinct or entropies or links:
+        parts.append(_values(held, activity, distinct, entropies, links))
     if gaps or places:
-        parts.append(_sequence(recent, windows, gaps, places))
-    spine = (entities if entities is not None else entity_spine(events)).select("entity_id")
-    joined = reduce(lambda left, right: left.join(right, "entity_id", "left"), parts, spine)
-    columns = []
-    for w in windows:
-        values: dict[str, Column] = {}
-        for family in chosen:
-            values |= family.features(lambda name, w=w: zero_if_null(F.col(f"{name}_{w}")), w)
-        columns += [
-            values[name].cast("double").alias(f"w{w}_{name}") for family in chosen for name in family.names
-        ]
-    return joined.select("entity_id", *columns)
-
-
-def to_long(flat: DataFrame, windows: Sequence[int], names: Sequence[str]) -> DataFrame:
-    """Rows (entity, window) from the flattened row of an entity, without a shuffle."""
-    rows = [
-        F.struct(F.lit(w).cast("bigint").alias("window_size"), *[F.col(f"w{w}_{name}").alias(name) for name in names])
-        for w in sorted(windows)
-    ]
-    return flat.select("entity_id", F.inline(F.array(*rows)))
+        parts.append(_sequence(held, gaps, places))
+    spine = entity_spine(entities if entities is not None else events, windows)
+    joined = reduce(lambda left, right: left.join(right, KEYS, "left"), parts, spine)
+    partial = {c: zero_if_null(F.col(c)).alias(c) for part in parts for c in part.columns if c not in KEYS}
+    filled_in = joined.select(*KEYS, *partial.values())
+    values: dict[str, Column] = {}
+    for family in chosen:
+        values |= family.features(F.col, F.col("window_size"))
+    return filled_in.select(
+        *KEYS, *[values[name].cast("double").alias(name) for family in chosen for name in family.names]
+    )
 
 
-def extract_features(
+def flatten(long: DataFrame, windows: Sequence[int], names: Sequence[str]) -> DataFrame:
+    """One row per entity with a column `w<seconds>_<feature>` per window and feature.
+
+    The features of a window travel as one struct, so three aggregates do, not one per column.
+    """
+    windows = sorted(windows)
+    row = F.struct(*names)
+    wide = long.groupBy("entity_id").agg(*[F.max(F.when(F.col("window_size") == w, row)).alias(f"_{w}") for w in windows])
+    return wide.select("entity_id", *[F.col(f"_{w}.{name}").alias(f"w{w}_{name}") for w in windows for name in names])
+
+
+def flattened_features(
     events: DataFrame,
     as_of,
     windows: Sequence[int] = WINDOW_SECONDS,
     families: Sequence[str] = tuple(FAMILIES),
     entities: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per entity and window with a DOUBLE column per feature."""
-    flat = flattened_features(events, as_of, windows, families, entities)
-    return to_long(flat, windows, [name for family in families for name in REGISTRY[family].names])
+    names = [name for family in families for name in REGISTRY[family].names]
+    return flatten(extract_features(events, as_of, windows, families, entities), windows, names)
+
+
+def flattened_names(windows: Sequence[int] = WINDOW_SECONDS, names: Sequence[str] = FEATURE_NAMES) -> list[str]:
+    return [f"w{w}_{name}" for w in sorted(windows) for name in names]
 
 
 def feature_vectors(long: DataFrame, as_of, names: Sequence[str] = FEATURE_NAMES) -> DataFrame:
     """The vector rows that the feature store keeps: a map of features with time and validity."""
-    pairs = [part for name in names for part in (F.lit(name), F.col(name))]
-    features = F.create_map(*pairs)
+    features = F.map_from_arrays(F.array(*[F.lit(name) for name in names]), F.array(*names))
     return long.select(
         "entity_id",
-        F.lit(str(as_of)).cast("timestamp").alias("timestamp"),
+        as_timestamp(as_of).alias("timestamp"),
         "window_size",
         features.alias("features"),
         (F.size(features) > 0).alias("is_valid"),

@@ -66,7 +66,7 @@ def detect_impossible_travel(events: DataFrame, kmh: float = IMPOSSIBLE_KMH) ->
         return distance(at, before) / F.greatest(hours, F.lit(MIN_HOURS))
 
     moved = with_previous(
-        slim, "entity_id", ["event_time", "event_id"], point, "before", keep=lambda at, before: speed(at, before) > kmh
+        slim, ["entity_id"], ["event_time", "event_id"], point, "before", keep=lambda at, before: speed(at, before) > kmh
     )
     here = {name: F.col(name) for name in ("lat", "lon", "event_time")}
     return moved.select(

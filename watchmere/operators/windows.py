@@ -1,14 +1,14 @@
 """Trailing windows ending at a fixed instant, retention and engine statistics.
 
-All windows end at `as_of` and are nested, so one row belongs to every window at least as long as
-its age. The operators therefore scan once, for the longest window, and count conditionally.
+All windows end at `as_of` and are nested, so an event belongs to every window at least as long as
+its age. The operators scan once, for the longest window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchmere.functions.columns import seconds_interval
@@ -21,32 +21,33 @@ def window_events(events: DataFrame, as_of, window_seconds: int, time: str = "ev
     return events.filter((F.col(time) >= end - seconds_interval(window_seconds)) & (F.col(time) <= end))
 
 
-def age_micros(as_of, time: str = "event_time") -> Column:
-    return F.unix_micros(as_timestamp(as_of)) - F.unix_micros(F.col(time))
-
+def in_windows(
+    events: DataFrame, as_of, windows: Sequence[int] = WINDOW_SECONDS, time: str = "event_time"
+) -> DataFrame:
+    """Every event once per trailing window that holds it, in the column `window_size`.
 
-def in_window(age: Column, window_seconds: int) -> Column:
-    return age <= F.lit(window_seconds * 1_000_000)
+    Windows are nested, so only the events of the short windows are repeated: with an hour, a day and
+    a week, even load makes about 1.15 rows of one event.
+    """
+    windows = sorted(windows)
+    age = F.unix_micros(as_timestamp(as_of)) - F.unix_micros(F.col(time))
+    held = F.array(*[F.lit(w).cast("bigint") for w in windows])
+    smaller = sum(((age > F.lit(w * 1_000_000)).cast("int") for w in windows), F.lit(0))
+    recent = window_events(events, as_of, windows[-1], time)
+    return recent.withColumn("window_size", F.explode(F.slice(held, smaller + 1, F.lit(len(windows)))))
 
 
 def multi_window(events: DataFrame, as_of, windows: Sequence[int] = WINDOW_SECONDS) -> DataFrame:
-    """Event count and time span per entity and window, as long rows."""
-    recent = window_events(events, as_of, max(windows)).withColumn("age", age_micros(as_of))
-    counted = recent.groupBy("entity_id").agg(
-        *[F.count_if(in_window(F.col("age"), w)).alias(f"n_{w}") for w in windows],
-        *[F.min(F.when(in_window(F.col("age"), w), F.col("event_time"))).alias(f"first_{w}") for w in windows],
-        F.max("event_time").alias("last"),
-    )
-    rows = [
-        F.struct(
-            F.lit(w).cast("bigint").alias("window_size"),
-            F.col(f"n_{w}").alias("event_count"),
-            F.col(f"first_{w}").alias("first_event"),
-            F.col("last").alias("last_event"),
+    """Event count and time span per entity and window."""
+    return (
+        in_windows(events, as_of, windows)
+        .groupBy("entity_id", "window_size")
+        .agg(
+            F.count("*").alias("event_count"),
+            F.min("event_time").alias("first_event"),
+            F.max("event_time").alias("last_event"),
         )
-        for w in windows
-    ]
-    return counted.select("entity_id", F.inline(F.array(*rows))).filter(F.col("event_count") > 0)
+    )
 
 
 def evict_old_events(events: DataFrame, as_of, max_age_seconds: int = max(WINDOW_SECONDS)) -> DataFrame:

@@ -471,7 +471,7 @@ _SQL: dict[str, str] = {
     "standard_scale": f"SELECT row_key, position, {r6('(x - avg(x) OVER p) / CASE WHEN stddev_pop(x) OVER p = 0 THEN 1 ELSE stddev_pop(x) OVER p END')} AS value FROM @matrix WINDOW p AS (PARTITION BY position)",
     "iforest_importance": f"SELECT 'f' || position AS feature, {r6('i / sum(i) OVER ()')} AS importance FROM (SELECT position, 1 / (avg(x) + 1) AS i FROM @matrix GROUP BY position) t",
     "ensemble_score": f"SELECT entity_id, {r6('final_score')} AS final_score, final_decision, {r6('consensus_level')} AS consensus_level, model_count FROM @ensemble",
-    "model_predictions": f"SELECT entity_id, model_name, {r6('anomaly_score')} AS anomaly_score, is_anomaly, {r6('1 - abs(anomaly_score - 0.5) * 2')} AS confidence FROM @predictions",
+    "model_predictions": "SELECT entity_id, model_name, round(anomaly_score, 11) + 0.0 AS anomaly_score, is_anomaly, round(1 - abs(anomaly_score - 0.5) * 2, 11) + 0.0 AS confidence FROM @predictions",
     "ensemble_score_batch": f"""SELECT '' AS entity_id, {r6('avg(s)')} AS final_score, avg(s) > 0.5 AS final_decision, {r6('avg(v)')} AS consensus_level, count(*) AS model_count
         FROM (SELECT avg(anomaly_score) AS s, CASE WHEN avg(CASE WHEN anomaly_score > 0.5 THEN 1.0 ELSE 0.0 END) > 0.5 THEN 1.0 ELSE 0.0 END AS v FROM @model_scores GROUP BY model_name) x""",
     "model_explanation": """SELECT p.entity_id, model_name, CASE WHEN anomaly_score < 0.3 THEN model_name || ': Normal behavior detected'
@@ -516,7 +516,7 @@ _SQL: dict[str, str] = {
     "filter_alerts": "SELECT * EXCLUDE (resolved_at) FROM @alerts WHERE severity = 'critical' AND status = 'new' AND attack_type = 'brute_force'",
     "page_alerts": "SELECT alert_id, event_time, severity, (SELECT count(*) FROM @alerts) AS total FROM @alerts ORDER BY event_time DESC, alert_id LIMIT 20 OFFSET 40",
     "lookup_alerts": "SELECT alert_id, severity, status FROM @alerts WHERE alert_id IN (SELECT alert_id FROM @feedback)",
-    "missing_alerts": "SELECT DISTINCT alert_id FROM @feedback WHERE alert_id NOT IN (SELECT alert_id FROM @alerts)",
+    "missing_alerts": "SELECT DISTINCT 'al-' || (eid * 2)::VARCHAR AS alert_id FROM @sec_events WHERE 'al-' || (eid * 2)::VARCHAR NOT IN (SELECT alert_id FROM @alerts)",
     "upsert_alerts": f"""SELECT alert_id, severity, CASE WHEN status = 'in_progress' THEN 'resolved' ELSE status END AS status,
         CASE WHEN status = 'in_progress' THEN {AS_OF} ELSE event_time END AS written_at FROM @alerts""",
     "list_alerts_by_id": "SELECT alert_id, entity_id, severity, status FROM @alerts",
