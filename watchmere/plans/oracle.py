@@ -563,6 +563,30 @@ _SQL: dict[str, str] = {
         FROM @sec_events WHERE event_type = 'privilege_escalation' GROUP BY ALL HAVING count(*) >= 2""",
 }
 
+# A stream gives the same rows as its batch.
+_SQL["stream_normalize"] = _SQL["process_raw_logs"]
+_SQL["stream_entity_buffer"] = (
+    "SELECT entity_id, CAST(event_time AS DATE) AS event_date, count(*) AS event_count FROM @sec_events GROUP BY ALL"
+)
+_SQL["stream_eviction"] = "SELECT event_id, event_time, entity_id FROM @sec_events"
+_SQL["stream_periodic_features"] = _SQL["extract_features"]
+_SQL["stream_exfiltration"] = _SQL["detect_exfiltration"]
+# Windows that the watermark, an hour before the last event, has passed.
+_SQL["stream_sliding_features"] = """SELECT entity_id, s AS window_start, s + INTERVAL 1 DAY AS window_end, count(*) AS event_count, """ + ", ".join(
+    f"count(*) FILTER (contains(event_type, '{text}')) AS {name}"
+    for name, text in (
+        ("login_count", "login"),
+        ("failed_logins", "failure"),
+        ("successful_logins", "success"),
+        ("file_access_count", "file"),
+        ("process_count", "process"),
+        ("dns_query_count", "dns"),
+        ("network_connections", "network"),
+    )
+) + """ FROM (SELECT *, unnest([0, 6, 12, 18]) AS back FROM @sec_events) e,
+    LATERAL (SELECT time_bucket(INTERVAL 6 HOUR, e.event_time, TIMESTAMP '1970-01-01') - to_hours(e.back) AS s) x
+    WHERE s + INTERVAL 1 DAY <= date_trunc('milliseconds', (SELECT max(event_time) FROM @sec_events)) - INTERVAL 1 HOUR GROUP BY entity_id, s"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql(text) for name, text in _SQL.items()}

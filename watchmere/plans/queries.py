@@ -19,10 +19,19 @@ from watchmere.operators import rules as R
 from watchmere.operators import scaling as D
 from watchmere.operators import store as S
 from watchmere.operators import windows as W
+from watchmere.operators.attribution import attribution_lime as lime_values
+from watchmere.operators.attribution import attribution_shap as shapley_values
+from watchmere.operators.attribution import background_rows
+from watchmere.operators.autoencoder import train_autoencoder
+from watchmere.operators.boosted import train_boosted_trees
+from watchmere.operators.forest import Forest, train_forest
+from watchmere.plans.detection import Detectors, Pipeline, train_detectors
 from watchmere.schemas import WINDOW_SECONDS
 from watchmere.session import prepare, scratch_path
 from watchmere.sources import logs
 from watchmere.sources import projections as P
+from watchmere.sources.tables import stream_table
+from watchmere.streaming import jobs as J
 
 AS_OF = "2024-01-31 00:00:00"
 ALERTS_AS_OF = "2001-07-31 12:00:00"
@@ -632,3 +641,232 @@ def detect_exfiltration(spark, root):
 @query("detect_privilege_escalation")
 def detect_privilege_escalation(spark, root):
     return R.detect_privilege_escalation(P.sec_events(spark, root), count=2, seconds=86400)
+
+
+# Trained detectors. The boosted trees run fewer rounds here than the library's default of 200,
+# because each round is several Spark jobs however few the rows are.
+
+BOOSTING_ROUNDS = 10
+
+
+def _matrix(spark, root):
+    return P.feature_matrix(spark, root)
+
+
+def _forest(spark, root):
+    return train_forest(_matrix(spark, root).filter("label = 0"), len(_matrix_names()))
+
+
+@query("iforest_train")
+def iforest_train(spark, root):
+    """The trees of a forest as a table."""
+    path = scratch_path(spark, "forest")
+    _forest(spark, root).save(spark, path)
+    return spark.read.parquet(f"{path}/trees")
+
+
+@query("iforest_score")
+def iforest_score(spark, root):
+    return _forest(spark, root).transform(_matrix(spark, root)).drop("features")
+
+
+@query("iforest_score_batch")
+def iforest_score_batch(spark, root):
+    """Scores stretched over the batch that is scored."""
+    return _forest(spark, root).transform(_matrix(spark, root), normalize="batch").drop("features")
+
+
+def _autoencoder(spark, root):
+    return train_autoencoder(_matrix(spark, root).filter("label = 0"), len(_matrix_names()))
+
+
+@query("autoencoder_train")
+def autoencoder_train(spark, root):
+    """The reconstruction error of every row under the trained weights."""
+    return _autoencoder(spark, root).errors(_matrix(spark, root)).drop("features")
+
+
+@query("autoencoder_score")
+def autoencoder_score(spark, root):
+    return _autoencoder(spark, root).transform(_matrix(spark, root)).drop("features")
+
+
+def _boosted(spark, root):
+    return train_boosted_trees(_matrix(spark, root), _matrix_names(), rounds=BOOSTING_ROUNDS)
+
+
+@query("boosted_trees_train")
+def boosted_trees_train(spark, root):
+    """Scores of a model that was trained, saved and loaded."""
+    path = scratch_path(spark, "boosted")
+    model = _boosted(spark, root)
+    model.save(spark, path)
+    return type(model).load(spark, path).transform(_matrix(spark, root)).drop("features")
+
+
+@query("boosted_trees_score")
+def boosted_trees_score(spark, root):
+    return _boosted(spark, root).transform(_matrix(spark, root)).drop("features")
+
+
+@query("boosted_trees_importance")
+def boosted_trees_importance(spark, root):
+    return _boosted(spark, root).importance(spark)
+
+
+@query("boosted_trees_fallback")
+def boosted_trees_fallback(spark, root):
+    model = train_boosted_trees(_matrix(spark, root), _matrix_names(), rounds=BOOSTING_ROUNDS, fallback=True)
+    return model.transform(_matrix(spark, root)).drop("features")
+
+
+def _detectors(spark, root):
+    rows = _matrix(spark, root)
+    return train_detectors(
+        rows.filter("label = 0"), rows.filter("label = 1"), _matrix_names(), boosting_rounds=BOOSTING_ROUNDS
+    )
+
+
+@query("ensemble_train")
+def ensemble_train(spark, root):
+    """All detectors trained; their scores combined per row."""
+    return E.ensemble_score(E.model_predictions(_detectors(spark, root).score(_matrix(spark, root))))
+
+
+@query("model_persistence")
+def model_persistence(spark, root):
+    """A forest is saved and loaded; its scores are those of the loaded one."""
+    path = scratch_path(spark, "saved")
+    _forest(spark, root).save(spark, path)
+    return Forest.load(spark, path).transform(_matrix(spark, root)).drop("features")
+
+
+def _flagged(spark, root):
+    forest = _forest(spark, root)
+    return forest, forest.transform(_matrix(spark, root)).filter("is_anomaly = 1").select("row_key", "features")
+
+
+@query("attribution_shap")
+def attribution_shap(spark, root):
+    """Sampled Shapley values of the rows that the forest flags."""
+    forest, flagged = _flagged(spark, root)
+    return shapley_values(forest.transform, flagged, background_rows(_matrix(spark, root)), _matrix_names())
+
+
+@query("attribution_lime")
+def attribution_lime(spark, root):
+    forest, flagged = _flagged(spark, root)
+    return lime_values(forest.transform, flagged, forest.scaler, _matrix_names())
+
+
+@query("explain_prediction")
+def explain_prediction(spark, root):
+    """Everything about each flagged row in one row."""
+    forest, flagged = _flagged(spark, root)
+    values = shapley_values(forest.transform, flagged, background_rows(_matrix(spark, root)), _matrix_names())
+    return X.explanation_bundle(values.select("entity_id", "feature", "score"), "shap")
+
+
+@query("retrain")
+def retrain(spark, root):
+    """Boosted trees learn from pending feedback joined to stored vectors; their scores per alert.
+
+    Alerts name customers and vectors name users; user numbers stand for both.
+    """
+    vectors = S.latest(S.stamped(P.feature_log(spark, root), ttl_seconds=30 * 86400), ["entity_id"], AS_OF)
+    stored = vectors.select("entity_id", F.array(*STORED).alias("features"))
+    rows = B.training_rows(B.pending_feedback(P.feedback(spark, root)), P.alerts(spark, root), stored)
+    model = train_boosted_trees(rows, list(STORED), rounds=BOOSTING_ROUNDS)
+    return model.transform(rows).select(
+        "row_key", "label", "anomaly_score", "is_anomaly", F.lit(B.next_version(B.FIRST_VERSION)).alias("model_version")
+    )
+
+
+@query("pipeline_alerts")
+def pipeline_alerts(spark, root):
+    """From raw logs to alerts: normalize, features of all windows, detectors, text."""
+    pipeline = Pipeline(AS_OF)
+    events = pipeline.events(P.raw_logs(spark, root))
+    vectors = pipeline.vectors(events).persist()
+    detectors = pipeline.train(vectors)
+    return pipeline.alerts(vectors, detectors)
+
+
+# Streams.
+
+
+def _event_stream(spark, root):
+    return P.sec_events_from(stream_table(spark, root, "events"))
+
+
+@query("stream_normalize")
+def stream_normalize(spark, root):
+    raw = P.raw_logs_from(stream_table(spark, root, "events"))
+    return J.run_to_table(J.normalize_stream(raw), scratch_path(spark, "stream_normalize")).select(*NORMALIZED)
+
+
+EVENT_COLUMNS = (
+    "event_id",
+    "event_time",
+    "event_type",
+    "entity_id",
+    "hostname",
+    "source_ip",
+    "command_line",
+    "dns_query",
+    "country",
+    "city",
+    "location",
+)
+
+
+def _event_table(spark, root):
+    stream = J.event_table_stream(_event_stream(spark, root).select(*EVENT_COLUMNS))
+    return J.run_to_table(stream, scratch_path(spark, "event_table"), ["event_date"])
+
+
+@query("stream_entity_buffer")
+def stream_entity_buffer(spark, root):
+    """The table that a stream of events has filled, counted by entity and day."""
+    return _event_table(spark, root).groupBy("entity_id", "event_date").agg(F.count("*").alias("event_count"))
+
+
+@query("stream_eviction")
+def stream_eviction(spark, root):
+    """A stream in which every event comes twice, once each after the filter of ids."""
+    twice = _event_stream(spark, root).unionByName(_event_stream(spark, root))
+    unique = J.unique_events(twice.select("event_id", "event_time", "entity_id"))
+    return J.run_to_table(unique, scratch_path(spark, "stream_eviction"))
+
+
+@query("stream_periodic_features")
+def stream_periodic_features(spark, root):
+    """Features brought from noon to midnight for the entities that changed."""
+    events = _event_table(spark, root)
+    before = "2024-01-30 12:00:00"
+    known = FE.extract_features(W.evict_old_events(events, before, 30 * 86400), before, entities=events)
+    return J.refresh_features(events, known, before, AS_OF)
+
+
+@query("stream_sliding_features")
+def stream_sliding_features(spark, root):
+    counts = J.sliding_counts(_event_stream(spark, root), "1 day", "6 hours", "1 hour")
+    return J.run_to_table(counts, scratch_path(spark, "sliding"))
+
+
+@query("stream_to_alerts")
+def stream_to_alerts(spark, root):
+    """A stream of vectors scored by a saved detector, its alerts appended to a log."""
+    path = scratch_path(spark, "stream_detectors")
+    Detectors({"isolation_forest": _forest(spark, root)}).save(spark, path)
+    detectors = Detectors.load(spark, path, ("isolation_forest",))
+    stream = stream_table(spark, root, "embeddings").select(
+        F.col("vec_id").alias("row_key"), F.col("embedding").cast("array<double>").alias("features")
+    )
+    return J.run_to_table(J.score_stream(stream, detectors, AS_OF), scratch_path(spark, "alert_log"))
+
+
+@query("stream_exfiltration")
+def stream_exfiltration(spark, root):
+    found = J.exfiltration_stream(_event_stream(spark, root), seconds=86400)
+    return J.run_to_table(found, scratch_path(spark, "exfiltration"))
