@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 _JSON_LITERAL = r"^(-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?|true|false|[{\[].*)$"
 
 
+# A key whose value does not start like text or null. Text may look like that inside, too.
+_OTHER_THAN_TEXT = r'"\s*:\s*[-0-9tf{\[]'
+
+
+def may_hold_other_than_text(text: Column) -> Column:
+    """Whether a record may have a value that is neither text nor null, from one look at its text."""
+    return F.coalesce(text.rlike(_OTHER_THAN_TEXT), F.lit(False))
+
+
 def parse_record(text: Column) -> Column:
     return F.from_json(text, "MAP<STRING, STRING>")
 

@@ -79,11 +79,18 @@ def observed_nodes(observations: DataFrame) -> DataFrame:
 
 
 def graph_nodes(observations: DataFrame) -> DataFrame:
-    """Upsert of node observations: the first time is kept, everything else is overwritten."""
-    latest = F.max(F.struct("event_time", "entity_type", "name", "risk_score"))
+    """Upsert of node observations: the first time is kept, everything else is overwritten.
+
+    Equal observations are folded together first, which is a hash aggregate; picking the latest of
+    several texts needs sorted rows, and by then few are left.
+    """
+    folded = observations.groupBy("entity_id", "entity_type", "name", "risk_score").agg(
+        F.min("event_time").alias("first"), F.max("event_time").alias("last")
+    )
+    latest = F.max(F.struct("last", "entity_type", "name", "risk_score"))
     return (
-        observations.groupBy("entity_id")
-        .agg(F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen"), latest.alias("_last"))
+        folded.groupBy("entity_id")
+        .agg(F.min("first").alias("first_seen"), F.max("last").alias("last_seen"), latest.alias("_last"))
         .select(
             "entity_id",
             F.col("_last.entity_type").alias("entity_type"),

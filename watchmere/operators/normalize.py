@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchmere.functions.columns import filled
-from watchmere.functions.records import Record, parse_record
+from watchmere.functions.records import Record, may_hold_other_than_text, parse_record
 from watchmere.schemas import ENTITY_TYPES, NORMALIZED_EVENT
 
 RECORD = "_record"
@@ -66,13 +66,15 @@ class Rule:
     `fields` maps event columns to expressions over the record, null where left out. `owner` is the
     entity when the record names no user (or always, where `by_user` is false): a prefix, the column
     that follows it, and the entity type. `refuse` lists reject reasons with their conditions in the
-    order in which they are tried. `texts` are the keys whose values must be text or null.
+    order in which they are tried; `no_type` is the reason when no event type was found. `texts` are
+    the keys whose values must be text or null.
     """
 
     fields: dict[str, Column]
     owner: tuple[str, Column, str] | None = None
     by_user: bool = True
     refuse: tuple[tuple[str, Column], ...] = ()
+    no_type: str | None = None
     texts: tuple[str, ...] = ()
 
 
@@ -97,7 +99,7 @@ def windows_rule(record: Record, text: Column) -> Rule:
             "raw_message": record.first("Message", default=""),
         },
         owner=("host:", filled(host), "host"),
-        refuse=(("unmapped_code", event_type.isNull()),),
+        no_type="unmapped_code",
         texts=("Computer", "Hostname", "SubjectUserName", "TargetUserName", "Message"),
     )
 
@@ -106,19 +108,18 @@ def linux_rule(record: Record, text: Column) -> Rule:
     message = record.first("message", "Message", default="")
     # A pattern that matches captures at least one character, so the first capture is the user.
     users = [_first_match(message, pattern) for pattern, _ in SYSLOG_PATTERNS]
-    kinds = [F.when(user.isNotNull(), kind) for user, (_, kind) in zip(users, SYSLOG_PATTERNS)]
+    kinds = [F.when(message.rlike(REGEX_FLAGS + pattern), kind) for pattern, kind in SYSLOG_PATTERNS]
     host = record.text("hostname")
-    event_type = F.coalesce(*kinds)
     return Rule(
         fields={
-            "event_type": event_type,
+            "event_type": F.coalesce(*kinds),
             "source_ip": _first_match(message, FROM_DOTTED_QUAD),
             "hostname": host,
             "username": F.coalesce(*users),
             "raw_message": message,
         },
         owner=("host:", filled(host), "host"),
-        refuse=(("no_pattern", message.isNotNull() & event_type.isNull()),),
+        no_type="no_pattern",
         texts=("message", "Message", "hostname"),
     )
 
@@ -216,8 +217,10 @@ RULE_FIELDS = (
 
 def required_field_missing() -> Column:
     """The first reject reason of the envelope check: a required field that is null."""
-    labels = [("no_entity" if name == "entity_id" else f"null_{name}", F.col(name).isNull()) for name in REQUIRED]
-    return F.coalesce(*[F.when(test, label) for label, test in labels])
+    labels = {name: F.lit(f"null_{name}") for name in REQUIRED}
+    labels["event_type"] = F.coalesce("_no_type", labels["event_type"])
+    labels["entity_id"] = F.lit("no_entity")
+    return F.coalesce(*[F.when(F.col(name).isNull(), label) for name, label in labels.items()])
 
 
 def event_time(record: Record, ingest_time: Column) -> Column:
@@ -242,7 +245,7 @@ def normalize(raw: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame
     if "ingest_time" not in raw.columns:
         raw = raw.withColumn("ingest_time", F.current_timestamp())
     record, text = Record(RECORD, "value"), F.col("value")
-    parsed = raw.withColumn(RECORD, parse_record(F.col("value")))
+    parsed = raw.withColumns({RECORD: parse_record(text), "_odd": may_hold_other_than_text(text)})
     if "source_type" not in raw.columns:
         parsed = parsed.withColumn("source_type", record.first("source_type", default="unknown"))
     kind = F.col("source_type")
@@ -252,12 +255,13 @@ def normalize(raw: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame
 
     def draw(rule: Rule) -> Column:
         """What one rule makes of a record, as a struct that is the same for every rule."""
-        tests = (("invalid_type", record.not_text(*rule.texts)), *rule.refuse)
+        tests = (("invalid_type", F.col("_odd") & record.not_text(*rule.texts)), *rule.refuse)
         prefix, name, owner_type = rule.owner or (None, nothing, None)
         drawn = {field: rule.fields.get(field, nothing) for field in RULE_FIELDS}
         drawn["_owner"] = F.concat(F.lit(prefix).cast("string"), name)
         drawn["_owner_type"] = F.lit(owner_type).cast("string")
         drawn["_by_user"] = F.lit(rule.owner is not None and rule.by_user)
+        drawn["_no_type"] = F.lit(rule.no_type).cast("string")
         drawn["_refused"] = F.coalesce(*[F.when(test, label) for label, test in tests])
         return F.struct(*[value.cast("string" if field != "_by_user" else "boolean").alias(field) for field, value in drawn.items()])
 

@@ -15,7 +15,7 @@ from watchmere.operators import normalize as N
 from watchmere.operators.autoencoder import Autoencoder, train_autoencoder
 from watchmere.operators.boosted import BoostedTrees, OneClassError, train_boosted_trees
 from watchmere.operators.forest import Forest, train_forest
-from watchmere.schemas import WINDOW_SECONDS
+from watchmere.schemas import NORMALIZED_EVENT, WINDOW_SECONDS
 
 MODEL_NAMES = ("isolation_forest", "autoencoder", "boosted_trees")
 
@@ -80,17 +80,28 @@ def train_detectors(
 
 @dataclass(frozen=True)
 class Pipeline:
-    """From raw logs to alerts with the functions of this library, as DataFrames throughout."""
+    """From raw logs to alerts. What later steps read more than once is a table under `path`."""
 
     as_of: str
+    path: str
     windows: tuple[int, ...] = WINDOW_SECONDS
 
     def events(self, raw_logs: DataFrame) -> DataFrame:
-        return N.accepted(N.normalize(raw_logs))
+        """Normalize once, into the event table, where rejected records have a partition of their own."""
+        normalized = N.normalize(raw_logs).withColumn("event_date", F.to_date("event_time"))
+        spark = raw_logs.sparkSession
+        outcome = F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected")
+        normalized.withColumn("outcome", outcome).write.mode("append").partitionBy("outcome", "event_date").parquet(
+            f"{self.path}/events"
+        )
+        table = spark.read.parquet(f"{self.path}/events").filter(F.col("outcome") == "accepted")
+        return table.select(*NORMALIZED_EVENT.names)
 
     def vectors(self, events: DataFrame, entities: DataFrame | None = None) -> DataFrame:
         flat = FE.flattened_features(events, self.as_of, self.windows, entities=entities)
-        return FE.feature_array(flat, FE.flattened_names(self.windows))
+        rows = FE.feature_array(flat, FE.flattened_names(self.windows))
+        rows.write.mode("overwrite").parquet(f"{self.path}/vectors")
+        return events.sparkSession.read.parquet(f"{self.path}/vectors")
 
     def train(self, vectors: DataFrame, attack: DataFrame | None = None, **options) -> Detectors:
         return train_detectors(vectors, attack, FE.flattened_names(self.windows), **options)

@@ -764,7 +764,8 @@ def explain_prediction(spark, root):
     """Everything about each flagged row in one row."""
     forest, flagged = _flagged(spark, root)
     values = shapley_values(forest.transform, flagged, background_rows(_matrix(spark, root)), _matrix_names())
-    return X.explanation_bundle(values.select("entity_id", "feature", "score"), "shap")
+    told = X.explanation_bundle(values.select("entity_id", "feature", "score"), "shap")
+    return told.withColumns({name: F.to_json(name) for name in ("feature_importance", "top_features")})
 
 
 @query("retrain")
@@ -785,9 +786,9 @@ def retrain(spark, root):
 @query("pipeline_alerts")
 def pipeline_alerts(spark, root):
     """From raw logs to alerts: normalize, features of all windows, detectors, text."""
-    pipeline = Pipeline(AS_OF)
+    pipeline = Pipeline(AS_OF, scratch_path(spark, "pipeline"))
     events = pipeline.events(P.raw_logs(spark, root))
-    vectors = pipeline.vectors(events).persist()
+    vectors = pipeline.vectors(events)
     detectors = pipeline.train(vectors)
     return pipeline.alerts(vectors, detectors)
 
