@@ -17,6 +17,9 @@ NEIGHBOR_LIMIT = 50
 LATERAL_MIN_COUNT = 5
 LATERAL_LIMIT = 20
 
+# Rounds of a traversal after which the nodes reached so far are written as one table again.
+COMPACT_ROUNDS = 8
+
 
 def record_access(events: DataFrame, user: str, resource: str, action: str, time: str = "event_time") -> DataFrame:
     """Edge observations (user, resource, action, weight 1) from events that name both ends."""
@@ -210,7 +213,9 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | No
     )
     done = frontier = reached
     wanted = cut_lineage(targets.select("source", "target").distinct()) if targets is not None else None
+    rounds = 0
     while not frontier.isEmpty():
+        rounds += 1
         if wanted is not None and wanted.join(done, ["source", "target"], "left_anti").isEmpty():
             break
         step = (
@@ -223,6 +228,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | No
         )
         frontier = cut_lineage(step)
         done = done.unionByName(frontier)
+        if rounds % COMPACT_ROUNDS == 0:
+            done = cut_lineage(done)
     found = done if wanted is None else done.join(wanted, ["source", "target"], "left_semi")
     return found.select("source", "target", "path", (F.size("path") - 1).cast("bigint").alias("length"))
 
