@@ -77,3 +77,11 @@ def test_lateral_movement_and_risk(spark):
     assert risk["a"] == 0.7 and risk["few"] == 0.0
     counts = G.graph_statistics(nodes, edges).first()
     assert (counts["node_count"], counts["edge_count"]) == (27, 26)
+
+
+def test_long_paths(spark):
+    # More rounds than there are between two compactions.
+    names = [f"n{i:02d}" for i in range(2 * G.COMPACT_ROUNDS + 2)]
+    _, edges = graph(spark, list(zip(names, names[1:])))
+    paths = G.shortest_paths(edges, spark.createDataFrame([(names[0],)], "source STRING")).collect()
+    assert {r["target"]: r["path"] for r in paths} == {name: names[: i + 1] for i, name in enumerate(names)}
