@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from watchmere.llm import bpe, decontaminate, license_scan, quality
+from watchmere.llm import bpe, decontaminate, license_scan, quality, secrets
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op3_bpe": bpe.op3_bpe,
     "op4_quality_rules": quality.op4_quality_rules,
     "op10_decontaminate": decontaminate.op10_decontaminate,
