@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from watchmere.llm import bpe, decontaminate, license_scan, line_dedup, near_duplicates, quality, secrets
+from watchmere.llm import bpe, decontaminate, license_scan, line_dedup, near_duplicates, quality, secrets, suffix_dedup
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_bpe": bpe.op3_bpe,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_jaccard_join": near_duplicates.op6_jaccard_join,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
