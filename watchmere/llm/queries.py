@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from watchmere.llm import bpe, decontaminate, license_scan, line_dedup, near_duplicates, quality, secrets, suffix_dedup
+from watchmere.llm import bpe, chat_format, decontaminate, license_scan, line_dedup, near_duplicates, quality, secrets, suffix_dedup
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_jaccard_join": near_duplicates.op6_jaccard_join,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_chat_format": chat_format.op8_chat_format,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
