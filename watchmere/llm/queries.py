@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from watchmere.llm import bpe, chat_format, decontaminate, license_scan, line_dedup, near_duplicates, quality, secrets, suffix_dedup
+from watchmere.llm import bpe, chat_format, decontaminate, license_scan, line_dedup, near_duplicates, pii, quality, secrets, suffix_dedup
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_jaccard_join": near_duplicates.op6_jaccard_join,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_chat_format": chat_format.op8_chat_format,
+    "op9_pii": pii.op9_pii,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
