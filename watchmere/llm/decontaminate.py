@@ -169,8 +169,11 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: st
     """Documents, all columns, without the contaminated ones; others keep their whole text."""
     windows = window_set(benchmark, "item_id", "text", WINDOW_WORDS, BROADCAST_BYTES)
     if windows is None:
-        marked = contamination(documents, benchmark, most_bytes=-1).filter("contaminated").select("doc_id").distinct()
-        return documents.join(marked, "doc_id", "left_anti")
+        # A row is known by all that decides about it; equal texts share their verdict.
+        keyed = documents.withColumn("__key", F.xxhash64(text_col, F.octet_length(text_col)))
+        found = contamination(keyed.select("__key", text_col), benchmark, "__key", text_col, most_bytes=-1)
+        marked = found.filter("contaminated").select("__key").distinct()
+        return keyed.join(marked, "__key", "left_anti").select(documents.columns)
     shared = documents.sparkSession.sparkContext.broadcast(windows)
 
     def open_test():
