@@ -315,7 +315,7 @@ def classes(
     counts = found.groupBy("hi", "lo").agg(F.sum("links").alias("n_links"))
     member = nodes.drop("labels").join(roots, ["hi", "lo"], "left").join(counts, ["hi", "lo"], "left")
     own = F.coalesce("root", F.struct("hi", "lo"))
-    leads = F.struct(F.col("first_id"), "hi", "lo")
+    leads = F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "hi", "lo")
     by_class = member.groupBy(own.alias("own")).agg(F.min(leads).alias("lead"))
     return member.join(by_class, own == F.col("own")).select(
         "hi",
@@ -337,9 +337,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all columns, of one document of each class: that of the smallest id; repeated rows once."""
-    leads = classes(documents, id_col, text_col).filter("leads").select("hi", "lo", F.col("first_id").alias("__first"))
-    keyed = documents.withColumns({"__hi": text_print(text_col)[0], "__lo": text_print(text_col)[1]})
-    same = (F.col("__hi") == F.col("hi")) & (F.col("__lo") == F.col("lo")) & F.col(id_col).eqNullSafe(F.col("__first"))
+    leads = classes(documents, id_col, text_col).filter("leads")
+    leads = leads.select(F.col("hi").alias("__lead_hi"), F.col("lo").alias("__lead_lo"), F.col("first_id").alias("__first"))
+    hi, lo = text_print(text_col)
+    keyed = documents.withColumns({"__hi": hi, "__lo": lo})
+    same = (F.col("__hi") == F.col("__lead_hi")) & (F.col("__lo") == F.col("__lead_lo"))
+    same &= F.col(id_col).eqNullSafe(F.col("__first"))
     kept = keyed.join(leads, same, "left_semi").dropDuplicates(["__hi", "__lo", id_col])
     return kept.drop("__hi", "__lo")
 
