@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchmere.schemas import ALERT_STATUSES, ATTACK_TYPES, SEVERITIES, as_timestamp
+from watchmere.operators.store import tie_breaker
+from watchmere.schemas import ALERT_STATUSES, ENTITY_TYPES, ATTACK_TYPES, SEVERITIES, as_timestamp
 
 MAX_PAGE_SIZE = 100
 HIGH_ABOVE = 0.5
@@ -37,14 +38,25 @@ def filter_alerts(
     return alerts
 
 
-def page_alerts(alerts: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:
-    """One page, newest first, with the number of alerts before paging on every row."""
+def page_alerts(alerts: DataFrame, page: int = 1, page_size: int = 20, after: tuple | None = None) -> DataFrame:
+    """One page, newest first, with the number of alerts before paging on every row.
+
+    A page past the last one is a single row of nulls and the number. `after` takes (event_time,
+    alert_id) of the last row seen and makes the page start behind it, so that no earlier row is
+    gathered; paging by number reads on to the page and is for the first few.
+    """
     if page < 1 or not 1 <= page_size <= MAX_PAGE_SIZE:
         raise ValueError("page starts at 1 and page_size lies between 1 and 100")
-    rows = alerts.orderBy(F.desc("event_time"), "alert_id").offset((page - 1) * page_size).limit(page_size)
+    rest = alerts
+    if after is not None:
+        seen = as_timestamp(after[0])
+        same = (F.col("event_time") == seen) & (F.col("alert_id") > after[1])
+        rest = alerts.filter((F.col("event_time") < seen) | same)
+    rows = rest.orderBy(F.desc("event_time"), "alert_id").offset((page - 1) * page_size).limit(page_size)
     total = alerts.agg(F.count("*").alias("total")).select("total", F.lit(1).alias("_one"))
-    # The total is one row by construction; an equi-join on a constant attaches it.
-    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
+    # Both sides are bounded by construction: one row and one page. An equi-join on a constant attaches them.
+    joined = total.join(rows.withColumn("_one", F.lit(1)), "_one", "left")
+    return joined.select(*alerts.columns, "total")
 
 
 def lookup_alerts(alerts: DataFrame, requested: DataFrame) -> DataFrame:
@@ -59,8 +71,8 @@ def missing_alerts(alerts: DataFrame, requested: DataFrame) -> DataFrame:
 
 def upsert_alerts(alerts: DataFrame, changes: DataFrame, version: str = "written_at") -> DataFrame:
     """The newest row per alert id of the stored rows and the changes; all have a `version` column."""
-    newest = Window.partitionBy("alert_id").orderBy(F.desc(version))
     both = alerts.unionByName(changes, allowMissingColumns=True)
+    newest = Window.partitionBy("alert_id").orderBy(F.desc(version), tie_breaker(both))
     return both.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") == 1).drop("_rank")
 
 
@@ -107,7 +119,12 @@ def delete_alerts(alerts: DataFrame, doomed: DataFrame) -> DataFrame:
 
 
 def create_alerts(scored: DataFrame, as_of, narratives: DataFrame | None = None) -> DataFrame:
-    """An alert per scored entity (entity_id, final_score), its text from (entity_id, narrative)."""
+    """An alert per scored entity (entity_id, final_score), its text from (entity_id, narrative).
+
+    All fields of an alert are there, so that every other operator on alerts takes the result. The
+    entity's type is the prefix of its id.
+    """
+    kind = F.substring_index("entity_id", ":", 1)
     high = F.col("final_score") > HIGH_ABOVE
     if narratives is not None:
         scored = scored.join(narratives.select("entity_id", "narrative"), "entity_id", "left")
@@ -118,7 +135,7 @@ def create_alerts(scored: DataFrame, as_of, narratives: DataFrame | None = None)
         F.sha2(F.concat_ws("|", "entity_id", stamp), 256).alias("alert_id"),
         as_timestamp(as_of).alias("event_time"),
         "entity_id",
-        F.lit("user").alias("entity_type"),
+        F.when(F.col("entity_id").contains(":") & kind.isin(*ENTITY_TYPES), kind).otherwise("user").alias("entity_type"),
         severity.alias("severity"),
         F.lit("unknown").alias("attack_type"),
         F.lit(DEFAULT_CONFIDENCE).alias("confidence"),
@@ -126,6 +143,14 @@ def create_alerts(scored: DataFrame, as_of, narratives: DataFrame | None = None)
         F.lit("new").alias("status"),
         F.concat(F.lit("Anomalous behavior of "), "entity_id").alias("title"),
         F.coalesce(text, F.lit("")).alias("description"),
+        F.array(F.col("entity_id").cast("string")).alias("affected_assets"),
+        F.array().cast("array<string>").alias("related_alerts"),
+        F.lit(None).cast("map<string,double>").alias("feature_importance"),
+        text.alias("explanation"),
+        F.lit(None).cast("string").alias("assigned_to"),
+        F.lit(None).cast("timestamp").alias("resolved_at"),
+        F.lit(None).cast("string").alias("resolution_notes"),
+        F.lit(None).cast("double").alias("feedback_score"),
     )
 
 

@@ -232,8 +232,6 @@ def train_autoencoder(
                 if waited >= PATIENCE_EPOCHS:
                     break
             weights = position["w"].to_numpy()
-        else:
-            best = weights
     finally:
         laid_out.unpersist()
     model = Autoencoder(best, sizes, scaler)

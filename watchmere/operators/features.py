@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from watchmere.functions.columns import filled, haversine_km, ratio, zero_if_null
 from watchmere.operators.sequence import CHUNK, chunk_window, with_chunks
-from watchmere.operators.windows import in_windows
+from watchmere.operators.windows import in_windows, window_events
 from watchmere.schemas import WINDOW_SECONDS, as_timestamp
 
 # Feature names in their order, by family.
@@ -345,8 +345,9 @@ def extract_features(
 ) -> DataFrame:
     """One row per entity and window with a DOUBLE column per feature, zeros where nothing happened.
 
-    `entities` are all entities to report on, otherwise those that any event names. The partial
-    results are small by then: one row per entity and window.
+    `entities` are all entities to report on, otherwise those that an event of the longest window
+    names: older events are past retention and need not be read. The partial results are small by
+    then: one row per entity and window.
     """
     chosen = [REGISTRY[name] for name in families]
     held = in_windows(events, as_of, windows)
@@ -360,7 +361,7 @@ def extract_features(
         parts.append(_values(held, activity, distinct, entropies, links))
     if gaps or places:
         parts.append(_sequence(held, gaps, places))
-    spine = entity_spine(entities if entities is not None else events, windows)
+    spine = entity_spine(entities if entities is not None else window_events(events, as_of, max(windows)), windows)
     joined = reduce(lambda left, right: left.join(right, KEYS, "left"), parts, spine)
     partial = {c: zero_if_null(F.col(c)).alias(c) for part in parts for c in part.columns if c not in KEYS}
     filled_in = joined.select(*KEYS, *partial.values())

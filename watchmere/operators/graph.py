@@ -150,7 +150,7 @@ def neighbors_k_hop(
     edges: DataFrame,
     depth: int = 1,
     seeds: DataFrame | None = None,
-    limit: int | None = NEIGHBOR_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Nodes within `depth` steps of each seed in either direction, nearest first, at most `limit`.
 

@@ -225,12 +225,38 @@ def required_field_missing() -> Column:
 
 def event_time(record: Record, ingest_time: Column) -> Column:
     """The time the source wrote into the record, or else when the record came in."""
-    return F.coalesce(*[F.try_to_timestamp(record.text(key)) for key in TIME_KEYS], ingest_time)
+    return F.coalesce(*[written_time(record.text(key), ingest_time) for key in TIME_KEYS], ingest_time)
 
 
-def event_id(source_type: Column, ingest_time: Column, text: Column) -> Column:
-    """A stable id: the same record read twice gets the same one."""
-    parts = F.concat_ws("|", source_type, F.unix_micros(ingest_time).cast("string"), text)
+def written_time(text: Column, ingest_time: Column) -> Column:
+    """A time as logs write it: ISO, seconds or milliseconds since 1970, or a syslog day without a year.
+
+    A syslog time takes the year that brings it nearest to, and not more than a day behind, the ingest time.
+    """
+    number = F.when(text.rlike(r"^[0-9]{9,10}(\.[0-9]+)?$"), text.try_cast("double"))
+    millis = F.when(text.rlike("^[0-9]{12,13}$"), text.try_cast("double") / 1000)
+    epoch = F.timestamp_seconds(F.coalesce(number, millis))
+    day = F.when(text.rlike(r"^[A-Z][a-z]{2} +[0-9]{1,2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"), F.regexp_replace(text, " +", " "))
+
+    def in_year(back: int) -> Column:
+        year = (F.year(ingest_time) - back).cast("string")
+        return F.try_to_timestamp(F.concat(year, F.lit(" "), day), F.lit("yyyy MMM d HH:mm:ss"))
+
+    this_year = in_year(0)
+    latest = ingest_time + F.expr("INTERVAL 1 DAY")
+    syslog = F.when(this_year <= latest, this_year).otherwise(in_year(1))
+    plain = F.when(number.isNull() & millis.isNull() & day.isNull(), text)
+    return F.coalesce(epoch, syslog, F.try_to_timestamp(plain))
+
+
+def event_id(source_type: Column, ingest_time: Column | None, text: Column, place: Column | None = None) -> Column:
+    """A stable id: the same record read twice gets the same one.
+
+    Where the source tells a record's place (topic, partition and offset, or file and occurrence), equal
+    records at different places have different ids. Without an ingest time in the data none takes part.
+    """
+    time = [] if ingest_time is None else [F.unix_micros(ingest_time).cast("string")]
+    parts = F.concat_ws("|", source_type, *time, text, *([] if place is None else [place]))
     return F.sha2(parts, 256)
 
 
@@ -238,11 +264,13 @@ def normalize(raw: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame
     """Route every record to the rule of its `source_type` and apply it; batch or stream.
 
     `raw` has `value` (JSON text) and may have `source_type` (otherwise read from the record, with
-    'unknown' when the key is missing) and `ingest_time` (otherwise the current time). All columns of
+    'unknown' when the key is missing), `ingest_time` (otherwise the current time) and `record_place`
+    (where the source has the record, which tells equal records apart). All columns of
     `raw` whose names do not clash are passed through. The result has the normalized columns and
     `reject_reason`, null for accepted rows.
     """
-    if "ingest_time" not in raw.columns:
+    known_time = "ingest_time" in raw.columns
+    if not known_time:
         raw = raw.withColumn("ingest_time", F.current_timestamp())
     record, text = Record(RECORD, "value"), F.col("value")
     parsed = raw.withColumns({RECORD: parse_record(text), "_odd": may_hold_other_than_text(text)})
@@ -289,7 +317,14 @@ def normalize(raw: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame
     columns |= {name: F.col(name) for name in (*RULE_FIELDS, "source_type")}
     columns["event_time"] = F.col("_time")
     columns["event_id"] = (
-        F.col("event_id") if "event_id" in raw.columns else event_id(kind, F.col("ingest_time"), text)
+        F.col("event_id")
+        if "event_id" in raw.columns
+        else event_id(
+            kind,
+            F.col("ingest_time") if known_time else None,
+            text,
+            F.col("record_place") if "record_place" in raw.columns else None,
+        )
     )
     return rows.select(
         *[columns[name].alias(name) for name in NORMALIZED_EVENT.names],

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from watchmere.functions.columns import seconds_interval
+from watchmere.operators.windows import by_day
 from watchmere.schemas import BASELINE_TTL_SECONDS, FEATURE_TTL_SECONDS, as_timestamp
 
 
@@ -29,18 +31,27 @@ def append_rows(rows: DataFrame, path: str) -> None:
 def live_rows(rows: DataFrame, as_of) -> DataFrame:
     """Rows written by `as_of` that have not expired; a row is gone at its very expiry."""
     now = as_timestamp(as_of)
-    return rows.filter((F.col("written_at") <= now) & (F.col("expires_at") > now))
+    return written_by(rows, now).filter(F.col("expires_at") > now)
+
+
+def written_by(rows: DataFrame, now: Column) -> DataFrame:
+    return by_day(rows, "written_date", None, now).filter(F.col("written_at") <= now)
+
+
+def tie_breaker(rows: DataFrame) -> Column:
+    """A number that depends on the whole row, so that of rows of one time always the same one comes first."""
+    return F.xxhash64(*[f.name for f in rows.schema.fields if not isinstance(f.dataType, MapType)])
 
 
 def latest(rows: DataFrame, keys: Sequence[str], as_of) -> DataFrame:
-    """The newest live row per key.
+    """The newest row per key, if it is live: an older one does not come back when the newest expires.
 
-    Only the newest row may be live: with one time to live per table, an older row expires first.
     Spark keeps one row per key on the sending side of the shuffle already.
     """
-    newest = Window.partitionBy(*keys).orderBy(F.desc("written_at"))
-    live = live_rows(rows, as_of)
-    return live.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") == 1).drop("_rank")
+    newest = Window.partitionBy(*keys).orderBy(F.desc("written_at"), tie_breaker(rows))
+    now = as_timestamp(as_of)
+    ranked = written_by(rows, now).withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") == 1)
+    return ranked.filter(F.col("expires_at") > now).drop("_rank")
 
 
 def latest_feature_vectors(rows: DataFrame, as_of) -> DataFrame:
@@ -74,14 +85,14 @@ def baseline_features(vectors: DataFrame, written_at, version: int = 1) -> DataF
 
 
 def population_baseline(vectors: DataFrame, entities: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Mean and population standard deviation of every feature per department, as long rows.
+    """Mean and population standard deviation of every feature per department and window, as long rows.
 
     One wide aggregate per department, unfolded afterwards; departments are few, and each task sends
     one partial row per department.
     """
     wide = (
         vectors.join(entities.select("entity_id", "department"), "entity_id")
-        .groupBy("department")
+        .groupBy("department", "window_size")
         .agg(
             F.count("*").alias("members"),
             *[F.avg(name).alias(f"mean_{name}") for name in names],
@@ -92,20 +103,20 @@ def population_baseline(vectors: DataFrame, entities: DataFrame, names: Sequence
         F.struct(F.lit(name).alias("feature"), F.col(f"mean_{name}").alias("mean"), F.col(f"std_{name}").alias("std"))
         for name in names
     ]
-    return wide.select("department", "members", F.inline(F.array(*rows)))
+    return wide.select("department", "window_size", "members", F.inline(F.array(*rows)))
 
 
 def cold_start_features(
-    entities: DataFrame, vectors: DataFrame, baseline: DataFrame, names: Sequence[str]
+    entities: DataFrame, vectors: DataFrame, baseline: DataFrame, names: Sequence[str], window_size: int
 ) -> DataFrame:
-    """Each entity's features, or its department's mean where it has none of its own.
+    """Each entity's features in one window, or its department's mean where it has none of its own.
 
-    `baseline` has (department, feature, mean) rows.
+    `baseline` has (department, window_size, feature, mean) rows.
     """
-    means = baseline.groupBy("department").agg(
+    means = baseline.filter(F.col("window_size") == window_size).groupBy("department").agg(
         *[F.max(F.when(F.col("feature") == name, F.col("mean"))).alias(f"_{name}") for name in names]
     )
-    own = vectors.select("entity_id", *names)
+    own = vectors.filter(F.col("window_size") == window_size).select("entity_id", *names)
     return (
         entities.select("entity_id", "department")
         .join(own, "entity_id", "left")

@@ -8,17 +8,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchmere.functions.columns import seconds_interval
 from watchmere.schemas import WINDOW_SECONDS, as_timestamp
 
 
+def by_day(rows: DataFrame, day: str, first: Column | None, last: Column | None) -> DataFrame:
+    """Where a table is partitioned by a day column, its partitions are cut down to the days of a time range."""
+    if day in rows.columns:
+        if first is not None:
+            rows = rows.filter(F.col(day) >= F.to_date(first))
+        if last is not None:
+            rows = rows.filter(F.col(day) <= F.to_date(last))
+    return rows
+
+
 def window_events(events: DataFrame, as_of, window_seconds: int, time: str = "event_time") -> DataFrame:
     """Events not older than the window and not after `as_of`, both ends included."""
     end = as_timestamp(as_of)
-    return events.filter((F.col(time) >= end - seconds_interval(window_seconds)) & (F.col(time) <= end))
+    start = end - seconds_interval(window_seconds)
+    held = by_day(events, "event_date", start, end) if time == "event_time" else events
+    return held.filter((F.col(time) >= start) & (F.col(time) <= end))
 
 
 def in_windows(
@@ -52,7 +64,8 @@ def multi_window(events: DataFrame, as_of, windows: Sequence[int] = WINDOW_SECON
 
 def evict_old_events(events: DataFrame, as_of, max_age_seconds: int = max(WINDOW_SECONDS)) -> DataFrame:
     """Events that stay under the retention rule."""
-    return events.filter(F.col("event_time") >= as_timestamp(as_of) - seconds_interval(max_age_seconds))
+    oldest = as_timestamp(as_of) - seconds_interval(max_age_seconds)
+    return by_day(events, "event_date", oldest, None).filter(F.col("event_time") >= oldest)
 
 
 def eviction_report(events: DataFrame, as_of, max_age_seconds: int = max(WINDOW_SECONDS)) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ class Detectors:
     """The trained models by name; a model that could not be trained is left out."""
 
     models: dict[str, Forest | Autoencoder | BoostedTrees]
+    # Names and reasons of models that the rows could not train.
+    left_out: dict[str, str] = field(default_factory=dict)
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Long rows (entity_id, model_name, anomaly_score, is_anomaly), one per row and model."""
@@ -66,6 +69,7 @@ def train_detectors(
         "isolation_forest": train_forest(normal, len(names)),
         "autoencoder": train_autoencoder(normal, len(names), **autoencoder),
     }
+    left_out: dict[str, str] = {}
     if attack is not None:
         both = normal.select("features", F.lit(0).alias("label")).unionByName(
             attack.select("features", F.lit(1).alias("label"))
@@ -73,9 +77,11 @@ def train_detectors(
         rounds = {"rounds": boosting_rounds} if boosting_rounds else {}
         try:
             models["boosted_trees"] = train_boosted_trees(both, names, **rounds)
-        except OneClassError:
-            pass
-    return Detectors(models)
+        except OneClassError as reason:
+            left_out["boosted_trees"] = str(reason)
+    else:
+        left_out["boosted_trees"] = "no rows of attacks were given"
+    return Detectors(models, left_out)
 
 
 @dataclass(frozen=True)
@@ -91,11 +97,19 @@ class Pipeline:
         normalized = N.normalize(raw_logs).withColumn("event_date", F.to_date("event_time"))
         spark = raw_logs.sparkSession
         outcome = F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected")
-        normalized.withColumn("outcome", outcome).write.mode("append").partitionBy("outcome", "event_date").parquet(
-            f"{self.path}/events"
-        )
+        rows = normalized.withColumn("outcome", outcome)
+        try:
+            written = spark.read.schema(rows.schema).parquet(f"{self.path}/events")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            # Events that an earlier run has written stay; the day takes part so that other days are not read.
+            known = written.select("event_id", "event_date", "outcome")
+            rows = rows.join(known, ["event_id", "event_date", "outcome"], "left_anti")
+        rows.write.mode("append").partitionBy("outcome", "event_date").parquet(f"{self.path}/events")
         table = spark.read.parquet(f"{self.path}/events").filter(F.col("outcome") == "accepted")
-        return table.select(*NORMALIZED_EVENT.names)
+        return table.select(*NORMALIZED_EVENT.names, "event_date")
 
     def vectors(self, events: DataFrame, entities: DataFrame | None = None) -> DataFrame:
         flat = FE.flattened_features(events, self.as_of, self.windows, entities=entities)

@@ -6,6 +6,7 @@ a three-way join: slow but plain.
 
 from __future__ import annotations
 
+from watchmere.schemas import NORMALIZED_EVENT
 from watchmere.sources import projections as P
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -104,7 +105,7 @@ WHERE event_time >= {AS_OF} - to_seconds(win.w) AND event_time <= {AS_OF}
 """,
     ("sec_events", "win"),
 )
-_TABLES["spine"] = ("SELECT DISTINCT e.entity_id, win.w AS w FROM @sec_events e, @win win", ("sec_events", "win"))
+_TABLES["spine"] = ("SELECT DISTINCT e.entity_id, win.w AS w FROM @wev e, @win win", ("wev", "win"))
 _TABLES["f_counts"] = (
     """
 SELECT entity_id, w, count(*) AS n,
@@ -364,7 +365,7 @@ WHERE written_at <= {AS_OF} AND expires_at > {AS_OF}) x WHERE r = 1
 for _name, _hours in (("week", 168), ("half_day", 12)):
     _TABLES[_name] = (
         f"""
-SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY written_at DESC) AS r FROM @feature_log
+SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, window_size ORDER BY written_at DESC) AS r FROM @feature_log
 WHERE written_at <= {AS_OF} AND written_at + INTERVAL {_hours} HOUR > {AS_OF}) x WHERE r = 1
 """,
         ("feature_log",),
@@ -406,14 +407,25 @@ def r6(text: str) -> str:
 
 _NORMALIZED = "event_id, event_time, source_type, event_type, entity_id, entity_type, source_ip, hostname, username, raw_message, dns_query"
 
+_EVENT_JSON = " || ',' || ".join(
+    f"'\"{name}\":' || "
+    + (
+        "'\"' || strftime(event_time, '%Y-%m-%dT%H:%M:%S.%g') || 'Z\"'"
+        if name == "event_time"
+        else f"coalesce(to_json({name})::VARCHAR, 'null')"
+        if name in _NORMALIZED.split(", ")
+        else "'null'"
+    )
+    for name in NORMALIZED_EVENT.names
+)
+
 _SQL: dict[str, str] = {
     **{
         f"normalize_{kind}": f"SELECT {_NORMALIZED} FROM @outcomes WHERE reject_reason IS NULL AND source_type = '{kind}'"
         for kind in ("windows", "linux", "cloudtrail", "dns", "ocsf")
     },
     "raw_log_source": "SELECT value, source_type, ingest_time FROM @raw_logs",
-    "normalized_sink": """SELECT entity_id AS key, '{"event_id":' || to_json(event_id) || ',"source_type":' || to_json(source_type) || ',"event_type":' || to_json(event_type)
-        || ',"entity_id":' || to_json(entity_id) || ',"source_ip":' || coalesce(to_json(source_ip)::VARCHAR, 'null') || '}' AS value FROM @outcomes WHERE reject_reason IS NULL""",
+    "normalized_sink": f"SELECT entity_id AS key, '{{' || {_EVENT_JSON} || '}}' AS value FROM @outcomes WHERE reject_reason IS NULL",
     "route_by_source": "SELECT source_type, 'routed' AS route, count(*) AS records FROM @raw_logs GROUP BY source_type",
     "process_raw_logs": f"SELECT {_NORMALIZED} FROM @outcomes WHERE reject_reason IS NULL",
     "consume_events": f"SELECT {_NORMALIZED} FROM @outcomes WHERE reject_reason IS NULL",
@@ -424,7 +436,7 @@ _SQL: dict[str, str] = {
     "window_events": "SELECT entity_id, event_id, event_time FROM @wev WHERE w = 86400",
     "multi_window": "SELECT entity_id, w AS window_size, count(*) AS event_count, min(event_time) AS first_event, max(event_time) AS last_event FROM @wev GROUP BY entity_id, w",
     "extract_features": f"SELECT entity_id, window_size, {', '.join(n for f in _ALL for n in _FEATURE_SQL[f])} FROM @f_long",
-    "feature_vector": f"SELECT entity_id, {AS_OF} AS timestamp, window_size, true AS is_valid, 33::BIGINT AS feature_count, login_count, hostname_entropy FROM @f_long",
+    "feature_vector": f"SELECT entity_id, {AS_OF} AS timestamp, window_size, true AS is_valid, 33::BIGINT AS feature_count, {', '.join(n for f in _ALL for n in _FEATURE_SQL[f])} FROM @f_long",
     "flattened_features": "SELECT entity_id, "
     + ", ".join(
         f"max({name}) FILTER (window_size = {w}) AS w{w}_{name}"
@@ -433,11 +445,7 @@ _SQL: dict[str, str] = {
         for name in _FEATURE_SQL[f]
     )
     + " FROM @f_long GROUP BY entity_id",
-    "zero_fill": "SELECT entity_id, window_size, "
-    + ", ".join(
-        f"0.0::DOUBLE AS {name}" for f in ("frequency", "timeseries") for name in _FEATURE_SQL[f] if name != "periodicity_score"
-    )
-    + " FROM @f_long WHERE n = 0",
+    "zero_fill": f"SELECT entity_id, window_size, {', '.join(n for f in _ALL for n in _FEATURE_SQL[f])} FROM @f_long WHERE n = 0",
     **{
         f"features_{family}": f"SELECT entity_id, window_size, {', '.join(_FEATURE_SQL[family])} FROM @f_long" for family in _ALL
     },
@@ -456,14 +464,14 @@ _SQL: dict[str, str] = {
     "store_entity_ids": "SELECT DISTINCT entity_id FROM @live",
     "save_baseline_features": f"SELECT entity_id, window_size, {_STORED}, 1 AS version, {AS_OF} AS written_at, {AS_OF} + INTERVAL 7 DAY AS expires_at FROM @newest",
     "population_baseline": " UNION ALL ".join(
-        f"SELECT department, count(*) AS members, '{name}' AS feature, {r6(f'avg({name})')} AS mean, {r6(f'stddev_pop({name})')} AS std FROM @week w JOIN @entities e ON w.entity_id = e.entity_id GROUP BY department"
+        f"SELECT department, window_size, count(*) AS members, '{name}' AS feature, {r6(f'avg({name})')} AS mean, {r6(f'stddev_pop({name})')} AS std FROM @week w JOIN @entities e ON w.entity_id = e.entity_id GROUP BY department, window_size"
         for name in _STORED.split(", ")
     ),
     "cold_start_features": "SELECT e.entity_id, "
     + ", ".join(f"{r6(f'coalesce(h.{name}, m.{name})')} AS {name}" for name in _STORED.split(", "))
-    + """ FROM @entities e LEFT JOIN @half_day h ON e.entity_id = h.entity_id LEFT JOIN (SELECT department, """
+    + """ FROM @entities e LEFT JOIN @half_day h ON e.entity_id = h.entity_id AND h.window_size = 86400 LEFT JOIN (SELECT department, """
     + ", ".join(f"avg({name}) AS {name}" for name in _STORED.split(", "))
-    + " FROM @week w JOIN @entities e ON w.entity_id = e.entity_id GROUP BY department) m ON e.department = m.department",
+    + " FROM @week w JOIN @entities e ON w.entity_id = e.entity_id WHERE w.window_size = 86400 GROUP BY department) m ON e.department = m.department",
     "save_predictions": f"""SELECT entity_id, model_name, {r6('anomaly_score')} AS anomaly_score, event_time AS written_at, event_time + INTERVAL 1 DAY AS expires_at
         FROM (SELECT s.*, e.event_time, row_number() OVER (PARTITION BY s.entity_id, s.model_name ORDER BY e.event_time DESC) AS r FROM @model_scores s JOIN @sec_events e ON s.event_id = e.event_id
               WHERE e.event_time + INTERVAL 1 DAY > {AS_OF}) x WHERE r = 1""",
@@ -513,7 +521,7 @@ _SQL: dict[str, str] = {
         count(*) FILTER (severity = 'medium') AS medium_alerts, count(*) FILTER (severity = 'low') AS low_alerts, count(*) FILTER (status = 'new' OR status = 'in_progress') AS open_alerts,
         count(*) FILTER (status = 'resolved' AND resolved_at >= {DAY_OF_ALERTS}) AS resolved_today,
         count(*) FILTER (status = 'false_positive' AND resolved_at >= {DAY_OF_ALERTS}) AS false_positives_today FROM @alerts""",
-    "filter_alerts": "SELECT * EXCLUDE (resolved_at) FROM @alerts WHERE severity = 'critical' AND status = 'new' AND attack_type = 'brute_force'",
+    "filter_alerts": "SELECT * FROM @alerts WHERE severity = 'critical' AND status = 'new' AND attack_type = 'brute_force'",
     "page_alerts": "SELECT alert_id, event_time, severity, (SELECT count(*) FROM @alerts) AS total FROM @alerts ORDER BY event_time DESC, alert_id LIMIT 20 OFFSET 40",
     "lookup_alerts": "SELECT alert_id, severity, status FROM @alerts WHERE alert_id IN (SELECT alert_id FROM @feedback)",
     "missing_alerts": "SELECT DISTINCT 'al-' || (eid * 2)::VARCHAR AS alert_id FROM @sec_events WHERE 'al-' || (eid * 2)::VARCHAR NOT IN (SELECT alert_id FROM @alerts)",
@@ -529,7 +537,9 @@ _SQL: dict[str, str] = {
     "delete_alerts": "SELECT alert_id FROM @alerts WHERE alert_id NOT IN (SELECT alert_id FROM @feedback)",
     "create_alerts": f"""SELECT sha256(e.entity_id || '|' || epoch_us({AS_OF})::VARCHAR) AS alert_id, {AS_OF} AS event_time, e.entity_id, 'user' AS entity_type,
         CASE WHEN final_score > 0.5 THEN 'high' ELSE 'low' END AS severity, 'unknown' AS attack_type, 0.5::DOUBLE AS confidence, {r6('final_score')} AS anomaly_score, 'new' AS status,
-        'Anomalous behavior of ' || e.entity_id AS title, coalesce(n.narrative, '') AS description FROM @ensemble e LEFT JOIN @narratives n ON e.entity_id = n.entity_id""",
+        'Anomalous behavior of ' || e.entity_id AS title, coalesce(n.narrative, '') AS description, e.entity_id AS affected_assets, '' AS related_alerts,
+        NULL::VARCHAR AS feature_importance, n.narrative AS explanation, NULL::VARCHAR AS assigned_to, NULL::TIMESTAMP AS resolved_at, NULL::VARCHAR AS resolution_notes,
+        NULL::DOUBLE AS feedback_score FROM @ensemble e LEFT JOIN @narratives n ON e.entity_id = n.entity_id""",
     "entity_risk": f"""SELECT entity_id, {r6('s')} AS risk_score, event_time AS last_assessment FROM
         (SELECT m.entity_id, m.event_id, e.event_time, avg(anomaly_score) AS s, row_number() OVER (PARTITION BY m.entity_id ORDER BY e.event_time DESC) AS r
          FROM @model_scores m JOIN @sec_events e ON m.event_id = e.event_id GROUP BY m.entity_id, m.event_id, e.event_time) x WHERE r = 1""",
@@ -563,6 +573,28 @@ _SQL: dict[str, str] = {
         FROM @sec_events WHERE event_type = 'privilege_escalation' GROUP BY ALL HAVING count(*) >= 2""",
 }
 
+# The named rules run with their defaults; the wider ones keep the limits written above.
+for _name, _wide, _limits in (
+    ("detect_brute_force", "detect_brute_force_hour", (("3599 PRECEDING", "299 PRECEDING"), ("failures >= 2", "failures >= 3"))),
+    ("detect_impossible_travel", "detect_fast_travel", (("> 100", "> 1000"),)),
+    ("detect_exfiltration", "detect_exfiltration_day", (("86400 SECOND", "600 SECOND"),)),
+    ("detect_privilege_escalation", "detect_privilege_escalation_day", (("86400 SECOND", "120 SECOND"),)),
+):
+    _SQL[_wide] = _SQL[_name]
+    for _old, _new in _limits:
+        _SQL[_name] = _SQL[_name].replace(_old, _new)
+
+_SQL["alert_lifecycle"] = f"""SELECT sha256(entity_id || '|' || epoch_us({AS_OF})::VARCHAR) AS alert_id, 'user' AS entity_type,
+    CASE WHEN final_score > 0.5 THEN 'high' ELSE 'low' END AS severity,
+    CASE WHEN final_score > 0.75 OR final_score <= 0.5 THEN 'resolved' ELSE 'false_positive' END AS status,
+    CASE WHEN final_score > 0.5 THEN 'analyst-1' END AS assigned_to, {AS_OF} AS resolved_at,
+    CASE WHEN final_score <= 0.5 THEN 'too small' END AS resolution_notes FROM @ensemble"""
+_SQL["alert_lifecycle_stats"] = """SELECT count(*) AS total_alerts, 0::BIGINT AS critical_alerts, count(*) FILTER (final_score > 0.5) AS high_alerts,
+    0::BIGINT AS medium_alerts, count(*) FILTER (final_score <= 0.5) AS low_alerts, count(*) FILTER (final_score > 0.5) AS open_alerts,
+    count(*) FILTER (final_score <= 0.5) AS resolved_today, 0::BIGINT AS false_positives_today FROM @ensemble"""
+_SQL["model_persistence"] = f"""SELECT model_name, (SELECT count(*) FROM embeddings) AS scored_rows, 0.0::DOUBLE AS largest_difference
+    FROM (SELECT unnest(['isolation_forest', 'autoencoder', 'boosted_trees']) AS model_name) m"""
+
 # A stream gives the same rows as its batch.
 _SQL["stream_normalize"] = _SQL["process_raw_logs"]
 _SQL["stream_entity_buffer"] = (
@@ -571,6 +603,7 @@ _SQL["stream_entity_buffer"] = (
 _SQL["stream_eviction"] = "SELECT event_id, event_time, entity_id FROM @sec_events"
 _SQL["stream_periodic_features"] = _SQL["extract_features"]
 _SQL["stream_exfiltration"] = _SQL["detect_exfiltration"]
+_SQL["stream_exfiltration_day"] = _SQL["detect_exfiltration_day"]
 # Windows that the watermark, an hour before the last event, has passed.
 _SQL["stream_sliding_features"] = """SELECT entity_id, s AS window_start, s + INTERVAL 1 DAY AS window_end, count(*) AS event_count, """ + ", ".join(
     f"count(*) FILTER (contains(event_type, '{text}')) AS {name}"

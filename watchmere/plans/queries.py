@@ -24,7 +24,7 @@ from watchmere.operators.attribution import attribution_shap as shapley_values
 from watchmere.operators.attribution import background_rows
 from watchmere.operators.autoencoder import train_autoencoder
 from watchmere.operators.boosted import train_boosted_trees
-from watchmere.operators.forest import Forest, train_forest
+from watchmere.operators.forest import train_forest
 from watchmere.plans.detection import Detectors, Pipeline, train_detectors
 from watchmere.schemas import WINDOW_SECONDS
 from watchmere.session import prepare, scratch_path
@@ -104,7 +104,7 @@ def raw_log_source(spark, root):
 @query("normalized_sink")
 def normalized_sink(spark, root):
     events = N.accepted(N.normalize(P.raw_logs(spark, root)))
-    return N.keyed_json(events.select("event_id", "source_type", "event_type", "entity_id", "source_ip"))
+    return N.keyed_json(events)
 
 
 @query("route_by_source")
@@ -171,8 +171,7 @@ def feature_vector(spark, root):
         "window_size",
         "is_valid",
         F.size("features").cast("bigint").alias("feature_count"),
-        F.col("features")["login_count"].alias("login_count"),
-        F.col("features")["hostname_entropy"].alias("hostname_entropy"),
+        *[F.col("features")[name].alias(name) for name in FE.FEATURE_NAMES],
     )
 
 
@@ -184,8 +183,7 @@ def flattened_features(spark, root):
 @query("zero_fill")
 def zero_fill(spark, root):
     """Entities without any event in a window have rows of zeros."""
-    long = FE.extract_features(P.sec_events(spark, root), AS_OF, families=["frequency", "timeseries"])
-    return long.filter(F.col("events_per_hour") == 0).drop("periodicity_score")
+    return FE.extract_features(P.sec_events(spark, root), AS_OF).filter(F.col("events_per_hour") == 0)
 
 
 for _family in FE.FAMILIES:
@@ -209,6 +207,7 @@ def evict_old_events(spark, root):
 # Feature store.
 
 STORED = ("login_count", "unique_hosts", "unique_ips")
+VECTOR_KEYS = ("entity_id", "window_size")
 
 
 def _vector_log(spark, root):
@@ -279,17 +278,17 @@ def save_baseline_features(spark, root):
 
 @query("population_baseline")
 def population_baseline(spark, root):
-    vectors = S.latest(S.stamped(P.feature_log(spark, root), ttl_seconds=7 * 86400), ["entity_id"], AS_OF)
+    vectors = S.latest(S.stamped(P.feature_log(spark, root), ttl_seconds=7 * 86400), VECTOR_KEYS, AS_OF)
     return S.population_baseline(vectors, P.entities(spark, root), list(STORED))
 
 
 @query("cold_start_features")
 def cold_start_features(spark, root):
-    """Entities without a live vector take their department's mean."""
+    """Entities without a live vector of the day window take their department's mean in that window."""
     people = P.entities(spark, root)
-    recent = S.latest(S.stamped(P.feature_log(spark, root), ttl_seconds=43200), ["entity_id"], AS_OF)
-    week = S.latest(S.stamped(P.feature_log(spark, root), ttl_seconds=7 * 86400), ["entity_id"], AS_OF)
-    return S.cold_start_features(people, recent, S.population_baseline(week, people, list(STORED)), list(STORED))
+    recent = S.latest(S.stamped(P.feature_log(spark, root), ttl_seconds=43200), VECTOR_KEYS, AS_OF)
+    week = S.latest(S.stamped(P.feature_log(spark, root), ttl_seconds=7 * 86400), VECTOR_KEYS, AS_OF)
+    return S.cold_start_features(people, recent, S.population_baseline(week, people, list(STORED)), list(STORED), 86400)
 
 
 @query("save_predictions")
@@ -427,7 +426,7 @@ def degree_centrality(spark, root):
 @query("neighbors_k_hop")
 def neighbors_k_hop(spark, root):
     """Direct neighbours of every node."""
-    return G.neighbors_k_hop(*_graph(spark, root))
+    return G.neighbors_k_hop(*_graph(spark, root), limit=G.NEIGHBOR_LIMIT)
 
 
 @query("neighbors_from_entity")
@@ -497,9 +496,7 @@ def dashboard_stats(spark, root):
 
 @query("filter_alerts")
 def filter_alerts(spark, root):
-    return A.filter_alerts(P.alerts(spark, root), severity="critical", status="new", attack_type="brute_force").drop(
-        "resolved_at"
-    )
+    return A.filter_alerts(P.alerts(spark, root), severity="critical", status="new", attack_type="brute_force")
 
 
 @query("page_alerts")
@@ -559,11 +556,49 @@ def delete_alerts(spark, root):
 
 @query("create_alerts")
 def create_alerts(spark, root):
+    return plain_alerts(_new_alerts(spark, root))
+
+
+def _new_alerts(spark, root):
     scored = E.ensemble_score(_predictions(spark, root))
     told = X.alert_narratives(P.attributions(spark, root))
     return A.create_alerts(scored, AS_OF, told)
 
 
+def plain_alerts(alerts: DataFrame) -> DataFrame:
+    """Alerts with their lists and maps as text."""
+    lists = {name: F.array_join(name, ",") for name in ("affected_assets", "related_alerts")}
+    return alerts.withColumns({**lists, "feature_importance": F.to_json("feature_importance")})
+
+
+@query("alert_lifecycle")
+def alert_lifecycle(spark, root):
+    """New alerts are given to analysts, the low ones are closed, and feedback decides about the rest."""
+    alerts = _new_alerts(spark, root)
+    high, low = alerts.filter("severity = 'high'"), alerts.filter("severity = 'low'")
+    given = A.assign_alerts(alerts, high.select("alert_id", F.lit("analyst-1").alias("analyst_id")))
+    closed = A.resolve_alerts(given, low.select("alert_id", F.lit("too small").alias("resolution_notes")), AS_OF)
+    verdicts = high.select(
+        F.concat(F.lit("fb-"), "entity_id").alias("feedback_id"),
+        "alert_id",
+        "event_time",
+        (F.col("anomaly_score") > 0.75).alias("is_true_positive"),
+        F.lit(5).alias("confidence"),
+    )
+    done = B.apply_disposition(closed, verdicts)
+    return done.select("alert_id", "entity_type", "severity", "status", "assigned_to", "resolved_at", "resolution_notes")
+
+
+@query("alert_lifecycle_stats")
+def alert_lifecycle_stats(spark, root):
+    """The dashboard over alerts after assignment and resolution."""
+    alerts = _new_alerts(spark, root)
+    low = alerts.filter("severity = 'low'")
+    return A.dashboard_stats(
+        A.resolve_alerts(alerts, low.select("alert_id", F.lit("too small").alias("resolution_notes")), AS_OF), AS_OF
+    )
+
+
 @query("entity_risk")
 def entity_risk(spark, root):
     """The ensemble score of the last event of each entity."""
@@ -624,29 +659,58 @@ def apply_disposition(spark, root):
 
 @query("detect_brute_force")
 def detect_brute_force(spark, root):
-    """At least two failures in an hour, the given events being sparse."""
-    return R.detect_brute_force(P.sec_events(spark, root), failures=2, seconds=3600)
+    return R.detect_brute_force(P.sec_events(spark, root))
 
 
 @query("detect_impossible_travel")
 def detect_impossible_travel(spark, root):
-    return R.detect_impossible_travel(P.sec_events(spark, root), kmh=100.0)
+    return R.detect_impossible_travel(P.sec_events(spark, root))
 
 
 @query("detect_exfiltration")
 def detect_exfiltration(spark, root):
-    return R.detect_exfiltration(P.sec_events(spark, root), seconds=86400)
+    return R.detect_exfiltration(P.sec_events(spark, root))
 
 
 @query("detect_privilege_escalation")
 def detect_privilege_escalation(spark, root):
+    return R.detect_privilege_escalation(P.sec_events(spark, root))
+
+
+# The same rules with wider limits, under which the sparse given events show more.
+
+
+@query("detect_brute_force_hour")
+def detect_brute_force_hour(spark, root):
+    """At least two failures in an hour, the given events being sparse."""
+    return R.detect_brute_force(P.sec_events(spark, root), failures=2, seconds=3600)
+
+
+@query("detect_fast_travel")
+def detect_fast_travel(spark, root):
+    return R.detect_impossible_travel(P.sec_events(spark, root), kmh=100.0)
+
+
+@query("detect_exfiltration_day")
+def detect_exfiltration_day(spark, root):
+    return R.detect_exfiltration(P.sec_events(spark, root), seconds=86400)
+
+
+@query("detect_privilege_escalation_day")
+def detect_privilege_escalation_day(spark, root):
     return R.detect_privilege_escalation(P.sec_events(spark, root), count=2, seconds=86400)
 
 
-# Trained detectors. The boosted trees run fewer rounds here than the library's default of 200,
-# because each round is several Spark jobs however few the rows are.
+# Trained detectors. Several queries ask about the same model; a session trains it once for each folder.
+
+_TRAINED: dict[tuple[str, str, str], object] = {}
+
 
-BOOSTING_ROUNDS = 10
+def _once(spark, root, name, train):
+    key = (spark.sparkContext.applicationId, root, name)
+    if key not in _TRAINED:
+        _TRAINED[key] = train()
+    return _TRAINED[key]
 
 
 def _matrix(spark, root):
@@ -692,7 +756,7 @@ def autoencoder_score(spark, root):
 
 
 def _boosted(spark, root):
-    return train_boosted_trees(_matrix(spark, root), _matrix_names(), rounds=BOOSTING_ROUNDS)
+    return _once(spark, root, "boosted", lambda: train_boosted_trees(_matrix(spark, root), _matrix_names()))
 
 
 @query("boosted_trees_train")
@@ -716,14 +780,17 @@ def boosted_trees_importance(spark, root):
 
 @query("boosted_trees_fallback")
 def boosted_trees_fallback(spark, root):
-    model = train_boosted_trees(_matrix(spark, root), _matrix_names(), rounds=BOOSTING_ROUNDS, fallback=True)
+    model = train_boosted_trees(_matrix(spark, root), _matrix_names(), fallback=True)
     return model.transform(_matrix(spark, root)).drop("features")
 
 
 def _detectors(spark, root):
     rows = _matrix(spark, root)
-    return train_detectors(
-        rows.filter("label = 0"), rows.filter("label = 1"), _matrix_names(), boosting_rounds=BOOSTING_ROUNDS
+    return _once(
+        spark,
+        root,
+        "detectors",
+        lambda: train_detectors(rows.filter("label = 0"), rows.filter("label = 1"), _matrix_names()),
     )
 
 
@@ -735,10 +802,17 @@ def ensemble_train(spark, root):
 
 @query("model_persistence")
 def model_persistence(spark, root):
-    """A forest is saved and loaded; its scores are those of the loaded one."""
+    """All detectors are saved and loaded: per detector the rows scored and the largest difference."""
     path = scratch_path(spark, "saved")
-    _forest(spark, root).save(spark, path)
-    return Forest.load(spark, path).transform(_matrix(spark, root)).drop("features")
+    detectors = _detectors(spark, root)
+    detectors.save(spark, path)
+    scores = scratch_path(spark, "saved_scores")
+    detectors.score(_matrix(spark, root)).write.parquet(scores)
+    again = Detectors.load(spark, path).score(_matrix(spark, root)).withColumnRenamed("anomaly_score", "again")
+    both = spark.read.parquet(scores).join(again.drop("is_anomaly"), ["entity_id", "model_name"])
+    return both.groupBy("model_name").agg(
+        F.count("*").alias("scored_rows"), F.max(F.abs(F.col("anomaly_score") - F.col("again"))).alias("largest_difference")
+    )
 
 
 def _flagged(spark, root):
@@ -774,10 +848,11 @@ def retrain(spark, root):
 
     Alerts name customers and vectors name users; user numbers stand for both.
     """
-    vectors = S.latest(S.stamped(P.feature_log(spark, root), ttl_seconds=30 * 86400), ["entity_id"], AS_OF)
+    log = P.feature_log(spark, root).filter(F.col("window_size") == 86400)
+    vectors = S.latest(S.stamped(log, ttl_seconds=30 * 86400), VECTOR_KEYS, AS_OF)
     stored = vectors.select("entity_id", F.array(*STORED).alias("features"))
     rows = B.training_rows(B.pending_feedback(P.feedback(spark, root)), P.alerts(spark, root), stored)
-    model = train_boosted_trees(rows, list(STORED), rounds=BOOSTING_ROUNDS)
+    model = train_boosted_trees(rows, list(STORED))
     return model.transform(rows).select(
         "row_key", "label", "anomaly_score", "is_anomaly", F.lit(B.next_version(B.FIRST_VERSION)).alias("model_version")
     )
@@ -790,7 +865,7 @@ def pipeline_alerts(spark, root):
     events = pipeline.events(P.raw_logs(spark, root))
     vectors = pipeline.vectors(events)
     detectors = pipeline.train(vectors)
-    return pipeline.alerts(vectors, detectors)
+    return plain_alerts(pipeline.alerts(vectors, detectors))
 
 
 # Streams.
@@ -857,17 +932,22 @@ def stream_sliding_features(spark, root):
 
 @query("stream_to_alerts")
 def stream_to_alerts(spark, root):
-    """A stream of vectors scored by a saved detector, its alerts appended to a log."""
+    """A stream of vectors scored by all detectors, saved and loaded, its alerts appended to a log."""
     path = scratch_path(spark, "stream_detectors")
-    Detectors({"isolation_forest": _forest(spark, root)}).save(spark, path)
-    detectors = Detectors.load(spark, path, ("isolation_forest",))
+    _detectors(spark, root).save(spark, path)
+    detectors = Detectors.load(spark, path)
     stream = stream_table(spark, root, "embeddings").select(
         F.col("vec_id").alias("row_key"), F.col("embedding").cast("array<double>").alias("features")
     )
-    return J.run_to_table(J.score_stream(stream, detectors, AS_OF), scratch_path(spark, "alert_log"))
+    return plain_alerts(J.run_to_table(J.score_stream(stream, detectors, AS_OF), scratch_path(spark, "alert_log")))
 
 
 @query("stream_exfiltration")
 def stream_exfiltration(spark, root):
+    return J.run_to_table(J.exfiltration_stream(_event_stream(spark, root)), scratch_path(spark, "exfiltration"))
+
+
+@query("stream_exfiltration_day")
+def stream_exfiltration_day(spark, root):
     found = J.exfiltration_stream(_event_stream(spark, root), seconds=86400)
     return J.run_to_table(found, scratch_path(spark, "exfiltration"))

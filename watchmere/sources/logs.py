@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchmere.operators.normalize import keyed_json
@@ -25,14 +25,29 @@ def kafka_raw_logs(spark: SparkSession, servers: str, topic: str = RAW_TOPIC, **
         .option("startingOffsets", "earliest")
     )
     stream = reader.options(**options).load()
-    return stream.select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("ingest_time"))
+    place = F.concat_ws(":", "topic", F.col("partition").cast("string"), F.col("offset").cast("string"))
+    return stream.select(
+        F.col("value").cast("string").alias("value"), F.col("timestamp").alias("ingest_time"), place.alias("record_place")
+    )
 
 
 def file_raw_logs(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Raw logs from JSON text files, one record per line, the file time being the ingest time."""
+    """Raw logs from JSON text files, one record per line, the file time being the ingest time.
+
+    A record's place is its file and, among equal lines of that file, its number; a stream, which reads a
+    file once and cannot count over it, takes the row's number in its task.
+    """
     reader = spark.readStream if streaming else spark.read
-    lines = reader.text(path)
-    return lines.select("value", F.col("_metadata.file_modification_time").alias("ingest_time"))
+    lines = reader.text(path).select(
+        "value",
+        F.col("_metadata.file_modification_time").alias("ingest_time"),
+        F.col("_metadata.file_path").alias("_file"),
+    )
+    if streaming:
+        number = F.monotonically_increasing_id()
+    else:
+        number = F.row_number().over(Window.partitionBy("_file", "value").orderBy("ingest_time"))
+    return lines.select("value", "ingest_time", F.concat_ws(":", "_file", number.cast("string")).alias("record_place"))
 
 
 def table_raw_logs(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:

@@ -19,6 +19,7 @@ from watchmere.operators import features as FE
 from watchmere.operators import normalize as N
 from watchmere.operators import rules as R
 from watchmere.operators.alerts import create_alerts
+from watchmere.operators.windows import by_day
 from watchmere.schemas import ALERT_STATUSES, WINDOW_SECONDS, as_timestamp
 
 RETENTION = "7 days"
@@ -88,7 +89,8 @@ def changed_entities(events: DataFrame, since, as_of, windows: Sequence[int] = W
     moved = (time > start) & (time <= end)
     for w in windows:
         moved = moved | ((time >= start - seconds_interval(w)) & (time < end - seconds_interval(w)))
-    return events.filter(moved).select("entity_id").distinct()
+    held = by_day(events, "event_date", start - seconds_interval(max(windows)), end)
+    return held.filter(moved).select("entity_id").distinct()
 
 
 def refresh_features(
