@@ -56,7 +56,7 @@ def page_alerts(alerts: DataFrame, page: int = 1, page_size: int = 20, after: tu
     total = alerts.agg(F.count("*").alias("total")).select("total", F.lit(1).alias("_one"))
     # Both sides are bounded by construction: one row and one page. An equi-join on a constant attaches them.
     joined = total.join(rows.withColumn("_one", F.lit(1)), "_one", "left")
-    return joined.select(*alerts.columns, "total")
+    return joined.select(*alerts.columns, "total").orderBy(F.desc("event_time"), "alert_id")
 
 
 def lookup_alerts(alerts: DataFrame, requested: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ def linux_rule(record: Record, text: Column) -> Rule:
     message = record.first("message", "Message", default="")
     # A pattern that matches captures at least one character, so the first capture is the user.
     users = [_first_match(message, pattern) for pattern, _ in SYSLOG_PATTERNS]
-    kinds = [F.when(message.rlike(REGEX_FLAGS + pattern), kind) for pattern, kind in SYSLOG_PATTERNS]
+    kinds = [F.when(user.isNotNull(), kind) for user, (_, kind) in zip(users, SYSLOG_PATTERNS)]
     host = record.text("hostname")
     return Rule(
         fields={
@@ -212,6 +212,15 @@ RULE_FIELDS = (
     "entity_type",
     "dns_query",
     "url",
+    "session_id",
+    "process_id",
+    "command_line",
+    "file_path",
+    "user_agent",
+    "isp",
+    "country",
+    "city",
+    "location",
 )
 
 
@@ -279,19 +288,23 @@ def normalize(raw: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame
     kind = F.col("source_type")
     rules = {name: RULES[name](record, text) for name in (kinds or tuple(RULES))}
 
-    nothing = F.lit(None).cast("string")
+    nothing = F.lit(None)
 
     def draw(rule: Rule) -> Column:
         """What one rule makes of a record, as a struct that is the same for every rule."""
         tests = (("invalid_type", F.col("_odd") & record.not_text(*rule.texts)), *rule.refuse)
         prefix, name, owner_type = rule.owner or (None, nothing, None)
         drawn = {field: rule.fields.get(field, nothing) for field in RULE_FIELDS}
-        drawn["_owner"] = F.concat(F.lit(prefix).cast("string"), name)
+        unknown = set(rule.fields) - set(RULE_FIELDS)
+        if unknown:
+            raise ValueError(f"events have no {', '.join(sorted(unknown))}")
+        drawn["_owner"] = F.concat(F.lit(prefix).cast("string"), name.cast("string"))
         drawn["_owner_type"] = F.lit(owner_type).cast("string")
         drawn["_by_user"] = F.lit(rule.owner is not None and rule.by_user)
         drawn["_no_type"] = F.lit(rule.no_type).cast("string")
         drawn["_refused"] = F.coalesce(*[F.when(test, label) for label, test in tests])
-        return F.struct(*[value.cast("string" if field != "_by_user" else "boolean").alias(field) for field, value in drawn.items()])
+        kinds = {"_by_user": "boolean", "location": NORMALIZED_EVENT["location"].dataType}
+        return F.struct(*[value.cast(kinds.get(field, "string")).alias(field) for field, value in drawn.items()])
 
     drawn = F
     for name, rule in rules.items():
@@ -316,6 +329,7 @@ def normalize(raw: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame
     columns = {f.name: F.lit(None).cast(f.dataType) for f in NORMALIZED_EVENT}
     columns |= {name: F.col(name) for name in (*RULE_FIELDS, "source_type")}
     columns["event_time"] = F.col("_time")
+    columns["raw_data"] = text
     columns["event_id"] = (
         F.col("event_id")
         if "event_id" in raw.columns

@@ -412,6 +412,8 @@ _EVENT_JSON = " || ',' || ".join(
     + (
         "'\"' || strftime(event_time, '%Y-%m-%dT%H:%M:%S.%g') || 'Z\"'"
         if name == "event_time"
+        else "to_json(value)::VARCHAR"
+        if name == "raw_data"
         else f"coalesce(to_json({name})::VARCHAR, 'null')"
         if name in _NORMALIZED.split(", ")
         else "'null'"

@@ -59,6 +59,7 @@ NORMALIZED_EVENT = T.StructType(
         T.StructField("hostname", T.StringType()),
         T.StructField("username", T.StringType()),
         T.StructField("raw_message", T.StringType(), False),
+        T.StructField("raw_data", T.StringType()),
         T.StructField("session_id", T.StringType()),
         T.StructField("process_id", T.StringType()),
         T.StructField("command_line", T.StringType()),

@@ -34,18 +34,18 @@ def kafka_raw_logs(spark: SparkSession, servers: str, topic: str = RAW_TOPIC, **
 def file_raw_logs(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """Raw logs from JSON text files, one record per line, the file time being the ingest time.
 
-    A record's place is its file and, among equal lines of that file, its number; a stream, which reads a
-    file once and cannot count over it, takes the row's number in its task.
+    A record's place is its file and, among equal lines of that file, its number. A stream cannot count
+    like that and takes the line's number instead; it reads each file as one row first, so files that
+    are streamed must fit into a task's memory, as landing files do.
     """
-    reader = spark.readStream if streaming else spark.read
-    lines = reader.text(path).select(
-        "value",
-        F.col("_metadata.file_modification_time").alias("ingest_time"),
-        F.col("_metadata.file_path").alias("_file"),
-    )
+    file = [F.col("_metadata.file_modification_time").alias("ingest_time"), F.col("_metadata.file_path").alias("_file")]
     if streaming:
-        number = F.monotonically_increasing_id()
+        whole = spark.readStream.text(path, wholetext=True).select("value", *file)
+        lines = whole.select("ingest_time", "_file", F.posexplode(F.split("value", "\r?\n")).alias("_line", "value"))
+        lines = lines.filter(F.col("value") != "")
+        number = F.col("_line")
     else:
+        lines = spark.read.text(path).select("value", *file)
         number = F.row_number().over(Window.partitionBy("_file", "value").orderBy("ingest_time"))
     return lines.select("value", "ingest_time", F.concat_ws(":", "_file", number.cast("string")).alias("record_place"))
 
