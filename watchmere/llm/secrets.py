@@ -205,8 +205,14 @@ def tags_of(window: Window, secrets: list[tuple[int, int]]) -> list[int]:
 def train(documents: DataFrame, text_col: str = "text", most_documents: int = TRAIN_DOCUMENTS) -> Field:
     """A field fitted on the documents of smallest hash that have something unusual; rules give the labels."""
     unusual = r"[A-Za-z]*[0-9][A-Za-z0-9]{5,}|[A-Za-z0-9]{20,}"
-    sample = documents.filter(F.col(text_col).rlike(unusual)).select(F.col(text_col).alias("text"))
-    rows = sample.orderBy(F.xxhash64("text"), "text").limit(most_documents).collect()
+    texts = documents.select(F.col(text_col).cast("string").alias("text"))
+    # Hashes alone are ranked, so that no task sends texts; then each different text of the smallest ones comes once.
+    prints = texts.filter(F.col("text").rlike(unusual)).select(F.xxhash64("text").alias("print")).distinct()
+    last = prints.orderBy("print").limit(most_documents).agg(F.max("print")).first()[0]
+    if last is None:
+        return Field()
+    near = texts.withColumn("print", F.xxhash64("text")).filter((F.col("print") <= last) & F.col("text").rlike(unusual))
+    rows = near.groupBy("print").agg(F.min("text").alias("text")).orderBy("print").collect()
     windows: list[Window] = []
     tags: list[list[int]] = []
     for row in rows:
