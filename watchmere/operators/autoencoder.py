@@ -117,6 +117,11 @@ class Autoencoder:
     error_mean: float = 0.0
     error_deviation: float = 0.0
 
+    def importances(self, rows: DataFrame, names: list[str]) -> DataFrame:
+        """Rows (feature, importance): a reconstruction error says nothing about single features, so all are alike."""
+        values = [(name, 1.0 / len(names)) for name in names]
+        return rows.sparkSession.createDataFrame(values, "feature STRING, importance DOUBLE")
+
     def errors(self, rows: DataFrame, name: str = "error") -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast(self.weights)
         sizes = self.sizes

@@ -47,6 +47,9 @@ class BoostedTrees:
         values = self.model.featureImportances.toArray().tolist()
         return spark.createDataFrame(list(zip(self.names, values)), "feature STRING, importance DOUBLE")
 
+    def importances(self, rows: DataFrame, names: list[str]) -> DataFrame:
+        return self.importance(rows.sparkSession)
+
     def save(self, spark: SparkSession, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
         kind = "gbt" if isinstance(self.model, GBTClassificationModel) else "forest"

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from watchmere.operators.scaling import Scaler, fit_scaler
+from watchmere.operators.scaling import Scaler, fit_scaler, mean_importance
 
 # The forest.
 TREES = 200
@@ -84,6 +84,10 @@ class Forest:
     low: float = 0.0
     high: float = 0.0
 
+    def importances(self, rows: DataFrame, names: list[str]) -> DataFrame:
+        """Rows (feature, importance) from the means of the rows that are looked at."""
+        return mean_importance(rows, names)
+
     def raw_scores(self, rows: DataFrame, name: str = "raw_score") -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast(_tree_arrays(self.trees))
         divisor = average_path(self.sample_size) or 1.0

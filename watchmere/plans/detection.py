@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,16 @@ class Detectors:
         )
         return scored.select(F.col("row_key").alias("entity_id"), F.inline(pairs))
 
+    def importances(self, rows: DataFrame, names: list[str]) -> DataFrame:
+        """Long rows (model_name, feature, score) of every model."""
+        parts = [
+            model.importances(rows, names).select(
+                F.lit(name).alias("model_name"), "feature", F.col("importance").alias("score")
+            )
+            for name, model in self.models.items()
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
     def save(self, spark: SparkSession, path: str) -> None:
         for name, model in self.models.items():
             model.save(spark, f"{path}/{name}")

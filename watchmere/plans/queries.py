@@ -800,6 +800,37 @@ def ensemble_train(spark, root):
     return E.ensemble_score(E.model_predictions(_detectors(spark, root).score(_matrix(spark, root))))
 
 
+@query("model_importances")
+def model_importances(spark, root):
+    """Per model the features it weighs, and the sum of their importances."""
+    found = _detectors(spark, root).importances(_matrix(spark, root), _matrix_names())
+    return found.groupBy("model_name").agg(F.countDistinct("feature").alias("features"), F.sum("score").alias("total"))
+
+
+@query("ensemble_importance")
+def ensemble_importance(spark, root):
+    """Importance per feature over the trained models."""
+    detectors = _detectors(spark, root)
+    found = detectors.importances(_matrix(spark, root), _matrix_names())
+    return E.aggregated_importance(found, len(detectors.models))
+
+
+@query("score_ranges")
+def score_ranges(spark, root):
+    """Per model the rows scored and those outside [0, 1]; the forest's batch scores reach both ends."""
+    scored = _detectors(spark, root).score(_matrix(spark, root))
+    batch = _forest(spark, root).transform(_matrix(spark, root), normalize="batch")
+    batch = batch.select(F.lit("isolation_forest, batch").alias("model_name"), "anomaly_score")
+    both = scored.select("model_name", "anomaly_score").unionByName(batch)
+    ends = F.col("model_name") == "isolation_forest, batch"
+    return both.groupBy("model_name").agg(
+        F.count("*").alias("scored_rows"),
+        F.count_if(~F.col("anomaly_score").between(0, 1)).alias("outside"),
+        F.min(F.when(ends, F.col("anomaly_score"))).alias("least"),
+        F.max(F.when(ends, F.col("anomaly_score"))).alias("largest"),
+    )
+
+
 @query("model_persistence")
 def model_persistence(spark, root):
     """All detectors are saved and loaded: per detector the rows scored and the largest difference."""
