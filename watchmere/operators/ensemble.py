@@ -15,6 +15,10 @@ DECISION_ABOVE = 0.5
 NORMAL_BELOW = 0.3
 TOP_EXPLAINED = 3
 
+# What the texts say.
+NORMAL_TEXT = ": Normal behavior detected"
+ANOMALY_TEXT = ": Anomaly detected. Top contributors: "
+
 
 def with_labels(scores: DataFrame, above: float = DECISION_ABOVE) -> DataFrame:
     """Add `is_anomaly` to scores whose detector gives no label of its own."""
@@ -66,9 +70,9 @@ def model_explanations(predictions: DataFrame, importances: DataFrame) -> DataFr
     top = ranked_list(importances, TOP_EXPLAINED, *keys)
     named = F.transform("top", lambda x: F.concat(x["feature"], F.lit(" ("), two_places(x["score"]), F.lit(")")))
     text = F.when(
-        F.col("anomaly_score") < NORMAL_BELOW, F.concat("model_name", F.lit(": Normal behavior detected"))
+        F.col("anomaly_score") < NORMAL_BELOW, F.concat("model_name", F.lit(NORMAL_TEXT))
     ).otherwise(
-        F.concat("model_name", F.lit(": Anomaly detected. Top contributors: "), F.concat_ws(", ", named))
+        F.concat("model_name", F.lit(ANOMALY_TEXT), F.concat_ws(", ", named))
     )
     return predictions.join(top, keys, "left").withColumn("explanation", text).drop("top")
 

@@ -20,6 +20,15 @@ FACTOR_ABOVE = 0.1
 SMALLEST_TOTAL = 1e-10
 LIME_FALLBACK_FACTOR = 0.8
 
+# What the texts say.
+HIGHLY, UNUSUAL, SOMEWHAT = "highly unusual ", "unusual ", "somewhat unusual "
+NO_ALERT = "Normal behavior detected. No significant anomalies found."
+ALERT_BECAUSE = "Alert triggered because of "
+ALERT_FACTORS = "Alert triggered due to multiple factors: "
+LOW_RISK, LOW_RISK_END = "Low risk alert for ", ". Behavior is mostly normal with minor deviations."
+MEDIUM_RISK, MEDIUM_RISK_END = "Medium risk alert for ", ". Multiple minor deviations detected."
+AT_RISK, RISK_SCORE, KEY_FACTORS = "Alert for ", " (Risk Score: ", "). Key factors: "
+
 
 def attribution_abs(rows: DataFrame, names: list[str], factor: float = 1.0) -> DataFrame:
     """The plain attribution of `(row_key, features)`: the absolute value of each feature."""
@@ -48,8 +57,8 @@ def top_contributors(attributions: DataFrame, limit: int = TOP_CONTRIBUTORS) ->
 
 
 def _phrase(feature: Column, percentage: Column) -> Column:
-    words = F.when(percentage > HIGHLY_ABOVE, "highly unusual ").when(percentage > UNUSUAL_ABOVE, "unusual ")
-    return F.concat(words.otherwise("somewhat unusual "), feature)
+    words = F.when(percentage > HIGHLY_ABOVE, HIGHLY).when(percentage > UNUSUAL_ABOVE, UNUSUAL)
+    return F.concat(words.otherwise(SOMEWHAT), feature)
 
 
 def alert_narratives(attributions: DataFrame, entities: DataFrame | None = None) -> DataFrame:
@@ -66,19 +75,19 @@ def alert_narratives(attributions: DataFrame, entities: DataFrame | None = None)
         told = entities.select("entity_id").join(told, "entity_id", "left")
     size = F.coalesce(F.size("p"), F.lit(0))
     many = F.concat(
-        F.lit("Alert triggered due to multiple factors: "),
+        F.lit(ALERT_FACTORS),
         F.concat_ws(", ", F.slice("p", F.lit(1), F.greatest(size - 1, F.lit(0)))),
         F.lit(", and "),
         F.element_at("p", -1),
         F.lit("."),
     )
     sentence = (
-        F.when(F.col("p").isNull() | (size == 0), "Normal behavior detected. No significant anomalies found.")
-        .when(size == 1, F.concat(F.lit("Alert triggered because of "), F.get("p", F.lit(0)), F.lit(".")))
+        F.when(F.col("p").isNull() | (size == 0), NO_ALERT)
+        .when(size == 1, F.concat(F.lit(ALERT_BECAUSE), F.get("p", F.lit(0)), F.lit(".")))
         .when(
             size == 2,
             F.concat(
-                F.lit("Alert triggered because of "), F.get("p", F.lit(0)), F.lit(" and "), F.get("p", F.lit(1)), F.lit(".")
+                F.lit(ALERT_BECAUSE), F.get("p", F.lit(0)), F.lit(" and "), F.get("p", F.lit(1)), F.lit(".")
             ),
         )
         .otherwise(many)
@@ -97,21 +106,19 @@ def alert_explanations(scored: DataFrame, attributions: DataFrame) -> DataFrame:
     text = (
         F.when(
             score < NORMAL_BELOW,
-            F.concat(
-                F.lit("Low risk alert for "), who, F.lit(". Behavior is mostly normal with minor deviations.")
-            ),
+            F.concat(F.lit(LOW_RISK), who, F.lit(LOW_RISK_END)),
         )
         .when(
             F.coalesce(F.size("f"), F.lit(0)) <= 0,
-            F.concat(F.lit("Medium risk alert for "), who, F.lit(". Multiple minor deviations detected.")),
+            F.concat(F.lit(MEDIUM_RISK), who, F.lit(MEDIUM_RISK_END)),
         )
         .otherwise(
             F.concat(
-                F.lit("Alert for "),
+                F.lit(AT_RISK),
                 who,
-                F.lit(" (Risk Score: "),
+                F.lit(RISK_SCORE),
                 two_places(score),
-                F.lit("). Key factors: "),
+                F.lit(KEY_FACTORS),
                 F.concat_ws(", ", "f"),
                 F.lit("."),
             )
