@@ -21,11 +21,11 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from watchmere.llm.common import scan_rows, table
+from watchmere.llm.common import Memory, resident, scan_rows, table
 from watchmere.llm.suffix_automaton import SuffixAutomaton
 
 VOCABULARY = "word_bpe_49k.json"
-MEMORY_WORDS = 400_000
+MEMORY_PAIRS = 150_000
 FINAL = 256  # added to the last byte of a word, which has symbols of its own
 
 # How the vocabulary file separates words, for all of Unicode, and what it takes as white space.
@@ -89,7 +89,7 @@ class Vocabulary:
         self.fits: dict[tuple[int, int], bool] = {}
         self.right: dict[int, list[tuple[int, int]]] = {}
         self.left: dict[int, list[tuple[int, int]]] = {}
-        self.known: dict[str, tuple[int, bytes, str]] = {}
+        self.known = Memory()
         names = "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.split_special = re.compile(f"({names})") if names else None
 
@@ -132,7 +132,7 @@ class Vocabulary:
                     rank = merges.get((a, b))
                     if rank is not None and rank < a_taken and rank <= b_taken:
                         found = False
-            if len(self.fits) > 2 * MEMORY_WORDS:
+            if len(self.fits) >= MEMORY_PAIRS:
                 self.fits.clear()
             self.fits[pair] = found
         return found
@@ -179,21 +179,27 @@ class Vocabulary:
         lower = "".join([c.lower() for c in SPACES.sub(" ", unicodedata.normalize("NFC", text))])
         return WORDS.findall(lower)
 
+    def forget(self) -> None:
+        """Words and pairs go, the vocabulary stays."""
+        self.known.forget()
+        self.fits.clear()
+
     def _remember(self, word: str) -> tuple[int, bytes, str]:
-        ids = self.encode_word(word)
-        if len(self.known) > MEMORY_WORDS:
-            self.known.clear()
-        found = self.known[word] = (len(ids), " ".join(map(str, ids)).encode(), self.decode(ids))
+        found = self.known.recall(word)
+        if found is None:
+            ids = self.encode_word(word)
+            found = self.known.keep(word, (len(ids), " ".join(map(str, ids)).encode(), self.decode(ids)))
         return found
 
     def encoded(self, text: str) -> list[tuple[int, bytes, str]]:
         """For each word or special token its number of ids, the ids and the decoded text."""
         out = []
-        known, remember = self.known, self._remember
+        remember = self._remember
         for part in self.split_special.split(text) if self.split_special and "<|" in text else [text]:
             if part in self.special:
                 out.append((1, str(self.special[part]).encode(), part))
             else:
+                known = self.known.young
                 out += [known.get(w) or remember(w) for w in self.pieces(part)]
         return out
 
@@ -205,15 +211,10 @@ class Vocabulary:
         return " ".join([self.written[i] for i in ids])
 
 
-_OPEN: dict[str, Vocabulary] = {}
-
-
 def vocabulary(file: str | None = None) -> Vocabulary:
-    """The vocabulary, read once in each Python process."""
+    """The vocabulary, which stays in the Python worker until another large object is needed."""
     file = file or public_tokenizers.path(VOCABULARY)
-    if file not in _OPEN:
-        _OPEN[file] = Vocabulary(file)
-    return _OPEN[file]
+    return resident(file, lambda: Vocabulary(file))
 
 
 def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", file: str | None = None) -> DataFrame:
@@ -226,6 +227,7 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ids = vocab.encode(text)
             return ids, vocab.decode(ids)
 
+        scan.close = vocab.forget
         return scan
 
     return scan_rows(documents, [id_col], text_col, "ids array<int>, decoded string", open_scanner, as_bytes=False)
@@ -245,6 +247,7 @@ def encode_digests(
             decoded = " ".join([p[2] for p in parts]).encode()
             return sum([p[0] for p in parts]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
+        scan.close = vocab.forget
         return scan
 
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string"

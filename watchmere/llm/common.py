@@ -15,7 +15,46 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-OUTPUT_ROWS = 2000
+OUTPUT_ROWS = 250
+BATCH_ROWS = 1000  # of an Arrow batch on its way to Python
+# What a worker remembers of words: one generation of so many, and the one before it.
+MEMORY_WORDS = 60_000
+
+_RESIDENT: dict = {}
+
+
+def resident(key, make: Callable):
+    """A large object that stays in the Python worker between tasks; only one does, so stages do not add up."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        if make is not None:
+            _RESIDENT[key] = make()
+    return _RESIDENT.get(key)
+
+
+class Memory:
+    """What was made of words, in two generations: those not asked for while one fills up are forgotten."""
+
+    def __init__(self, size: int = MEMORY_WORDS):
+        self.size = size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def recall(self, key):
+        """From the older generation, which then counts as young again; None where it is unknown."""
+        found = self.old.get(key)
+        if found is not None:
+            self.young[key] = found
+        return found
+
+    def keep(self, key, value):
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+        return value
+
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -27,6 +66,14 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Texts can be long, so that a session's usual 10,000 rows would make large batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name)) not in range(1, BATCH_ROWS + 1):
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
@@ -51,7 +98,7 @@ def scan_rows(
     """One output row for each row of `df`: the named columns, then what the scanner makes of the text.
 
     `open_scanner` runs once in each task and returns a function from a text to a tuple of values in the order of
-    `ddl`. Texts are looked at one at a time, so that memory is bounded by the longest of them; rows need nothing
+    `ddl`; if that has a `close`, it is called at the end, for workers live on after a task. Texts are looked at one at a time, so that memory is bounded by the longest of them; rows need nothing
     from each other, and a lost task is simply run again.
     """
     kept = df.select(*[F.col(c) for c in columns], F.col(text_col).cast("string").alias("__text"))
@@ -61,16 +108,19 @@ def scan_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = open_scanner()
-        for batch in batches:
-            for start in range(0, batch.num_rows, OUTPUT_ROWS):
-                part = batch.slice(start, OUTPUT_ROWS)
-                rows = [scan(text) for text in texts_of(part.column(n), as_bytes)]
-                made = zip(*rows, strict=True)
-                arrays = [part.column(i).cast(arrow.field(i).type) for i in range(n)]
-                arrays += [pa.array(list(v), arrow.field(n + i).type) for i, v in enumerate(made)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, OUTPUT_ROWS):
+                    part = batch.slice(start, OUTPUT_ROWS)
+                    rows = [scan(text) for text in texts_of(part.column(n), as_bytes)]
+                    made = zip(*rows, strict=True)
+                    arrays = [part.column(i).cast(arrow.field(i).type) for i in range(n)]
+                    arrays += [pa.array(list(v), arrow.field(n + i).type) for i, v in enumerate(made)]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        finally:
+            getattr(scan, "close", int)()
 
-    return kept.mapInArrow(run, schema)
+    return small_batches(kept).mapInArrow(run, schema)
 
 
 def explode_rows(
@@ -108,7 +158,7 @@ def explode_rows(
             if pieces:
                 yield from pa.Table.from_batches(pieces, arrow).combine_chunks().to_batches()
 
-    return kept.mapInArrow(run, schema)
+    return small_batches(kept).mapInArrow(run, schema)
 
 
 def keep_rows(df: DataFrame, text_col: str, open_test: Callable[[], Callable[[bytes], bool]]) -> DataFrame:
@@ -118,11 +168,14 @@ def keep_rows(df: DataFrame, text_col: str, open_test: Callable[[], Callable[[by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = open_test()
-        for batch in batches:
-            mask = pa.array([bool(test(text)) for text in texts_of(batch.column(at), True)], pa.bool_())
-            yield batch.filter(mask).cast(arrow)
-
-    return df.mapInArrow(run, df.schema)
+        try:
+            for batch in batches:
+                mask = pa.array([bool(test(text)) for text in texts_of(batch.column(at), True)], pa.bool_())
+                yield batch.filter(mask).cast(arrow)
+        finally:
+            getattr(test, "close", int)()
+
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 def digest(hex_of: str):

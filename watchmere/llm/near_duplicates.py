@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from watchmere.llm.common import scan_rows, schema_of, table, words_of
+from watchmere.llm.common import MEMORY_WORDS, resident, scan_rows, small_batches, schema_of, table, words_of
 from watchmere.llm.components import components
 from watchmere.session import scratch_path
 
@@ -35,7 +35,6 @@ TREES = 32
 DEEPEST = 8
 TARGET = 1 - 1e-6
 BLOCK = 1024
-MEMORY_WORDS = 400_000
 COLUMNS = 4096
 
 
@@ -61,7 +60,7 @@ class Signer:
 
     def shingle_hashes(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > MEMORY_WORDS:
+        if len(known) > 2 * MEMORY_WORDS:
             known.clear()
         for word in words:
             if word not in known:
@@ -105,6 +104,7 @@ def groups_in(
     dealt = frame.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("", None)
         held: list[pa.RecordBatch] = []
         before = None
         made: list[list[list]] = []
@@ -152,7 +152,7 @@ def groups_in(
         if made:
             yield flush()
 
-    return dealt.mapInArrow(run, schema)
+    return small_batches(dealt).mapInArrow(run, schema)
 
 
 def new_pairs(labels: np.ndarray, tree: int, sides: np.ndarray) -> np.ndarray:
