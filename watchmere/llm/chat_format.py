@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchmere.llm.common import table
+from watchmere.session import scratch_path
 
 BUDGET = 1024
 HISTORY = 256
@@ -119,7 +120,10 @@ def windows(
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    placed = _placed(turns, budget, history)
+    # Read several times below: new turns, history, system turns and where windows begin.
+    path = scratch_path(conversations.sparkSession, "placed-turns")
+    _placed(turns, budget, history).write.parquet(path)
+    placed = conversations.sparkSession.read.parquet(path)
     part = F.struct("at", F.col("fresh"), "role", "text", "tokens")
     # A system turn alone is new in its own window; otherwise it leads the window of the turn after it.
     ordinary = placed.filter(~F.col("is_system"))
