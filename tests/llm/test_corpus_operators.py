@@ -173,6 +173,65 @@ def test_line_dedup(spark, given):
     assert got == dict(brute_lines(given))
 
 
+def brute_runs(rows):
+    """Lines of each text that lie in a run of 50 words or more which an earlier text has, or the same one before it."""
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
+    seen, out = set(), {}
+    for d, t in order:
+        lines = (t or "").split("\n")
+        gone, own = set(), {}
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = tuple(lines[a:b])
+                if sum(len(x.split()) for x in run) < line_dedup.LONG_LINE:
+                    continue
+                if run in seen or own.setdefault(run, b) <= a:
+                    gone |= set(range(a, b))
+        seen |= set(own)
+        out[d, t] = gone
+    return out
+
+
+def test_every_repeated_run_of_lines_goes(spark):
+    rnd = random.Random(12)
+
+    def line(least, most):
+        return " ".join(rnd.choice("abcdefgh") * 3 + str(rnd.randrange(999)) for _ in range(rnd.randrange(least, most)))
+
+    passages = [[line(*size) for _ in range(n)] for size, n in [((1, 9), 16), ((9, 14), 6), ((20, 40), 3), ((49, 53), 1), ((0, 3), 60)]]
+    texts = ["same ten words in each of the many lines here\n" * 40, "", None]
+    for _ in range(50):
+        parts = []
+        for _ in range(rnd.randrange(1, 4)):
+            chosen = rnd.choice(passages)
+            cut = rnd.randrange(3)
+            parts += [line(0, 12) for _ in range(rnd.randrange(3))] + chosen[cut : len(chosen) - rnd.randrange(3)]
+        texts.append("\n".join([*parts, line(1, 5)]))
+    df = odd_documents(spark, texts)
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    gone = brute_runs(rows)
+    chunks = dict(brute_lines(rows))
+    assert sum(map(len, gone.values())) > 500
+    got = {r.doc_id: r for r in line_dedup.remove_repeats(df).collect()}
+    for d, t in rows:
+        if t is None:
+            continue
+        lines = t.split("\n")
+        left = collections.Counter(got[d].text.split("\n"))
+        must = collections.Counter(x for i, x in enumerate(lines) if i not in gone[d, t])
+        # Nothing of a repeated run stays, and beyond those runs no more goes than repeated short chunks.
+        assert not left - must
+        assert not (must & collections.Counter(chunks[d].split("\n"))) - left
+    assert got[0].text.count("same ten") == 5
+
+
+def test_blank_lines_are_read_once():
+    text = b"w " * 60 + b"\n" * 200_000
+    found = line_dedup.counted_runs(text)
+    assert len(found) == 200_001
+    assert found[-1][:2] == (0, 200_001)
+
+
 def test_chunk_boundaries_survive_inserted_lines():
     rnd = random.Random(1)
     lines = [" ".join(rnd.choice("abcdefgh") * 4 for _ in range(9)).encode() for _ in range(300)]
