@@ -16,7 +16,8 @@ from watchmere.session import scratch_path
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.keep_good(docs)
+    bands = quality.fitted_bands(docs, table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, bands=bands, lang_col="lang")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

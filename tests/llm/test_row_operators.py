@@ -182,6 +182,26 @@ def test_quality_bands_reject_noise():
     assert scanner(prose.encode())[8] > 1.2
 
 
+def test_production_bands_reject_noise_and_labelled_junk(spark):
+    root = "/root/testdata/sf0.01"
+    documents, labels = (spark.read.parquet(f"{root}/{name}.parquet") for name in ("documents", "labels"))
+    bands = quality.fitted_bands(documents, labels)
+    rnd = random.Random(4)
+    symbols = " ".join("".join(chr(rnd.randrange(0x2400, 0x2BFF)) for _ in range(8)) for _ in range(100))
+    encoded = " ".join("".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(12)) for _ in range(200))
+    letters = " ".join("".join(chr(rnd.randrange(0x10A0, 0x10F0)) for _ in range(6)) for _ in range(100))
+    for used in (quality.BANDS, bands):
+        scanner = quality.QualityScanner(bands=used)
+        assert scanner(symbols.encode())[6:8] == (False, "symbols")
+        assert not scanner(encoded.encode(), "en")[6]
+        assert scanner(letters.encode())[7] == "other"
+    got = QUERIES["op4_quality_rules"](spark, root).join(labels, "doc_id").filter("not base_failed")
+    kept = {(r.quality, r.kept): r["count"] for r in got.groupBy("quality", "kept").count().collect()}
+    assert kept[0, False] > kept.get((0, True), 0)
+    assert kept.get((1, False), 0) <= 0.03 * kept[1, True]
+    assert quality.fitted_bands(documents.limit(0), labels) == quality.BANDS
+
+
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

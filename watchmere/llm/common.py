@@ -94,15 +94,18 @@ def scan_rows(
     ddl: str,
     open_scanner: Callable[[], Callable],
     as_bytes: bool = True,
+    beside: str | None = None,
 ) -> DataFrame:
     """One output row for each row of `df`: the named columns, then what the scanner makes of the text.
 
     `open_scanner` runs once in each task and returns a function from a text to a tuple of values in the order of
     `ddl`; if that has a `close`, it is called at the end, for workers live on after a task. Texts are looked at one at a time, so that memory is bounded by the longest of them; rows need nothing
-    from each other, and a lost task is simply run again.
+    from each other, and a lost task is simply run again. The value of the column `beside`, if named, is a second argument.
     """
     kept = df.select(*[F.col(c) for c in columns], F.col(text_col).cast("string").alias("__text"))
     schema = StructType(kept.schema.fields[:-1] + schema_of(ddl).fields)
+    if beside:
+        kept = df.select(*kept.columns[:-1], F.col(text_col).cast("string").alias("__text"), F.col(beside).alias("__beside"))
     arrow = to_arrow_schema(schema)
     n = len(columns)
 
@@ -112,7 +115,11 @@ def scan_rows(
             for batch in batches:
                 for start in range(0, batch.num_rows, OUTPUT_ROWS):
                     part = batch.slice(start, OUTPUT_ROWS)
-                    rows = [scan(text) for text in texts_of(part.column(n), as_bytes)]
+                    texts = texts_of(part.column(n), as_bytes)
+                    if beside:
+                        rows = [scan(text, v.as_py()) for text, v in zip(texts, part.column(n + 1), strict=True)]
+                    else:
+                        rows = [scan(text) for text in texts]
                     made = zip(*rows, strict=True)
                     arrays = [part.column(i).cast(arrow.field(i).type) for i in range(n)]
                     arrays += [pa.array(list(v), arrow.field(n + i).type) for i, v in enumerate(made)]
@@ -161,16 +168,20 @@ def explode_rows(
     return small_batches(kept).mapInArrow(run, schema)
 
 
-def keep_rows(df: DataFrame, text_col: str, open_test: Callable[[], Callable[[bytes], bool]]) -> DataFrame:
-    """The rows of `df`, all columns, whose text passes the test."""
+def keep_rows(df: DataFrame, text_col: str, open_test: Callable[[], Callable], beside: str | None = None) -> DataFrame:
+    """The rows of `df`, all columns, whose text, with the value of the column `beside` if named, passes the test."""
     arrow = to_arrow_schema(df.schema)
     at = df.columns.index(text_col)
+    besides = df.columns.index(beside) if beside else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = open_test()
         try:
             for batch in batches:
-                mask = pa.array([bool(test(text)) for text in texts_of(batch.column(at), True)], pa.bool_())
+                given = [texts_of(batch.column(at), True)]
+                if besides is not None:
+                    given.append(v.as_py() for v in batch.column(besides))
+                mask = pa.array([bool(test(*row)) for row in zip(*given, strict=True)], pa.bool_())
                 yield batch.filter(mask).cast(arrow)
         finally:
             getattr(test, "close", int)()
