@@ -9,15 +9,17 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchmere.functions.columns import seconds_interval
 from watchmere.operators import alerts as A
 from watchmere.operators import ensemble as E
 from watchmere.operators import explain as X
 from watchmere.operators import features as FE
 from watchmere.operators import normalize as N
+from watchmere.operators import rules as R
 from watchmere.operators.autoencoder import Autoencoder, train_autoencoder
 from watchmere.operators.boosted import BoostedTrees, OneClassError, train_boosted_trees
 from watchmere.operators.forest import Forest, train_forest
-from watchmere.schemas import NORMALIZED_EVENT, WINDOW_SECONDS
+from watchmere.schemas import NORMALIZED_EVENT, WINDOW_SECONDS, as_timestamp
 
 MODEL_NAMES = ("isolation_forest", "autoencoder", "boosted_trees")
 
@@ -128,6 +130,22 @@ class Pipeline:
         rows.write.mode("overwrite").parquet(f"{self.path}/vectors")
         return events.sparkSession.read.parquet(f"{self.path}/vectors")
 
+    def by_rules(self, events: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Vectors of entities that no attack rule finds in the events of the windows, and of the others.
+
+        If the rules find every entity, all vectors are the first and there is no second.
+        """
+        end = as_timestamp(self.as_of)
+        time = F.col("event_time")
+        recent = events.filter((time >= end - seconds_interval(max(self.windows))) & (time <= end))
+        rules = (R.detect_brute_force, R.detect_impossible_travel, R.detect_exfiltration, R.detect_privilege_escalation)
+        found = reduce(DataFrame.union, [rule(recent).select("entity_id") for rule in rules]).distinct()
+        found.write.mode("overwrite").parquet(f"{self.path}/attacked")
+        attacked = events.sparkSession.read.parquet(f"{self.path}/attacked")
+        same = F.col("row_key") == F.col("entity_id")
+        normal, attack = vectors.join(attacked, same, "left_anti"), vectors.join(attacked, same, "left_semi")
+        return (vectors, None) if normal.isEmpty() else (normal, attack)
+
     def train(self, vectors: DataFrame, attack: DataFrame | None = None, **options) -> Detectors:
         return train_detectors(vectors, attack, FE.flattened_names(self.windows), **options)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -866,10 +868,14 @@ def attribution_lime(spark, root):
 
 @query("explain_prediction")
 def explain_prediction(spark, root):
-    """Everything about each flagged row in one row."""
+    """Everything about each flagged row in one row per explainer."""
     forest, flagged = _flagged(spark, root)
-    values = shapley_values(forest.transform, flagged, background_rows(_matrix(spark, root)), _matrix_names())
-    told = X.explanation_bundle(values.select("entity_id", "feature", "score"), "shap")
+    shap = shapley_values(forest.transform, flagged, background_rows(_matrix(spark, root)), _matrix_names())
+    lime = lime_values(forest.transform, flagged, forest.scaler, _matrix_names())
+    told = reduce(
+        DataFrame.unionByName,
+        [X.explanation_bundle(v.select("entity_id", "feature", "score"), n) for n, v in (("shap", shap), ("lime", lime))],
+    )
     return told.withColumns({name: F.to_json(name) for name in ("feature_importance", "top_features")})
 
 
@@ -891,12 +897,16 @@ def retrain(spark, root):
 
 @query("pipeline_alerts")
 def pipeline_alerts(spark, root):
-    """From raw logs to alerts: normalize, features of all windows, detectors, text."""
+    """From raw logs to alerts: normalize, features of all windows, detectors, text; with the models left out and why.
+
+    Entities that an attack rule finds are the supervised model's attacks.
+    """
     pipeline = Pipeline(AS_OF, scratch_path(spark, "pipeline"))
     events = pipeline.events(P.raw_logs(spark, root))
     vectors = pipeline.vectors(events)
-    detectors = pipeline.train(vectors)
-    return plain_alerts(pipeline.alerts(vectors, detectors))
+    detectors = pipeline.train(*pipeline.by_rules(events, vectors))
+    alerts = plain_alerts(pipeline.alerts(vectors, detectors))
+    return alerts.withColumn("models_left_out", F.lit(json.dumps(detectors.left_out)))
 
 
 # Streams.
@@ -961,6 +971,21 @@ def stream_sliding_features(spark, root):
     return J.run_to_table(counts, scratch_path(spark, "sliding"))
 
 
+# Size and slide of each trailing window.
+SLIDING = {3600: ("1 hour", "15 minutes"), 86400: ("1 day", "6 hours"), 604800: ("7 days", "1 day")}
+
+
+@query("stream_sliding_windows")
+def stream_sliding_windows(spark, root):
+    """As stream_sliding_features for an hour, a day and a week, with the window's seconds in the key."""
+    parts = []
+    for seconds, (size, slide) in SLIDING.items():
+        counts = J.sliding_counts(_event_stream(spark, root), size, slide, "1 hour")
+        counts = counts.withColumn("window_size", F.lit(seconds))
+        parts.append(J.run_to_table(counts, scratch_path(spark, f"sliding_{seconds}")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("stream_to_alerts")
 def stream_to_alerts(spark, root):
     """A stream of vectors scored by all detectors, saved and loaded, its alerts appended to a log."""
