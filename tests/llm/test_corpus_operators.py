@@ -276,6 +276,14 @@ def test_decontamination(spark, most_bytes):
     assert decontaminate.contamination(df.limit(0), benchmark).count() == 0
 
 
+@pytest.mark.parametrize("most_bytes", [1 << 20, -1])
+def test_items_without_an_id_count(spark, most_bytes):
+    df = odd_documents(spark, ["one two three four", "nothing of it"])
+    benchmark = spark.createDataFrame([(None, "two three four"), (2, "three")], "item_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.contamination(df, benchmark, size=4, most_bytes=most_bytes).collect()}
+    assert got == {0: (4, 3, ["2"], True), 1: (3, 0, [], False)}
+
+
 def conversation_digests(rows):
     groups = collections.defaultdict(list)
     for c, turn, role, text in rows:

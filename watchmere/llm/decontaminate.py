@@ -63,7 +63,7 @@ class WindowSet:
 
     def measure(self, text: bytes) -> tuple[int, int, list[str]]:
         n, places, items = self.find(text)
-        return n, covered_words(n, places), sorted(items)
+        return n, covered_words(n, places), sorted(i for i in items if i is not None)
 
 
 def covered_words(n: int, places: list[tuple[int, int]]) -> int:
@@ -81,7 +81,7 @@ def is_contaminated(n_words: Column, n_hit: Column) -> Column:
 def window_set(benchmark: DataFrame, item_col: str, text_col: str, size: int, most_bytes: int) -> WindowSet | None:
     """The set, or None where the benchmark is larger than what may be broadcast."""
     texts = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.filter(F.col("item").isNotNull() & F.col("text").isNotNull())
+    texts = texts.filter(F.col("text").isNotNull())
     if (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > most_bytes:
         return None
     return WindowSet([(row.item, row.text.encode()) for row in texts.toLocalIterator()], size)
@@ -136,7 +136,7 @@ def _by_shuffle(documents, benchmark, id_col, text_col, item_col, item_text_col,
 
         return scan
 
-    items = benchmark.filter(F.col(item_col).isNotNull()).select(
+    items = benchmark.select(
         F.col(item_col).cast("string").alias("__item"), F.col(item_text_col).alias("__item_text")
     )
     held = explode_rows(items, ["__item"], "__item_text", "length int, window string", item_scanner).distinct()
