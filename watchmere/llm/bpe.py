@@ -21,11 +21,13 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from watchmere.llm.common import Memory, resident, scan_rows, table
+from watchmere.llm.common import MEMORY_WORDS, Memory, resident, scan_rows, table
 from watchmere.llm.suffix_automaton import SuffixAutomaton
 
 VOCABULARY = "word_bpe_49k.json"
 MEMORY_PAIRS = 150_000
+# Words that a worker remembers in each of two generations where digests are all that it makes: some 150 MB.
+DIGEST_WORDS = 300_000
 FINAL = 256  # added to the last byte of a word, which has symbols of its own
 
 # How the vocabulary file separates words, for all of Unicode, and what it takes as white space.
@@ -48,7 +50,7 @@ def byte_letters() -> list[str]:
 class Vocabulary:
     """Tokens as symbol sequences, the merges between them, and the suffix automaton over all of them."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, memory: int = MEMORY_WORDS):
         with open(file, encoding="utf-8") as text:
             spec = json.load(text)
         model = spec["model"]
@@ -89,7 +91,7 @@ class Vocabulary:
         self.fits: dict[tuple[int, int], bool] = {}
         self.right: dict[int, list[tuple[int, int]]] = {}
         self.left: dict[int, list[tuple[int, int]]] = {}
-        self.known = Memory()
+        self.known = Memory(memory)
         names = "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.split_special = re.compile(f"({names})") if names else None
 
@@ -211,10 +213,10 @@ class Vocabulary:
         return " ".join([self.written[i] for i in ids])
 
 
-def vocabulary(file: str | None = None) -> Vocabulary:
+def vocabulary(file: str | None = None, memory: int = MEMORY_WORDS) -> Vocabulary:
     """The vocabulary, which stays in the Python worker until another large object is needed."""
     file = file or public_tokenizers.path(VOCABULARY)
-    return resident(file, lambda: Vocabulary(file))
+    return resident((file, memory), lambda: Vocabulary(file, memory))
 
 
 def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", file: str | None = None) -> DataFrame:
@@ -236,10 +238,13 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def encode_digests(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", file: str | None = None
 ) -> DataFrame:
-    """As `encode`, but only the number of ids and the digests of both outputs leave the task."""
+    """As `encode`, but only the number of ids and the digests of both outputs leave the task.
+
+    The words stay remembered between tasks, as the worker needs no room for texts and ids on their way out.
+    """
 
     def open_scanner():
-        vocab = vocabulary(file)
+        vocab = vocabulary(file, DIGEST_WORDS)
 
         def scan(text: str):
             parts = vocab.encoded(text)
@@ -247,7 +252,6 @@ def encode_digests(
             decoded = " ".join([p[2] for p in parts]).encode()
             return sum([p[0] for p in parts]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
-        scan.close = vocab.forget
         return scan
 
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string"
