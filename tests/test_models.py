@@ -108,3 +108,17 @@ def test_local_fit_of_a_linear_model(spark, planted):
     got = {r["feature"]: r["signed"] for r in attribution_lime(linear, flagged, scaler, NAMES, features=2).collect()}
     assert set(got) == {"f0", "f1"}
     assert got["f0"] == pytest.approx(2.0, rel=0.05) and got["f1"] == pytest.approx(-6.0, rel=0.05)
+
+
+def test_trees_split_neighbouring_doubles():
+    """Between two neighbouring doubles a draw can only round to one of them; both sides keep rows all the same."""
+    import pandas as pd
+
+    from watchmere.operators.forest import grow_tree
+
+    high = np.nextafter(1.0, 2.0)
+    for tree in range(40):
+        rows = pd.DataFrame({"tree": tree, "draw": range(8), "features": [[1.0 if i % 3 else high, 0.0] for i in range(8)]})
+        grown = grow_tree(rows, 42)
+        split = grown[grown["feature"] >= 0]
+        assert len(split) == 1 and float(split["threshold"].iloc[0]) == 1.0

@@ -62,6 +62,8 @@ def grow_tree(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
             continue
         feature = int(random.choice(usable))
         threshold = float(random.uniform(low[feature], high[feature]))
+        if threshold >= high[feature]:  # Rounding; between two neighbouring doubles there is nothing to draw.
+            threshold = float(low[feature])
         goes_left = part[:, feature] <= threshold
         nodes.append([tree, number, feature, threshold, -1, -1, 0.0])
         waiting.append((members[~goes_left], depth + 1, number, 1))
