@@ -137,24 +137,49 @@ def test_components(spark):
     assert set(got) == set(near)
 
 
-def brute_lines(rows):
-    """Cleaned texts by a plain pass over all chunks in order of (id, place)."""
+def brute_lines(rows, runs=None):
+    """Cleaned texts: without the lines of repeated runs, and of short chunks of lines that came before."""
+    gone = (runs or brute_least_runs)(rows)
     distinct = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
     first = {}
     for d, t in distinct:
-        for no, body in line_dedup.counted_chunks((t or "").encode()) if t is not None else []:
-            first.setdefault(body, (d, t, no))
+        lines = (t or "").encode().split(b"\n")
+        for start, past in line_dedup.chunks_of(lines):
+            words = sum(len(x.split()) for x in lines[start:past])
+            if past - start >= line_dedup.LEAST_LINES and line_dedup.LEAST_WORDS <= words < line_dedup.LONG_LINE:
+                seen = first.setdefault(tuple(lines[start:past]), (d, t, past))
+                if t is not None and (seen[:2] != (d, t) or start >= seen[2]):
+                    gone[d, t] |= set(range(start, past))
     out = []
     for d, t in rows:
-        if t is None:
-            out.append((d, None))
-            continue
-        lines, kept = t.encode().split(b"\n"), []
-        counted = dict(line_dedup.counted_chunks(t.encode()))
-        for no, (start, end) in enumerate(line_dedup.chunks_of(lines)):
-            if no not in counted or first[counted[no]] == (d, t, no):
-                kept += lines[start:end]
-        out.append((d, b"\n".join(kept).decode()))
+        out.append((d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d, t])))
+    return out
+
+
+def brute_least_runs(rows):
+    """As `brute_runs`, by the shortest runs alone that end, or begin, with each line."""
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
+    seen, out = {}, {}
+    for d, t in order:
+        lines = (t or "").split("\n")
+        words = [len(x.split()) for x in lines]
+        gone = set()
+        least = set()
+        for turned in (False, True):
+            sizes = words[::-1] if turned else words
+            start = held = 0
+            for i, n in enumerate(sizes):
+                held += n
+                while held - sizes[start] >= line_dedup.LONG_LINE:
+                    held -= sizes[start]
+                    start += 1
+                if held >= line_dedup.LONG_LINE:
+                    least.add((len(lines) - i - 1, len(lines) - start) if turned else (start, i + 1))
+        for a, b in sorted(least):
+            earlier = seen.setdefault(tuple(lines[a:b]), (d, t, b))
+            if earlier[:2] != (d, t) or earlier[2] <= a:
+                gone |= set(range(a, b))
+        out[d, t] = gone
     return out
 
 
@@ -171,6 +196,7 @@ def test_line_dedup(spark, given):
     assert line_dedup.remove_repeats(df.limit(0)).count() == 0
     got = {r.doc_id: r.text for r in QUERIES["op7_line_dedup"](spark, ROOT).collect()}
     assert got == dict(brute_lines(given))
+    assert sum(map(len, brute_least_runs(given).values())) > 20
 
 
 def brute_runs(rows):
@@ -209,19 +235,11 @@ def test_every_repeated_run_of_lines_goes(spark):
         texts.append("\n".join([*parts, line(1, 5)]))
     df = odd_documents(spark, texts)
     rows = [(r.doc_id, r.text) for r in df.collect()]
-    gone = brute_runs(rows)
-    chunks = dict(brute_lines(rows))
-    assert sum(map(len, gone.values())) > 500
-    got = {r.doc_id: r for r in line_dedup.remove_repeats(df).collect()}
-    for d, t in rows:
-        if t is None:
-            continue
-        lines = t.split("\n")
-        left = collections.Counter(got[d].text.split("\n"))
-        must = collections.Counter(x for i, x in enumerate(lines) if i not in gone[d, t])
-        # Nothing of a repeated run stays, and beyond those runs no more goes than repeated short chunks.
-        assert not left - must
-        assert not (must & collections.Counter(chunks[d].split("\n"))) - left
+    assert sum(map(len, brute_runs(rows).values())) > 500
+    assert brute_runs(rows) == brute_least_runs(rows)
+    cleaned = line_dedup.remove_repeats(df).collect()
+    got = {r.doc_id: r for r in cleaned}
+    assert sorted(((r.doc_id, r.text) for r in cleaned), key=str) == sorted(brute_lines(rows, brute_runs), key=str)
     assert got[0].text.count("same ten") == 5
 
 
