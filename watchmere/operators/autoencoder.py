@@ -164,6 +164,10 @@ class Autoencoder:
         )
 
 
+def unscaled(width: int) -> Scaler:
+    return Scaler((0.0,) * width, (1.0,) * width)
+
+
 ROUND_SCHEMA = "weights ARRAY<DOUBLE>, n BIGINT, loss DOUBLE, m BIGINT"
 
 
@@ -210,6 +214,13 @@ def train_autoencoder(
     )
     weights = initial_weights(sizes, seed)
     best, best_loss, waited = weights, math.inf, 0
+
+    def held_out_loss(flat: np.ndarray) -> float:
+        """Without held-out rows every loss is the same, and the last weights count."""
+        errors = Autoencoder(flat, sizes, unscaled(width)).errors(laid_out.filter("held_out").select("features"))
+        found = errors.agg(F.avg("error")).first()[0]
+        return -math.inf if found is None else float(found)
+
     try:
         for round_number in range(math.ceil(epochs / local_epochs)):
             shared = rows.sparkSession.sparkContext.broadcast(weights)
@@ -229,14 +240,19 @@ def train_autoencoder(
                 .toPandas()
                 .sort_values("at")
             )
-            loss = float(position["loss"].iloc[0]) / max(int(position["m"].iloc[0]), 1)
+            scored = int(position["m"].iloc[0])
+            loss = float(position["loss"].iloc[0]) / scored if scored else math.inf
             if loss < best_loss - TOLERANCE:
                 best, best_loss, waited = weights, loss, 0
-            else:
+            elif scored:
                 waited += local_epochs
                 if waited >= PATIENCE_EPOCHS:
                     break
             weights = position["w"].to_numpy()
+        else:
+            # A round tells the loss of the weights that it starts from, so those of the last one are scored here.
+            if held_out_loss(weights) < best_loss - TOLERANCE:
+                best = weights
     finally:
         laid_out.unpersist()
     model = Autoencoder(best, sizes, scaler)

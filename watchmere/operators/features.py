@@ -143,7 +143,7 @@ def _geo(part, window):
 def _timeseries(part, window):
     n, gaps = part("n"), part("gap_n")
     mean = ratio(part("gap_sum"), gaps)
-    variance = F.greatest(ratio(part("gap_squares"), gaps) - mean * mean, F.lit(0.0))
+    variance = ratio(part("gap_m2"), gaps)
     regular = F.greatest(F.lit(0.0), 1 - F.least(ratio(F.sqrt(variance), mean), F.lit(1.0)))
     return {
         "events_per_minute": n / F.greatest(window / 60.0, F.lit(MIN_MINUTES)),
@@ -205,16 +205,19 @@ def _activity_tests() -> dict[str, tuple[str, Column]]:
     return tests
 
 
-def _values(
-    held: DataFrame, activity: Sequence[str], distinct: Sequence[str], entropies: Sequence[str], links: bool
-) -> DataFrame:
-    """Counters, distinct counts, entropies and reciprocal edges from counts per value.
+def value_columns(activity: Sequence[str], distinct: Sequence[str], entropies: Sequence[str]) -> list[str]:
+    """The columns whose values are counted."""
+    counted = [column for name, (column, _) in _activity_tests().items() if name in activity]
+    return list(dict.fromkeys([*counted, *distinct, *entropies]))
+
+
+def value_counts(held: DataFrame, keys: Sequence[str], columns: Sequence[str], links: bool) -> DataFrame:
+    """How often each value of a column occurs: (keys, dimension, value, c), with links also (ahead, loop).
 
     An edge (address, host) and its reverse share one value, the smaller end first, so that the
     number of reversed pairs follows from how many of its rows run each way.
     """
-    tests = {name: test for name, test in _activity_tests().items() if name in activity}
-    columns = list(dict.fromkeys([*(column for column, _ in tests.values()), *distinct, *entropies]))
+    columns = list(columns)
     source, target = filled("source_ip"), filled("hostname")
     special = {"event_type": F.coalesce("event_type", F.lit("")), "slot": _slot()}
     picked = [(special[c] if c in special else filled(c)).alias(c) for c in columns]
@@ -227,12 +230,19 @@ def _values(
         columns.append("edge")
     carried = ["forward", "loop"] if links else []
     long = (
-        held.select(*KEYS, *picked)
-        .unpivot([*KEYS, *carried], columns, "dimension", "value")
+        held.select(*keys, *picked)
+        .unpivot([*keys, *carried], columns, "dimension", "value")
         .filter(F.col("value").isNotNull())
     )
     ways = [F.count_if("forward").alias("ahead"), F.max("loop").alias("loop")] if links else []
-    counts = long.groupBy(*KEYS, "dimension", "value").agg(F.count("*").alias("c"), *ways)
+    return long.groupBy(*keys, "dimension", "value").agg(F.count("*").alias("c"), *ways)
+
+
+def from_value_counts(
+    counts: DataFrame, activity: Sequence[str], distinct: Sequence[str], entropies: Sequence[str], links: bool
+) -> DataFrame:
+    """Counters, distinct counts, entropies and reciprocal edges of (entity, window) from its counts per value."""
+    tests = {name: test for name, test in _activity_tests().items() if name in activity}
     c = F.col("c")
     out = [
         F.sum(F.when((F.col("dimension") == column) & test, c)).alias(name) for name, (column, test) in tests.items()
@@ -256,6 +266,13 @@ def _values(
     return gathered.withColumns(bits).drop(*gone) if bits else gathered
 
 
+def _values(
+    held: DataFrame, activity: Sequence[str], distinct: Sequence[str], entropies: Sequence[str], links: bool
+) -> DataFrame:
+    counts = value_counts(held, KEYS, value_columns(activity, distinct, entropies), links)
+    return from_value_counts(counts, activity, distinct, entropies, links)
+
+
 def _pair_terms(gaps: bool, places: bool) -> dict[str, tuple[Callable, Column]]:
     """Aggregates over pairs of consecutive rows: name to (aggregate, term of one pair).
 
@@ -267,7 +284,6 @@ def _pair_terms(gaps: bool, places: bool) -> dict[str, tuple[Callable, Column]]:
         gap = F.when(F.col("gap") > 0, F.col("gap"))
         terms["gap_n"] = (F.sum, F.when(gap.isNotNull(), 1))
         terms["gap_sum"] = (F.sum, gap)
-        terms["gap_squares"] = (F.sum, gap * gap)
     if places:
         distance = F.col("distance")
         terms["distance_n"] = (F.sum, F.when(distance.isNotNull(), 1))
@@ -283,51 +299,87 @@ def _with_distance(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"distance": haversine_km(*ends), "hours": F.greatest(hours, F.lit(MIN_HOURS))})
 
 
-def _sequence(held: DataFrame, gaps: bool, places: bool) -> DataFrame:
-    """Sums over pairs of consecutive events: inside chunks first, then over the seams between them."""
+def _seconds(later: str, earlier: Column) -> Column:
+    return (F.unix_micros(later) - F.unix_micros(earlier)) / 1e6
+
+
+def sequence_pieces(held: DataFrame, keys: Sequence[str], gaps: bool, places: bool) -> DataFrame:
+    """One row per piece of a key's events in order of time: what its pairs add up to, and its two ends.
+
+    Pieces are the chunks of range partitions. `inside_*` are sums over the pairs within a piece, of gaps also the
+    sum of squares about their mean; ends are the first and last event and the first and last one with a place.
+    """
     order = ["event_time", "event_id"]
     lat, lon = (F.coalesce(f"location.{x}", F.lit(0.0)).alias(x) for x in ("lat", "lon"))
     point = F.when(F.col("location").isNotNull(), F.struct(*order, lat, lon))
-    slim = held.select(*KEYS, *order, *([point.alias("place")] if places else []))
+    slim = held.select(*keys, *order, *([point.alias("place")] if places else []))
     if places and not gaps:
         slim = slim.filter(F.col("place").isNotNull())
-    terms = _pair_terms(gaps, places)
-
-    def seconds(later: str, earlier: Column) -> Column:
-        return (F.unix_micros(later) - F.unix_micros(earlier)) / 1e6
-
-    inner = chunk_window(KEYS, order)
-    rows = with_chunks(slim, KEYS, order)
-    ends = []
+    inner = chunk_window(keys, order)
+    rows = with_chunks(slim, keys, order)
+    ends = [F.min(F.struct(*order)).alias("first_event"), F.max(F.struct(*order)).alias("last_event")]
     if gaps:
-        rows = rows.withColumn("gap", seconds("event_time", F.lag("event_time").over(inner)))
-        ends += [F.min("event_time").alias("first_time"), F.max("event_time").alias("last_time")]
+        rows = rows.withColumn("gap", _seconds("event_time", F.lag("event_time").over(inner)))
+        gap = F.when(F.col("gap") > 0, F.col("gap"))
+        ends.append((F.var_pop(gap) * F.count(gap)).alias("inside_gap_m2"))
     if places:
         earlier = inner.rowsBetween(Window.unboundedPreceding, -1)
         rows = _with_distance(rows.withColumn("place_before", F.last("place", ignorenulls=True).over(earlier)))
         ends += [F.min("place").alias("place"), F.max("place").alias("last_place")]
-    chunks = rows.groupBy(*KEYS, CHUNK).agg(
-        *[aggregate(term).alias(f"inside_{name}") for name, (aggregate, term) in terms.items()], *ends
+    return (
+        rows.groupBy(*keys, CHUNK)
+        .agg(
+            *[aggregate(term).alias(f"inside_{name}") for name, (aggregate, term) in _pair_terms(gaps, places).items()],
+            *ends,
+        )
+        .drop(CHUNK)
     )
 
-    # One row per chunk from here on: its first event against the last one of the chunks before.
-    along = Window.partitionBy(*KEYS).orderBy(CHUNK)
-    seams = chunks
+
+def from_pieces(pieces: DataFrame, gaps: bool, places: bool) -> DataFrame:
+    """What the pairs of (entity, window) add up to, from its pieces, which must not overlap in time.
+
+    Each piece's first event is set against the last one of the pieces before it: one row per piece. The squares of
+    gaps about their mean are those of the pieces about theirs, and of the pieces' means about the whole one, so no
+    large numbers are taken from each other.
+    """
+    terms = _pair_terms(gaps, places)
+    along = Window.partitionBy(*KEYS).orderBy("first_event")
+    seams = pieces
     if gaps:
-        seams = seams.withColumn("gap", seconds("first_time", F.lag("last_time").over(along)))
+        seams = seams.withColumn("gap", _seconds("first_event.event_time", F.lag("last_event.event_time").over(along)))
     if places:
         so_far = along.rowsBetween(Window.unboundedPreceding, -1)
         seams = _with_distance(seams.withColumn("place_before", F.last("last_place", ignorenulls=True).over(so_far)))
+    m2 = {"gap_m2": "inside_gap_m2"} if gaps else {}
     both = seams.select(
         *KEYS,
         F.inline(
             F.array(
-                F.struct(*[F.col(f"inside_{name}").cast("double").alias(name) for name in terms]),
-                F.struct(*[term.cast("double").alias(name) for name, (_, term) in terms.items()]),
+                F.struct(
+                    *[F.col(f"inside_{name}").cast("double").alias(name) for name in terms],
+                    *[F.col(column).alias(name) for name, column in m2.items()],
+                ),
+                F.struct(
+                    *[term.cast("double").alias(name) for name, (_, term) in terms.items()],
+                    *[F.lit(0.0).alias(name) for name in m2],
+                ),
             )
         ),
     )
-    return both.groupBy(*KEYS).agg(*[aggregate(name).alias(name) for name, (aggregate, _) in terms.items()])
+    out = [aggregate(name).alias(name) for name, (aggregate, _) in terms.items()]
+    if gaps:
+        whole = Window.partitionBy(*KEYS)
+        mean = ratio(F.sum("gap_sum").over(whole), F.sum("gap_n").over(whole))
+        apart = ratio(F.col("gap_sum"), F.col("gap_n")) - mean
+        both = both.withColumn("gap_m2", F.col("gap_m2") + F.coalesce(F.col("gap_n") * apart * apart, F.lit(0.0)))
+        out.append(F.sum("gap_m2").alias("gap_m2"))
+    return both.groupBy(*KEYS).agg(*out)
+
+
+def _sequence(held: DataFrame, gaps: bool, places: bool) -> DataFrame:
+    """Sums over pairs of consecutive events: inside pieces first, then over the seams between them."""
+    return from_pieces(sequence_pieces(held, KEYS, gaps, places), gaps, places)
 
 
 def entity_spine(entities: DataFrame, windows: Sequence[int]) -> DataFrame:
@@ -349,19 +401,42 @@ def extract_features(
     names: older events are past retention and need not be read. The partial results are small by
     then: one row per entity and window.
     """
-    chosen = [REGISTRY[name] for name in families]
+    needs = needed(families)
     held = in_windows(events, as_of, windows)
-    activity = list(dict.fromkeys(name for family in chosen for name in family.activity))
-    distinct = list(dict.fromkeys(name for family in chosen for name in family.distinct))
-    entropies = list(dict.fromkeys(name for family in chosen for name in family.entropies))
-    links = any(family.links for family in chosen)
-    gaps, places = any(family.gaps for family in chosen), any(family.places for family in chosen)
     parts = []
-    if activity or distinct or entropies or links:
-        parts.append(_values(held, activity, distinct, entropies, links))
-    if gaps or places:
-        parts.append(_sequence(held, gaps, places))
+    if needs.counted:
+        parts.append(_values(held, needs.activity, needs.distinct, needs.entropies, needs.links))
+    if needs.gaps or needs.places:
+        parts.append(_sequence(held, needs.gaps, needs.places))
     spine = entity_spine(entities if entities is not None else window_events(events, as_of, max(windows)), windows)
+    return features_of(spine, parts, families)
+
+
+@dataclass(frozen=True)
+class Needs:
+    """The partial results that some families need together."""
+
+    activity: list[str]
+    distinct: list[str]
+    entropies: list[str]
+    links: bool
+    gaps: bool
+    places: bool
+
+    @property
+    def counted(self) -> bool:
+        return bool(self.activity or self.distinct or self.entropies or self.links)
+
+
+def needed(families: Sequence[str]) -> Needs:
+    chosen = [REGISTRY[name] for name in families]
+    lists = (list(dict.fromkeys(x for family in chosen for x in getattr(family, kind))) for kind in ("activity", "distinct", "entropies"))
+    return Needs(*lists, *(any(getattr(family, kind) for family in chosen) for kind in ("links", "gaps", "places")))
+
+
+def features_of(spine: DataFrame, parts: Sequence[DataFrame], families: Sequence[str]) -> DataFrame:
+    """The features of every row of the spine from the partial results of (entity, window)."""
+    chosen = [REGISTRY[name] for name in families]
     joined = reduce(lambda left, right: left.join(right, KEYS, "left"), parts, spine)
     partial = {c: zero_if_null(F.col(c)).alias(c) for part in parts for c in part.columns if c not in KEYS}
     filled_in = joined.select(*KEYS, *partial.values())

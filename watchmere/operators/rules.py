@@ -52,6 +52,24 @@ def detect_brute_force(
     )
 
 
+def brute_force_sessions(
+    events: DataFrame, failures: int = BRUTE_FORCE_FAILURES, seconds: int = BRUTE_FORCE_SECONDS
+) -> DataFrame:
+    """Sessions of an entity's failed logins, each within so many seconds of the one before, with enough failures.
+
+    A session ends so many seconds after its last failure. Rows of one entity are merged before the shuffle, so an
+    attacked one sends a row for each session and task. Works on streams with a watermark as well.
+    """
+    session = F.session_window("event_time", f"{seconds} seconds")
+    return (
+        events.filter(F.col("event_type") == "authentication_failure")
+        .groupBy("entity_id", session.alias("w"))
+        .agg(F.count("*").alias("failures"))
+        .filter(F.col("failures") >= failures)
+        .select("entity_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "failures")
+    )
+
+
 def detect_impossible_travel(events: DataFrame, kmh: float = IMPOSSIBLE_KMH) -> DataFrame:
     """Consecutive located logins of an entity that are too far apart for the time between them."""
     logins = events.filter((F.col("event_type") == "login") & F.col("location").isNotNull())

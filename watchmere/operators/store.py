@@ -28,14 +28,16 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.withColumn("written_date", F.to_date("written_at")).write.mode("append").partitionBy("written_date").parquet(path)
 
 
-def live_rows(rows: DataFrame, as_of) -> DataFrame:
+def live_rows(rows: DataFrame, as_of, longest_ttl: int | None = None) -> DataFrame:
     """Rows written by `as_of` that have not expired; a row is gone at its very expiry."""
     now = as_timestamp(as_of)
-    return written_by(rows, now).filter(F.col("expires_at") > now)
+    return written_by(rows, now, longest_ttl).filter(F.col("expires_at") > now)
 
 
-def written_by(rows: DataFrame, now: Column) -> DataFrame:
-    return by_day(rows, "written_date", None, now).filter(F.col("written_at") <= now)
+def written_by(rows: DataFrame, now: Column, longest_ttl: int | None = None) -> DataFrame:
+    """Rows written by now; with a longest time to live, days whose rows have all expired are not read."""
+    first = None if longest_ttl is None else now - seconds_interval(longest_ttl)
+    return by_day(rows, "written_date", first, now).filter(F.col("written_at") <= now)
 
 
 def tie_breaker(rows: DataFrame) -> Column:
@@ -43,40 +45,52 @@ def tie_breaker(rows: DataFrame) -> Column:
     return F.xxhash64(*[f.name for f in rows.schema.fields if not isinstance(f.dataType, MapType)])
 
 
-def latest(rows: DataFrame, keys: Sequence[str], as_of) -> DataFrame:
+def newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The newest row per key. Spark keeps one row per key on the sending side of the shuffle already."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("written_at"), tie_breaker(rows))
+    return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") == 1).drop("_rank")
+
+
+def latest(rows: DataFrame, keys: Sequence[str], as_of, longest_ttl: int | None = None) -> DataFrame:
     """The newest row per key, if it is live: an older one does not come back when the newest expires.
 
-    Spark keeps one row per key on the sending side of the shuffle already.
+    No row lives longer than `longest_ttl` seconds, if that is given, so on a table by days older ones are not read:
+    where they are a key's newest, the key has no live row.
     """
-    newest = Window.partitionBy(*keys).orderBy(F.desc("written_at"), tie_breaker(rows))
     now = as_timestamp(as_of)
-    ranked = written_by(rows, now).withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") == 1)
-    return ranked.filter(F.col("expires_at") > now).drop("_rank")
+    return newest(written_by(rows, now, longest_ttl), keys).filter(F.col("expires_at") > now)
+
 
+VECTOR_KEYS = ("entity_id", "window_size")
 
-def latest_feature_vectors(rows: DataFrame, as_of) -> DataFrame:
-    return latest(rows, ["entity_id", "window_size"], as_of)
 
+def latest_feature_vectors(rows: DataFrame, as_of, longest_ttl: int | None = None) -> DataFrame:
+    return latest(rows, VECTOR_KEYS, as_of, longest_ttl)
 
-def lookup_feature_vectors(rows: DataFrame, requests: DataFrame, as_of) -> DataFrame:
-    """Vectors for requests (entity_id, window_size); a null window asks for all of the entity's."""
+
+def lookup_feature_vectors(rows: DataFrame, requests: DataFrame, as_of, longest_ttl: int | None = None) -> DataFrame:
+    """Vectors for requests (entity_id, window_size); a null window asks for all of the entity's.
+
+    Rows of entities that nobody asks for go before the newest are looked for.
+    """
     wanted = requests.select("entity_id", F.col("window_size").alias("_window")).distinct()
-    found = latest_feature_vectors(rows, as_of).join(wanted, "entity_id")
+    asked = rows.join(requests.select("entity_id").distinct(), "entity_id", "left_semi")
+    found = latest_feature_vectors(asked, as_of, longest_ttl).join(wanted, "entity_id")
     match = F.col("_window").isNull() | (F.col("_window") == F.col("window_size"))
     return found.filter(match).drop("_window").distinct()
 
 
-def latest_entity_behavior(rows: DataFrame, as_of) -> DataFrame:
-    return latest(rows, ["entity_id"], as_of)
+def latest_entity_behavior(rows: DataFrame, as_of, longest_ttl: int | None = None) -> DataFrame:
+    return latest(rows, ["entity_id"], as_of, longest_ttl)
 
 
-def latest_predictions(rows: DataFrame, as_of) -> DataFrame:
-    return latest(rows, ["entity_id", "model_name"], as_of)
+def latest_predictions(rows: DataFrame, as_of, longest_ttl: int | None = None) -> DataFrame:
+    return latest(rows, ["entity_id", "model_name"], as_of, longest_ttl)
 
 
-def store_entity_ids(rows: DataFrame, as_of) -> DataFrame:
+def store_entity_ids(rows: DataFrame, as_of, longest_ttl: int | None = None) -> DataFrame:
     """Entities that have live features."""
-    return live_rows(rows, as_of).select("entity_id").distinct()
+    return live_rows(rows, as_of, longest_ttl).select("entity_id").distinct()
 
 
 def baseline_features(vectors: DataFrame, written_at, version: int = 1) -> DataFrame:

@@ -302,6 +302,33 @@ _TABLES["simple"] = (
     ("edges",),
 )
 
+# Deliveries of a stream: ten days each, some rows three deliveries late, some twice. What comes after the watermark,
+# the latest time of the deliveries before the last one less two days, is late.
+_TABLES["deliveries"] = (
+    """
+SELECT event_id, event_time, entity_id, unnest(CASE eid % 10 WHEN 3 THEN [d + 3] WHEN 7 THEN [d, d + 1] ELSE [d] END) AS delivery
+FROM (SELECT *, date_diff('day', DATE '2024-01-01', CAST(event_time AS DATE)) // 10 AS d FROM @sec_events) x
+""",
+    ("sec_events",),
+)
+_TABLES["accepted_events"] = (
+    """
+SELECT DISTINCT event_id, event_time, entity_id FROM @deliveries d
+WHERE NOT EXISTS (SELECT 1 FROM @deliveries b WHERE b.delivery <= d.delivery - 2 AND b.event_time >= d.event_time + INTERVAL 2 DAY)
+""",
+    ("deliveries",),
+)
+_TABLES["failure_sessions"] = (
+    """
+SELECT entity_id, min(event_time) AS session_start, max(event_time) + INTERVAL 1 HOUR AS session_end, count(*) AS failures
+FROM (SELECT *, sum(fresh) OVER (PARTITION BY entity_id ORDER BY event_time, event_id) AS session
+      FROM (SELECT *, CASE WHEN event_time < lag(event_time) OVER (PARTITION BY entity_id ORDER BY event_time, event_id) + INTERVAL 1 HOUR
+                      THEN 0 ELSE 1 END AS fresh FROM @sec_events WHERE event_type = 'authentication_failure') x) y
+GROUP BY entity_id, session HAVING count(*) >= 2
+""",
+    ("sec_events",),
+)
+
 # Scores.
 _TABLES["predictions"] = (
     """
@@ -457,6 +484,7 @@ _SQL: dict[str, str] = {
         FROM (SELECT entity_id, event_time < {AS_OF} - INTERVAL 7 DAY AS old FROM @sec_events) x""",
     "save_feature_vectors": "SELECT * FROM @vectors",
     "latest_feature_vectors": "SELECT * FROM @newest",
+    "snapshot_feature_vectors": "SELECT * FROM @newest",
     "lookup_feature_vectors": """SELECT n.* FROM @newest n JOIN @entities e ON n.entity_id = e.entity_id
         WHERE e.department = 'Sales' OR (e.department = 'Engineering' AND n.window_size = 86400)""",
     "save_entity_behavior": "SELECT * FROM @behavior",
@@ -602,18 +630,42 @@ _SQL["model_importances"] = """SELECT model_name, 64::BIGINT AS features, 1.0::D
 _SQL["score_ranges"] = """SELECT model_name, (SELECT count(*) FROM embeddings) AS scored_rows, 0::BIGINT AS outside,
     CASE WHEN contains(model_name, 'batch') THEN 0.0::DOUBLE END AS least, CASE WHEN contains(model_name, 'batch') THEN 1.0::DOUBLE END AS largest
     FROM (SELECT unnest(['isolation_forest', 'autoencoder', 'boosted_trees', 'isolation_forest, batch']) AS model_name) m"""
+_SQL["detector_pipeline"] = """SELECT model_name, (SELECT count(*) FROM embeddings) AS scored_rows, 0::BIGINT AS outside, 0.0::DOUBLE AS largest_difference
+    FROM (SELECT unnest(['isolation_forest', 'autoencoder', 'boosted_trees']) AS model_name) m"""
 
 # A stream gives the same rows as its batch.
 _SQL["stream_normalize"] = _SQL["process_raw_logs"]
 _SQL["stream_entity_buffer"] = (
     "SELECT entity_id, CAST(event_time AS DATE) AS event_date, count(*) AS event_count FROM @sec_events GROUP BY ALL"
 )
-_SQL["stream_eviction"] = "SELECT event_id, event_time, entity_id FROM @sec_events"
+_SQL["stream_unique_events"] = "SELECT event_id, event_time, entity_id FROM @sec_events"
+_SQL["stream_eviction"] = f"""SELECT event_id, event_time, entity_id FROM @accepted_events
+ WHERE event_time >= {AS_OF} - INTERVAL 7 DAY"""
+_SQL["stream_eviction_report"] = f"""SELECT (SELECT count(*) FROM @deliveries) AS delivered_rows, (SELECT count(*) FROM @accepted_events) AS accepted_rows,
+ (SELECT count(*) FROM @accepted_events WHERE event_time >= {AS_OF} - INTERVAL 7 DAY) AS kept_rows, TRUE AS some_were_late,
+ (SELECT count(DISTINCT CAST(event_time AS DATE)) FROM @accepted_events WHERE CAST(event_time AS DATE) < CAST({AS_OF} - INTERVAL 7 DAY AS DATE)) AS retired_days"""
+_SQL["brute_force_sessions"] = "SELECT * FROM @failure_sessions"
+# A session is given out when it ends before the watermark.
+_SQL["stream_brute_force"] = """SELECT * FROM @failure_sessions
+ WHERE session_end <= (SELECT max(event_time) FROM @sec_events WHERE event_type = 'authentication_failure') - INTERVAL 1 HOUR"""
 _SQL["stream_periodic_features"] = _SQL["extract_features"]
+_SQL["stream_partial_features"] = _SQL["extract_features"]
+_SQL["sketched_features"] = " UNION ALL ".join(
+    f"""SELECT {entity} AS entity_id, w AS window_size, '{name}' AS feature, count(DISTINCT {column}) AS exact_count, TRUE AS within_bound
+ FROM @wev GROUP BY {keys}"""
+    for entity, keys in (("entity_id", "entity_id, w"), ("NULL::VARCHAR", "w"))
+    for name, column in (
+        ("unique_hosts", "hostname"),
+        ("unique_ips", "source_ip"),
+        ("unique_countries", "country"),
+        ("unique_cities", "city"),
+        ("new_connections", "hostname"),
+    )
+)
 _SQL["stream_exfiltration"] = _SQL["detect_exfiltration"]
 _SQL["stream_exfiltration_day"] = _SQL["detect_exfiltration_day"]
 # Windows that the watermark, an hour before the last event, has passed.
-_SQL["stream_sliding_features"] = """SELECT entity_id, s AS window_start, s + INTERVAL 1 DAY AS window_end, count(*) AS event_count, """ + ", ".join(
+_TYPE_COUNTS = ", ".join(
     f"count(*) FILTER (contains(event_type, '{text}')) AS {name}"
     for name, text in (
         ("login_count", "login"),
@@ -624,9 +676,20 @@ _SQL["stream_sliding_features"] = """SELECT entity_id, s AS window_start, s + IN
         ("dns_query_count", "dns"),
         ("network_connections", "network"),
     )
-) + """ FROM (SELECT *, unnest([0, 6, 12, 18]) AS back FROM @sec_events) e,
-    LATERAL (SELECT time_bucket(INTERVAL 6 HOUR, e.event_time, TIMESTAMP '1970-01-01') - to_hours(e.back) AS s) x
-    WHERE s + INTERVAL 1 DAY <= date_trunc('milliseconds', (SELECT max(event_time) FROM @sec_events)) - INTERVAL 1 HOUR GROUP BY entity_id, s"""
+)
+
+
+def _sliding(seconds: int, slide: int, more: str = "") -> str:
+    return f"""SELECT entity_id, s AS window_start, s + to_seconds({seconds}) AS window_end, {more} count(*) AS event_count, {_TYPE_COUNTS}
+    FROM (SELECT *, unnest(range(0, {seconds}, {slide})) AS back FROM @sec_events) e,
+    LATERAL (SELECT time_bucket(to_seconds({slide}), e.event_time, TIMESTAMP '1970-01-01') - to_seconds(e.back) AS s) x
+    WHERE s + to_seconds({seconds}) <= date_trunc('milliseconds', (SELECT max(event_time) FROM @sec_events)) - INTERVAL 1 HOUR GROUP BY entity_id, s"""
+
+
+_SQL["stream_sliding_features"] = _sliding(86400, 21600)
+_SQL["stream_sliding_windows"] = " UNION ALL ".join(
+    _sliding(seconds, slide, f"{seconds} AS window_size,") for seconds, slide in ((3600, 900), (86400, 21600), (604800, 86400))
+)
 
 
 def oracle_sql() -> dict[str, str]:

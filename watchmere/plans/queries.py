@@ -6,37 +6,44 @@ import json
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from watchmere.operators import alerts as A
 from watchmere.operators import ensemble as E
+from watchmere.operators import estimators as M
 from watchmere.operators import explain as X
 from watchmere.operators import features as FE
 from watchmere.operators import feedback as B
 from watchmere.operators import graph as G
 from watchmere.operators import normalize as N
+from watchmere.operators import partials as H
 from watchmere.operators import rules as R
 from watchmere.operators import scaling as D
 from watchmere.operators import store as S
 from watchmere.operators import windows as W
+from watchmere.operators.snapshots import SnapshotTable
 from watchmere.operators.attribution import attribution_lime as lime_values
 from watchmere.operators.attribution import attribution_shap as shapley_values
 from watchmere.operators.attribution import background_rows
 from watchmere.operators.autoencoder import train_autoencoder
 from watchmere.operators.boosted import train_boosted_trees
 from watchmere.operators.forest import train_forest
-from watchmere.plans.detection import Detectors, Pipeline, train_detectors
+from watchmere.plans.detection import Detectors, train_detectors
+from watchmere.plans.detection import Pipeline as AlertPipeline
 from watchmere.schemas import WINDOW_SECONDS
 from watchmere.session import prepare, scratch_path
 from watchmere.sources import logs
 from watchmere.sources import projections as P
 from watchmere.sources.tables import stream_table
 from watchmere.streaming import jobs as J
+from watchmere.streaming import retention as K
 
 AS_OF = "2024-01-31 00:00:00"
 ALERTS_AS_OF = "2001-07-31 12:00:00"
+HALF_TIME = "2024-01-30 12:00:00"
 PATH_SOURCE = "user:u1"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,6 +235,26 @@ def latest_feature_vectors(spark, root):
     return S.latest_feature_vectors(_vector_log(spark, root), AS_OF)
 
 
+def _snapshot_table(spark, root) -> SnapshotTable:
+    """The vector log, a quarter of a month at a time, compacted after all but the last."""
+    table = SnapshotTable(spark, scratch_path(spark, "vector_table"), VECTOR_KEYS, buckets=8)
+    log = _vector_log(spark, root).withColumn("_day", F.to_date("written_at"))
+    for first, last in zip(("2023-12-31", *COMPACTED), (*COMPACTED, "2024-01-31")):
+        table.append(log.filter((F.col("_day") > first) & (F.col("_day") <= last)).drop("_day"))
+        if last in COMPACTED:
+            table.compact(last)
+    return table
+
+
+COMPACTED = ("2024-01-10", "2024-01-20", "2024-01-29")
+
+
+@query("snapshot_feature_vectors")
+def snapshot_feature_vectors(spark, root):
+    """As latest_feature_vectors, from the last snapshot and the day after it."""
+    return _snapshot_table(spark, root).latest(AS_OF)
+
+
 @query("lookup_feature_vectors")
 def lookup_feature_vectors(spark, root):
     """Requests: engineers' day vectors, everything of the sales people."""
@@ -848,6 +875,31 @@ def model_persistence(spark, root):
     )
 
 
+@query("detector_pipeline")
+def detector_pipeline(spark, root):
+    """The three detectors as stages of one Spark pipeline, fitted, saved and read: rows scored and largest difference."""
+    normal = {"width": len(_matrix_names()), "trainWhere": "label = 0"}
+    stages = [
+        M.IsolationForest(scoreCol="isolation_forest", anomalyCol="_forest", **normal),
+        M.AutoencoderDetector(scoreCol="autoencoder", anomalyCol="_autoencoder", epochs=20, **normal),
+        M.BoostedDetector(scoreCol="boosted_trees", anomalyCol="_boosted", names=_matrix_names(), rounds=10),
+    ]
+    names = [stage.getOrDefault("scoreCol") for stage in stages]
+    fitted = Pipeline(stages=stages).fit(_matrix(spark, root))
+    path = scratch_path(spark, "pipeline_model")
+    fitted.save(path)
+
+    def scores(model):
+        return model.transform(_matrix(spark, root)).unpivot("row_key", names, "model_name", "score")
+
+    both = scores(fitted).join(scores(PipelineModel.load(path)).withColumnRenamed("score", "again"), ["row_key", "model_name"])
+    return both.groupBy("model_name").agg(
+        F.count("*").alias("scored_rows"),
+        F.count_if(~F.col("score").between(0, 1)).alias("outside"),
+        F.max(F.abs(F.col("score") - F.col("again"))).alias("largest_difference"),
+    )
+
+
 def _flagged(spark, root):
     forest = _forest(spark, root)
     return forest, forest.transform(_matrix(spark, root)).filter("is_anomaly = 1").select("row_key", "features")
@@ -901,7 +953,7 @@ def pipeline_alerts(spark, root):
 
     Entities that an attack rule finds are the supervised model's attacks.
     """
-    pipeline = Pipeline(AS_OF, scratch_path(spark, "pipeline"))
+    pipeline = AlertPipeline(AS_OF, scratch_path(spark, "pipeline"))
     events = pipeline.events(P.raw_logs(spark, root))
     vectors = pipeline.vectors(events)
     detectors = pipeline.train(*pipeline.by_rules(events, vectors))
@@ -948,23 +1000,134 @@ def stream_entity_buffer(spark, root):
     return _event_table(spark, root).groupBy("entity_id", "event_date").agg(F.count("*").alias("event_count"))
 
 
+# Events come in deliveries of ten days; of every ten, the third comes three deliveries late and the seventh twice.
+DELIVERY_DAYS = 10
+FIRST_DAY = "2024-01-01"
+LATE_BY = 3
+STREAM_DELAY = "2 days"
+
+
+def _deliveries(spark, root) -> DataFrame:
+    """Events with the number of the delivery they come in, some twice."""
+    events = P.sec_events(spark, root).select("event_id", "event_time", "entity_id", "event_type", "eid")
+    own = F.floor(F.datediff("event_time", F.lit(FIRST_DAY).cast("date")) / DELIVERY_DAYS)
+    numbers = F.when(F.col("eid") % 10 == 3, F.array(own + LATE_BY)).when(F.col("eid") % 10 == 7, F.array(own, own + 1))
+    return events.withColumn("delivery", F.explode(F.coalesce(numbers, F.array(own)))).drop("eid")
+
+
+def _retention_run(spark, root):
+    """The event table after all deliveries, one run of the stream for each, and the days that were retired."""
+    base = scratch_path(spark, "retention")
+    deliveries = _deliveries(spark, root)
+    deliveries.write.partitionBy("delivery").parquet(f"{base}/delivered")
+    delivered = spark.read.parquet(f"{base}/delivered")
+    schema = delivered.drop("delivery").schema
+    first, last = delivered.agg(F.min("delivery"), F.max("delivery")).first()
+    late = 0
+    for number in range(first, last + 1) if first is not None else ():
+        delivered.filter(F.col("delivery") == number).drop("delivery").write.mode("append").parquet(f"{base}/inbox")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/inbox")
+        run = K.fill_event_table(stream, f"{base}/table", f"{base}/checkpoint", STREAM_DELAY)
+        run.awaitTermination()
+        late += K.rows_dropped_as_late(run)
+    filled = K.read_event_table(spark, f"{base}/table", schema)
+    counts = delivered.count(), filled.count()
+    days = K.retire_days(spark, f"{base}/table", AS_OF)
+    return K.read_event_table(spark, f"{base}/table", schema, AS_OF), counts, late, days
+
+
 @query("stream_eviction")
 def stream_eviction(spark, root):
+    """What is left of a stream whose late rows are dropped, whose copies are found and whose old days are retired."""
+    return _retention_run(spark, root)[0].select("event_id", "event_time", "entity_id")
+
+
+@query("stream_eviction_report")
+def stream_eviction_report(spark, root):
+    """Rows delivered, accepted and kept by the run of `stream_eviction`, whether rows were dropped as late, and retired days."""
+    kept, (delivered, accepted), late, days = _retention_run(spark, root)
+    return kept.agg(F.count("*").alias("kept_rows")).select(
+        F.lit(delivered).cast("bigint").alias("delivered_rows"),
+        F.lit(accepted).cast("bigint").alias("accepted_rows"),
+        "kept_rows",
+        F.lit(late > 0).alias("some_were_late"),
+        F.lit(len(days)).cast("bigint").alias("retired_days"),
+    )
+
+
+@query("stream_unique_events")
+def stream_unique_events(spark, root):
     """A stream in which every event comes twice, once each after the filter of ids."""
     twice = _event_stream(spark, root).unionByName(_event_stream(spark, root))
     unique = J.unique_events(twice.select("event_id", "event_time", "entity_id"))
-    return J.run_to_table(unique, scratch_path(spark, "stream_eviction"))
+    return J.run_to_table(unique, scratch_path(spark, "stream_unique_events"))
+
+
+# Failures within an hour of each other, two at least: the tables hold few that come closer.
+SESSION = {"failures": 2, "seconds": 3600}
+
+
+@query("brute_force_sessions")
+def brute_force_sessions(spark, root):
+    return R.brute_force_sessions(P.sec_events(spark, root), **SESSION)
+
+
+@query("stream_brute_force")
+def stream_brute_force(spark, root):
+    """The same from a stream: the sessions that are closed when it has been read."""
+    found = J.brute_force_stream(_event_stream(spark, root), delay="1 hour", **SESSION)
+    return J.run_to_table(found, scratch_path(spark, "stream_brute_force"))
 
 
 @query("stream_periodic_features")
 def stream_periodic_features(spark, root):
     """Features brought from noon to midnight for the entities that changed."""
     events = _event_table(spark, root)
-    before = "2024-01-30 12:00:00"
+    before = HALF_TIME
     known = FE.extract_features(W.evict_old_events(events, before, 30 * 86400), before, entities=events)
     return J.refresh_features(events, known, before, AS_OF)
 
 
+def _stored_hours(spark, root, kinds):
+    """The event table of a stream, and its hours up to AS_OF stored in two runs, one up to the noon before."""
+    events, path = _event_table(spark, root), scratch_path(spark, "hours")
+    for since, until in ((FIRST_DAY, HALF_TIME), (HALF_TIME, AS_OF)):
+        H.store_hours(events, path, since, until, kinds)
+    return events, path
+
+
+@query("stream_partial_features")
+def stream_partial_features(spark, root):
+    """As stream_periodic_features, from stored hours and the few raw events at the ends of the windows."""
+    events, path = _stored_hours(spark, root, ("values", "pieces"))
+    return H.features_from_hours(spark, path, events, AS_OF)
+
+
+@query("sketched_features")
+def sketched_features(spark, root):
+    """Distinct counts by sketches against the exact ones, per entity and over all: three standard errors are allowed."""
+    events, path = _stored_hours(spark, root, ("sketches",))
+    held = W.in_windows(events, AS_OF)
+    columns = list(H.SKETCHED.items())
+    parts = []
+    for everyone in (False, True):
+        keys = ["window_size"] if everyone else ["entity_id", "window_size"]
+        exact = held.groupBy(*keys).agg(*[F.countDistinct(F.nullif(F.col(c), F.lit(""))).alias(n) for n, c in columns])
+        if everyone:
+            exact = exact.withColumn("entity_id", F.lit(None).cast("string"))
+        exact = exact.unpivot(["entity_id", "window_size"], list(H.SKETCHED), "feature", "exact_count")
+        found = H.distinct_estimates(spark, path, events, AS_OF, everyone=everyone).alias("s")
+        same = [F.col(f"s.{c}").eqNullSafe(exact[c]) for c in ("entity_id", "window_size", "feature")]
+        near = F.abs(F.col("estimate") - F.col("exact_count")) <= 3 * H.sketch_error() * F.col("exact_count")
+        parts.append(
+            exact.join(found, reduce(lambda a, b: a & b, same), "left").select(
+                *[exact[c] for c in ("entity_id", "window_size", "feature", "exact_count")],
+                F.coalesce(near, F.lit(False)).alias("within_bound"),
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
 @query("stream_sliding_features")
 def stream_sliding_features(spark, root):
     counts = J.sliding_counts(_event_stream(spark, root), "1 day", "6 hours", "1 hour")

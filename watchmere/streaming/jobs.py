@@ -103,6 +103,16 @@ def refresh_features(
     return fresh.unionByName(previous.join(changed, "entity_id", "left_anti"))
 
 
+def brute_force_stream(
+    events: DataFrame, failures: int = R.BRUTE_FORCE_FAILURES, seconds: int = R.BRUTE_FORCE_SECONDS, delay: str = "1 hour"
+) -> DataFrame:
+    """Sessions of failed logins as `brute_force_sessions` finds them, each given out once when it is closed.
+
+    A session is closed when the watermark is past its end: no row that may still come can be part of it.
+    """
+    return R.brute_force_sessions(events.withWatermark("event_time", delay), failures, seconds)
+
+
 def score_stream(vectors: DataFrame, detectors, as_of) -> DataFrame:
     """Alert rows for a stream of `(row_key, features)`, each row scored by itself."""
     scored = vectors
