@@ -8,7 +8,7 @@ whatever the partitioning. The result is close to, not the same as, one sequenti
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -172,7 +172,7 @@ ROUND_SCHEMA = "weights ARRAY<DOUBLE>, n BIGINT, loss DOUBLE, m BIGINT"
 
 
 def _round_of_training(shared, sizes: Sequence[int], epochs: int, seed: list[int]):
-    """A function that trains one shard and tells the loss of the weights it started from."""
+    """A function that trains one shard, giving weights times rows, and tells the loss of the weights it started from."""
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("row_key")
@@ -182,11 +182,37 @@ def _round_of_training(shared, sizes: Sequence[int], epochs: int, seed: list[int
         kept = x[~held_out]
         if len(kept):
             weights = train_shard(kept, weights, sizes, epochs, [*seed, int(part["shard"].iloc[0])])
-        return pd.DataFrame([{"weights": weights, "n": len(kept), "loss": loss, "m": int(held_out.sum())}])
+        return pd.DataFrame([{"weights": weights * len(kept), "n": len(kept), "loss": loss, "m": int(held_out.sum())}])
 
     return train
 
 
+def _add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for all rows of a task: weights, counts and losses added up, one row held at a time."""
+    total, n, loss, m = None, 0, 0.0, 0
+    for part in parts:
+        for row in part.itertuples(index=False):
+            total = np.array(row.weights) if total is None else total + row.weights
+            n, loss, m = n + row.n, loss + row.loss, m + row.m
+    if total is not None:
+        yield pd.DataFrame([{"weights": total, "n": n, "loss": loss, "m": m}])
+
+
+def _added_up(trained: DataFrame, groups: int) -> tuple[np.ndarray, int, float, int]:
+    """Weights times rows, rows, losses and held-out rows over all shards.
+
+    Each task that trained adds up its shards, some groups add up the tasks, and the driver adds the groups: whole
+    arrays travel, one row per task and one per group.
+    """
+    rows = trained.mapInPandas(_add, ROUND_SCHEMA).repartition(groups).mapInPandas(_add, ROUND_SCHEMA).collect()
+    return (
+        np.sum([r["weights"] for r in rows], axis=0),
+        sum(r["n"] for r in rows),
+        math.fsum(r["loss"] for r in rows),
+        sum(r["m"] for r in rows),
+    )
+
+
 def train_autoencoder(
     rows: DataFrame,
     width: int,
@@ -228,27 +254,15 @@ def train_autoencoder(
             trained = laid_out.groupBy("shard").applyInPandas(
                 _round_of_training(shared, sizes, local_epochs, [seed, round_number]), ROUND_SCHEMA
             )
-            # Weighted means position by position; each task sends one partial sum per position.
-            position = (
-                trained.select(F.posexplode("weights").alias("at", "w"), "n", "loss", "m")
-                .groupBy("at")
-                .agg(
-                    (F.sum(F.col("w") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1))).alias("w"),
-                    F.sum("loss").alias("loss"),
-                    F.sum("m").alias("m"),
-                )
-                .toPandas()
-                .sort_values("at")
-            )
-            scored = int(position["m"].iloc[0])
-            loss = float(position["loss"].iloc[0]) / scored if scored else math.inf
+            total, n, errors, scored = _added_up(trained, math.ceil(math.sqrt(shards)))
+            loss = errors / scored if scored else math.inf
             if loss < best_loss - TOLERANCE:
                 best, best_loss, waited = weights, loss, 0
             elif scored:
                 waited += local_epochs
                 if waited >= PATIENCE_EPOCHS:
                     break
-            weights = position["w"].to_numpy()
+            weights = total / n if n else weights
         else:
             # A round tells the loss of the weights that it starts from, so those of the last one are scored here.
             if held_out_loss(weights) < best_loss - TOLERANCE:

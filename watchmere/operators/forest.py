@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -154,18 +154,39 @@ def _tree_arrays(trees: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
     return [tuple(tree[name].to_numpy() for name in names) for _, tree in trees.groupby("tree", sort=True)]
 
 
+def _joins_at_most(trees: int, chance: float) -> list[float]:
+    """For m = 0, 1, ... the chance that a row joins at most m of the trees, up to where it is one for doubles."""
+    below, out = 0.0, []
+    for m in range(trees):
+        below += math.comb(trees, m) * chance**m * (1 - chance) ** (trees - m)
+        out.append(min(below, 1.0))
+        if below >= 1.0:
+            break
+    return out
+
+
 def tree_samples(rows: DataFrame, count: int, trees: int, max_samples: int, seed: int) -> DataFrame:
-    """The rows (tree, draw, features) that each tree is grown from."""
+    """The rows (tree, draw, features) that each tree is grown from.
+
+    One number per row, drawn from its key, tells how many trees the row is a candidate of: as many as independent
+    draws for each tree would give. Only rows that are one at all, of large tables very few, draw which trees and
+    their place there. Each tree keeps its candidates of smallest place, of which tasks send no more than it takes.
+    """
     size = min(max_samples, count)
     chance = min(1.0, OVERDRAW * size / max(count, 1))
-    draws = F.transform(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda tree: F.struct(
-            tree.alias("tree"), F.pmod(F.xxhash64(F.lit(seed), tree, "row_key"), F.lit(HASH_RANGE)).alias("draw")
-        ),
-    )
-    drawn = F.filter(draws, lambda d: d["draw"] < int(chance * HASH_RANGE))
-    candidates = rows.select("row_key", "features", F.inline(drawn))
+
+    def drawn(*parts: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(HASH_RANGE))
+
+    at_most = _joins_at_most(trees, chance)
+    share = drawn(F.lit("joins"), F.col("row_key")) / float(HASH_RANGE)
+    limits = F.array(*[F.lit(x) for x in at_most])
+    joins = F.when(share < at_most[0], 0).otherwise(F.size(F.filter(limits, lambda x: x <= share)))
+    candidates = rows.select("row_key", "features", joins.alias("_joins")).filter("_joins > 0")
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(drawn(F.col("row_key"), t).alias("h"), t.alias("tree")))
+    chosen = F.slice(F.array_sort(numbers), F.lit(1), F.col("_joins"))
+    candidates = candidates.select("row_key", "features", F.explode(F.transform(chosen, lambda x: x["tree"])).alias("tree"))
+    candidates = candidates.withColumn("draw", drawn(F.lit("place"), F.col("row_key"), F.col("tree")))
     order = Window.partitionBy("tree").orderBy("draw", "row_key")
     return (
         candidates.withColumn("_rank", F.row_number().over(order))

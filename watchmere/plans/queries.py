@@ -23,6 +23,7 @@ from watchmere.operators import partials as H
 from watchmere.operators import rules as R
 from watchmere.operators import scaling as D
 from watchmere.operators import store as S
+from watchmere.operators import tree_values as V
 from watchmere.operators import windows as W
 from watchmere.operators.snapshots import SnapshotTable
 from watchmere.operators.attribution import attribution_lime as lime_values
@@ -918,6 +919,38 @@ def attribution_lime(spark, root):
     return lime_values(forest.transform, flagged, forest.scaler, _matrix_names())
 
 
+def _tree_values(spark, root):
+    """Exact values of the rows that the forest flags, for the forest's paths and the boosted trees' margin."""
+    rows = _matrix(spark, root)
+    models = _detectors(spark, root).models
+    forest, trees = models["isolation_forest"], models["boosted_trees"]
+    flagged = forest.transform(rows).filter("is_anomaly = 1").select("row_key", "features")
+    parts = [
+        V.attribution_trees(leaves, model.scaler, flagged, rows, _matrix_names()).withColumn("model_name", F.lit(name))
+        for name, model, leaves in (
+            ("isolation_forest", forest, V.forest_leaves(forest)),
+            ("boosted_trees", trees, V.boosted_leaves(trees)),
+        )
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query("attribution_trees")
+def attribution_trees(spark, root):
+    return _tree_values(spark, root)
+
+
+@query("attribution_trees_sums")
+def attribution_trees_sums(spark, root):
+    """Per model the flagged rows whose values do not add up to the output less the base, and whether any were flagged."""
+    rows = _tree_values(spark, root).groupBy("model_name", "entity_id").agg(
+        F.sum("signed").alias("added"), F.max(F.col("output") - F.col("base")).alias("wanted")
+    )
+    return rows.groupBy("model_name").agg(
+        F.count_if(F.abs(F.col("added") - F.col("wanted")) > 1e-9).alias("off"), (F.count("*") > 0).alias("some_flagged")
+    )
+
+
 @query("explain_prediction")
 def explain_prediction(spark, root):
     """Everything about each flagged row in one row per explainer."""
