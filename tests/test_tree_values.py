@@ -78,7 +78,7 @@ def test_values_of_a_forest(spark):
 def test_values_of_boosted_trees(spark):
     rows, _ = table(spark)
     model = train_boosted_trees(rows, NAMES, rounds=6, depth=4)
-    trees = T.boosted_leaves(model)
+    trees = T.boosted_leaves(spark, model)
     # The probability is 1 / (1 + exp(-2 margin)).
     scored = model.transform(rows.filter("row_key < 12")).collect()
     margin = {str(r["row_key"]): math.log(r["anomaly_score"] / (1 - r["anomaly_score"])) / 2 for r in scored}

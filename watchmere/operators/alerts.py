@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchmere.operators.ensemble import ranked_list
 from watchmere.operators.store import tie_breaker
 from watchmere.schemas import ALERT_STATUSES, ENTITY_TYPES, ATTACK_TYPES, SEVERITIES, as_timestamp
 
 MAX_PAGE_SIZE = 100
 HIGH_ABOVE = 0.5
 DEFAULT_CONFIDENCE = 0.5
+REASONS = 10
+RELATED = 10
 
 
 def dashboard_stats(alerts: DataFrame, as_of) -> DataFrame:
@@ -118,12 +121,44 @@ def delete_alerts(alerts: DataFrame, doomed: DataFrame) -> DataFrame:
     return alerts.join(doomed.select("alert_id"), "alert_id", "left_anti")
 
 
-def create_alerts(scored: DataFrame, as_of, narratives: DataFrame | None = None) -> DataFrame:
+def _reasons(attributions: DataFrame) -> DataFrame:
+    """(entity_id, _reasons): the largest attributions of each entity as a map."""
+    top = ranked_list(attributions.select("entity_id", "feature", "score"), REASONS, "entity_id")
+    entries = F.transform("top", lambda x: F.struct(x["feature"], x["score"]))
+    return top.select("entity_id", F.map_from_entries(entries).alias("_reasons"))
+
+
+def _open_alerts(alerts: DataFrame, as_of) -> DataFrame:
+    """(entity_id, _related): ids of each entity's newest open alerts, the newest first.
+
+    Spark keeps RELATED rows per entity on the sending side of the shuffle.
+    """
+    order = Window.partitionBy("entity_id").orderBy(F.desc("event_time"), "alert_id")
+    held = alerts.filter(F.col("status").isin(*ALERT_STATUSES[:2]) & (F.col("event_time") <= as_timestamp(as_of)))
+    newest = held.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= RELATED)
+    listed = F.array_sort(F.collect_list(F.struct("_rank", "alert_id")))
+    return newest.groupBy("entity_id").agg(F.transform(listed, lambda x: x["alert_id"]).alias("_related"))
+
+
+def create_alerts(
+    scored: DataFrame,
+    as_of,
+    narratives: DataFrame | None = None,
+    attributions: DataFrame | None = None,
+    earlier: DataFrame | None = None,
+) -> DataFrame:
     """An alert per scored entity (entity_id, final_score), its text from (entity_id, narrative).
 
-    All fields of an alert are there, so that every other operator on alerts takes the result. The
-    entity's type is the prefix of its id.
+    Its reasons are the entity's largest REASONS `attributions` (entity_id, feature, score), its related alerts the
+    entity's newest RELATED open ones among the `earlier` alerts. All fields of an alert are there, so that every other
+    operator on alerts takes the result. The entity's type is the prefix of its id.
     """
+    if attributions is not None:
+        scored = scored.join(_reasons(attributions), "entity_id", "left")
+    if earlier is not None:
+        scored = scored.join(_open_alerts(earlier, as_of), "entity_id", "left")
+    reasons = F.col("_reasons") if attributions is not None else F.lit(None).cast("map<string,double>")
+    related = F.col("_related") if earlier is not None else F.lit(None)
     kind = F.substring_index("entity_id", ":", 1)
     high = F.col("final_score") > HIGH_ABOVE
     if narratives is not None:
@@ -144,8 +179,8 @@ def create_alerts(scored: DataFrame, as_of, narratives: DataFrame | None = None)
         F.concat(F.lit("Anomalous behavior of "), "entity_id").alias("title"),
         F.coalesce(text, F.lit("")).alias("description"),
         F.array(F.col("entity_id").cast("string")).alias("affected_assets"),
-        F.array().cast("array<string>").alias("related_alerts"),
-        F.lit(None).cast("map<string,double>").alias("feature_importance"),
+        F.coalesce(related, F.array()).cast("array<string>").alias("related_alerts"),
+        reasons.alias("feature_importance"),
         text.alias("explanation"),
         F.lit(None).cast("string").alias("assigned_to"),
         F.lit(None).cast("timestamp").alias("resolved_at"),

@@ -19,13 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchmere.operators.attribution import BACKGROUND_ROWS, background_rows
 from watchmere.operators.boosted import BoostedTrees
 from watchmere.operators.forest import Forest
 from watchmere.operators.scaling import Scaler
+from watchmere.session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -68,24 +69,25 @@ def forest_leaves(forest: Forest) -> list[Leaves]:
     return [leaves_of(*(t[n].to_numpy() for n in names), t["path"].to_numpy() / len(trees)) for t in trees]
 
 
-def boosted_leaves(model: BoostedTrees) -> list[Leaves]:
-    """Leaves of boosted trees, weighted so that trees add up to the margin."""
-    out = []
-    for tree, weight in zip(model.model.trees, model.model.treeWeights, strict=True):
-        nodes: list[list[float]] = []
-        waiting = [(tree._java_obj.rootNode(), -1, 0)]
-        while waiting:
-            node, parent, side = waiting.pop()
-            if parent >= 0:
-                nodes[parent][2 + side] = len(nodes)
-            inner = node.getClass().getSimpleName() == "InternalNode"
-            split = node.split() if inner else None
-            nodes.append([split.featureIndex() if inner else -1, split.threshold() if inner else 0.0, -1, -1, weight * node.prediction()])
-            if inner:
-                at = len(nodes) - 1
-                waiting += [(node.rightChild(), at, 1), (node.leftChild(), at, 0)]
-        out.append(leaves_of(*np.array(nodes).T))
-    return out
+def boosted_leaves(spark: SparkSession, model: BoostedTrees) -> list[Leaves]:
+    """Leaves of boosted trees, weighted so that trees add up to the margin; read from the saved model's node table."""
+    path = scratch_path(spark, "trees")
+    model.model.write().save(path)
+    node = F.col("nodeData")
+    nodes = spark.read.parquet(f"{path}/data").select(
+        "treeID",
+        node["id"].alias("id"),
+        F.when(node["leftChild"] >= 0, node["split"]["featureIndex"]).otherwise(-1).alias("feature"),
+        F.coalesce(F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)), F.lit(0.0)).alias("threshold"),
+        node["leftChild"].alias("left"),
+        node["rightChild"].alias("right"),
+        node["prediction"].alias("value"),
+    )
+    table = nodes.toPandas().sort_values(["treeID", "id"])
+    return [
+        leaves_of(*(tree[c].to_numpy() for c in ("feature", "threshold", "left", "right")), weight * tree["value"].to_numpy())
+        for (_, tree), weight in zip(table.groupby("treeID", sort=True), model.model.treeWeights, strict=True)
+    ]
 
 
 def outputs(trees: list[Leaves], x: np.ndarray) -> np.ndarray:

@@ -9,7 +9,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchmere.functions.columns import seconds_interval
 from watchmere.operators import alerts as A
 from watchmere.operators import ensemble as E
 from watchmere.operators import explain as X
@@ -19,8 +18,12 @@ from watchmere.operators import rules as R
 from watchmere.operators.autoencoder import Autoencoder, train_autoencoder
 from watchmere.operators.boosted import BoostedTrees, OneClassError, train_boosted_trees
 from watchmere.operators.forest import Forest, train_forest
-from watchmere.schemas import NORMALIZED_EVENT, WINDOW_SECONDS, as_timestamp
+from watchmere.operators.tree_values import attribution_trees, forest_leaves
+from watchmere.operators.windows import window_events
+from watchmere.schemas import NORMALIZED_EVENT, WINDOW_SECONDS
 
+# What the attack rules read of an event.
+RULE_COLUMNS = ("entity_id", "event_id", "event_time", "event_type", "city", "location")
 MODEL_NAMES = ("isolation_forest", "autoencoder", "boosted_trees")
 
 
@@ -135,9 +138,10 @@ class Pipeline:
 
         If the rules find every entity, all vectors are the first and there is no second.
         """
-        end = as_timestamp(self.as_of)
-        time = F.col("event_time")
-        recent = events.filter((time >= end - seconds_interval(max(self.windows))) & (time <= end))
+        # The days of the windows are read once, in the few columns that the rules look at.
+        recent = window_events(events, self.as_of, max(self.windows)).select(*RULE_COLUMNS)
+        recent.write.mode("overwrite").parquet(f"{self.path}/recent")
+        recent = events.sparkSession.read.parquet(f"{self.path}/recent")
         rules = (R.detect_brute_force, R.detect_impossible_travel, R.detect_exfiltration, R.detect_privilege_escalation)
         found = reduce(DataFrame.union, [rule(recent).select("entity_id") for rule in rules]).distinct()
         found.write.mode("overwrite").parquet(f"{self.path}/attacked")
@@ -149,9 +153,20 @@ class Pipeline:
     def train(self, vectors: DataFrame, attack: DataFrame | None = None, **options) -> Detectors:
         return train_detectors(vectors, attack, FE.flattened_names(self.windows), **options)
 
-    def alerts(self, vectors: DataFrame, detectors: Detectors) -> DataFrame:
-        """An alert per entity, told from its largest feature values."""
-        scored = E.ensemble_score(E.model_predictions(detectors.score(vectors)))
+    def reasons(self, vectors: DataFrame, detectors: Detectors, scored: DataFrame) -> DataFrame:
+        """(entity_id, feature, score): exact Shapley values of the forest for the entities whose score is high."""
         names = FE.flattened_names(self.windows)
-        told = X.alert_narratives(X.attribution_abs(vectors, names))
-        return A.create_alerts(scored, self.as_of, told)
+        high = scored.filter(F.col("final_score") > A.HIGH_ABOVE).select(F.col("entity_id").alias("row_key"))
+        flagged = vectors.join(high, "row_key", "left_semi")
+        forest = detectors.models["isolation_forest"]
+        values = attribution_trees(forest_leaves(forest), forest.scaler, flagged, vectors, names)
+        values.select("entity_id", "feature", "score").write.mode("overwrite").parquet(f"{self.path}/reasons")
+        return vectors.sparkSession.read.parquet(f"{self.path}/reasons")
+
+    def alerts(self, vectors: DataFrame, detectors: Detectors, earlier: DataFrame | None = None) -> DataFrame:
+        """An alert per entity. High ones are told from the features that move the forest's score most; the others are normal."""
+        ensemble = E.ensemble_score(E.model_predictions(detectors.score(vectors)))
+        ensemble.write.mode("overwrite").parquet(f"{self.path}/scored")
+        scored = vectors.sparkSession.read.parquet(f"{self.path}/scored")
+        reasons = self.reasons(vectors, detectors, scored)
+        return A.create_alerts(scored, self.as_of, X.alert_narratives(reasons, scored), reasons, earlier)

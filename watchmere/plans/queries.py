@@ -32,6 +32,7 @@ from watchmere.operators.attribution import background_rows
 from watchmere.operators.autoencoder import train_autoencoder
 from watchmere.operators.boosted import train_boosted_trees
 from watchmere.operators.forest import train_forest
+from watchmere.operators.retraining import Retraining
 from watchmere.plans.detection import Detectors, train_detectors
 from watchmere.plans.detection import Pipeline as AlertPipeline
 from watchmere.schemas import WINDOW_SECONDS
@@ -44,6 +45,7 @@ from watchmere.streaming import retention as K
 
 AS_OF = "2024-01-31 00:00:00"
 ALERTS_AS_OF = "2001-07-31 12:00:00"
+RETRAIN_AT = "2024-01-16 00:00:00"
 HALF_TIME = "2024-01-30 12:00:00"
 PATH_SOURCE = "user:u1"
 
@@ -929,7 +931,7 @@ def _tree_values(spark, root):
         V.attribution_trees(leaves, model.scaler, flagged, rows, _matrix_names()).withColumn("model_name", F.lit(name))
         for name, model, leaves in (
             ("isolation_forest", forest, V.forest_leaves(forest)),
-            ("boosted_trees", trees, V.boosted_leaves(trees)),
+            ("boosted_trees", trees, V.boosted_leaves(spark, trees)),
         )
     ]
     return parts[0].unionByName(parts[1])
@@ -980,18 +982,71 @@ def retrain(spark, root):
     )
 
 
+def _pipeline_alerts(spark, root):
+    """The alerts of a whole run as a table, and the models left out; one run per session and folder."""
+
+    def run():
+        pipeline = AlertPipeline(AS_OF, scratch_path(spark, "pipeline"))
+        events = pipeline.events(P.raw_logs(spark, root))
+        vectors = pipeline.vectors(events)
+        detectors = pipeline.train(*pipeline.by_rules(events, vectors))
+        alerts = pipeline.alerts(vectors, detectors, P.alerts(spark, root))
+        alerts.write.parquet(f"{pipeline.path}/alerts")
+        return f"{pipeline.path}/alerts", json.dumps(detectors.left_out)
+
+    path, left_out = _once(spark, root, "pipeline_alerts", run)
+    return spark.read.parquet(path), left_out
+
+
 @query("pipeline_alerts")
 def pipeline_alerts(spark, root):
     """From raw logs to alerts: normalize, features of all windows, detectors, text; with the models left out and why.
 
     Entities that an attack rule finds are the supervised model's attacks.
     """
-    pipeline = AlertPipeline(AS_OF, scratch_path(spark, "pipeline"))
-    events = pipeline.events(P.raw_logs(spark, root))
-    vectors = pipeline.vectors(events)
-    detectors = pipeline.train(*pipeline.by_rules(events, vectors))
-    alerts = plain_alerts(pipeline.alerts(vectors, detectors))
-    return alerts.withColumn("models_left_out", F.lit(json.dumps(detectors.left_out)))
+    alerts, left_out = _pipeline_alerts(spark, root)
+    return plain_alerts(alerts).withColumn("models_left_out", F.lit(left_out))
+
+
+@query("pipeline_alert_checks")
+def pipeline_alert_checks(spark, root):
+    """Of the same run: alerts, entities, alerts whose severity, reasons or score are not what they must be."""
+    alerts, _ = _pipeline_alerts(spark, root)
+    high = F.col("anomaly_score") > A.HIGH_ABOVE
+    reasons = F.coalesce(F.size("feature_importance"), F.lit(0))
+    wrong = ((F.col("severity") == "high") != high) | (high != (reasons == A.REASONS)) | ~F.col("anomaly_score").between(0, 1)
+    return alerts.agg(
+        F.count("*").alias("alert_count"),
+        F.countDistinct("entity_id").alias("entity_count"),
+        F.count_if(wrong).alias("wrong_alerts"),
+        F.count_if(F.size("related_alerts") > A.RELATED).alias("too_many_related"),
+    )
+
+
+@query("alert_reasons")
+def alert_reasons(spark, root):
+    """New alerts from given scores, one row per reason, with the entity's newest open alerts."""
+    scored = E.ensemble_score(_predictions(spark, root))
+    reasons = P.attributions(spark, root)
+    alerts = A.create_alerts(scored, AS_OF, X.alert_narratives(reasons), reasons, P.alerts(spark, root))
+    related = F.array_join("related_alerts", ",").alias("related_alerts")
+    return alerts.select("entity_id", "severity", related, F.explode("feature_importance").alias("feature", "importance"))
+
+
+@query("retraining_gate")
+def retraining_gate(spark, root):
+    """Three calls of retraining: half way through the feedback, at once again, and at its end, with the status after each."""
+    feedback, alerts = P.feedback(spark, root), P.alerts(spark, root)
+    log = P.feature_log(spark, root).filter(F.col("window_size") == 86400)
+    vectors = S.latest(S.stamped(log, ttl_seconds=30 * 86400), VECTOR_KEYS, AS_OF)
+    stored = vectors.select("entity_id", F.array(*STORED).alias("features"))
+    work = Retraining(spark, scratch_path(spark, "retraining"))
+    parts = []
+    for step, at in enumerate((RETRAIN_AT, RETRAIN_AT, AS_OF)):
+        model = work.trigger(feedback, alerts, stored, STORED, at, rounds=3)
+        status = work.status(feedback, AS_OF)
+        parts.append(status.select(F.lit(step).cast("bigint").alias("step"), F.lit(model is not None).alias("trained"), "*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # Streams.
