@@ -28,8 +28,8 @@ def removed_bytes(texts, window):
     return out
 
 
-@pytest.mark.parametrize("group", [2, 50_000])
-def test_suffix_dedup(spark, group):
+@pytest.mark.parametrize("group, piece", [(2, suffix_dedup.PIECE), (50_000, suffix_dedup.PIECE), (50_000, 25), (2, 64)])
+def test_suffix_dedup(spark, group, piece):
     rnd = random.Random(8)
 
     def noise(n):
@@ -42,7 +42,7 @@ def test_suffix_dedup(spark, group):
     texts.append((6, texts[6]))
     df = odd_documents(spark, texts)
     plain = [(r.text or "").encode() for r in df.collect()]
-    got = suffix_dedup.remove_repeats(df, window=24, kmer=8, group=group).collect()
+    got = suffix_dedup.remove_repeats(df, window=24, kmer=8, group=group, piece=piece).collect()
     want = collections.Counter(zip([r.doc_id for r in df.collect()], removed_bytes(plain, 24), strict=True))
     assert collections.Counter((r.doc_id, tuple(r)[1:]) for r in got) == want
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0

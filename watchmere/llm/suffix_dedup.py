@@ -41,6 +41,7 @@ GROUP = 50_000  # phrases of one name that are sorted in one task
 CHUNK = 1 << 20  # bytes hashed at a time, besides the rest of a document
 BATCH = 20_000  # phrases induced at a time
 PLACE_BITS = 26
+PIECE = 1 << 25  # bytes of a text that are hashed together; with a chunk they fit into the place bits
 
 _DRAW = np.random.default_rng(7)
 _LETTERS = _DRAW.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -118,38 +119,43 @@ def packed(length: np.ndarray, place: np.ndarray, before: np.ndarray, windows: n
 ANCHORS = "name long, phrase long, doc long, spot long"
 
 
-def anchors(texts: DataFrame, window: int, kmer: int) -> DataFrame:
-    """All anchors of (doc, body); texts that a task has met before are left out, copies are found as wholes."""
+def anchors(texts: DataFrame, window: int, kmer: int, piece: int = PIECE) -> DataFrame:
+    """All anchors of (doc, body); texts that a task has met before are left out, copies are found as wholes.
+
+    A text of more than `piece` bytes is cut into pieces that overlap by a window less a byte, so each of its windows
+    lies in one of them.
+    """
     schema = schema_of(ANCHORS)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
 
-        def made(docs: list[int], held: list[bytes]) -> pa.RecordBatch:
+        def made(docs: list[int], held: list[bytes], begins: list[int], lengths: list[int]) -> pa.RecordBatch:
             text, name, phrase, place, before, count = phrases_of(held, window, kmer)
-            lengths = np.array([len(t) for t in held])
-            spot = packed(lengths[text], place, before, count)
+            spot = packed(np.array(lengths)[text], place + np.array(begins)[text], before, count)
             columns = [name.view(np.int64), phrase.view(np.int64), np.array(docs, np.int64)[text], spot]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=arrow)
 
         for batch in batches:
-            docs, held, size = [], [], 0
+            docs, held, begins, lengths, size = [], [], [], [], 0
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 if doc in met:
                     continue
                 met.add(doc)
                 body = body.as_py()
-                if len(body) < window:
-                    continue
-                docs.append(doc)
-                held.append(body)
-                size += len(body)
-                if size >= CHUNK:
-                    yield made(docs, held)
-                    docs, held, size = [], [], 0
+                for begin in range(0, max(len(body) - window + 1, 0), piece):
+                    part = body[begin : begin + piece + window - 1] if len(body) > piece else body
+                    docs.append(doc)
+                    held.append(part)
+                    begins.append(begin)
+                    lengths.append(len(body))
+                    size += len(part)
+                    if size >= CHUNK:
+                        yield made(docs, held, begins, lengths)
+                        docs, held, begins, lengths, size = [], [], [], [], 0
             if held:
-                yield made(docs, held)
+                yield made(docs, held, begins, lengths)
 
     return texts.mapInArrow(run, schema)
 
@@ -304,12 +310,14 @@ def _phrase_bodies(found: DataFrame, window: int) -> DataFrame:
     return found.select("doc", "size", "asked", "body").mapInArrow(run, out)
 
 
-def repeated_spans(texts: DataFrame, window: int = WINDOW, kmer: int = KMER, group: int = GROUP) -> DataFrame:
+def repeated_spans(
+    texts: DataFrame, window: int = WINDOW, kmer: int = KMER, group: int = GROUP, piece: int = PIECE
+) -> DataFrame:
     """(doc, size, start, end): stretches of bytes to remove, from (doc, size, body)."""
     spark = texts.sparkSession
     copies = texts.groupBy("doc", "size", F.octet_length("body").cast("long").alias("end")).agg(F.count("*").alias("n"))
     copies = copies.filter(f"n > 1 AND end >= {window}").select("doc", "size", F.lit(0).cast("long").alias("start"), "end")
-    found = anchors(texts.select("doc", "body"), window, kmer)
+    found = anchors(texts.select("doc", "body"), window, kmer, piece)
     crowds = found.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name")
     path = scratch_path(spark, "suffix-sample")
     found.join(crowds, "name", "left_semi").write.parquet(path)
@@ -362,6 +370,7 @@ def remove_repeats(
     kmer: int = KMER,
     group: int = GROUP,
     kept_text: bool = False,
+    piece: int = PIECE,
 ) -> DataFrame:
     """One row per document: its bytes, those removed, the runs of removed bytes, the digest of the rest.
 
@@ -371,7 +380,7 @@ def remove_repeats(
     named = documents.select(
         F.col(id_col).alias("id"), F.xxhash64(text).alias("doc"), (F.octet_length(text) % 32768).cast("long").alias("size"), text.alias("body")
     )
-    spans = repeated_spans(named.select("doc", "size", "body"), window, kmer, group)
+    spans = repeated_spans(named.select("doc", "size", "body"), window, kmer, group, piece)
     by_doc = spans.groupBy("doc", "size").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     joined = _squeezed(named).join(by_doc, ["doc", "size"], "left").select("id", "body", "spans")
     id_type = named.schema["id"].dataType.simpleString()
