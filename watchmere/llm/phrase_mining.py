@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +36,7 @@ MOST_WORDS = 4
 TOP = 2000
 COVERED = (100, 80)  # a phrase goes if 100 times a longer one's count is at least 80 times its own
 BITS = 1 << 26
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 2_500_000
 CHUNK_ROWS = 400_000
 SALTS = 16
 END = b"\xff"  # in no UTF-8 text
@@ -223,9 +222,13 @@ def three_way(keys: np.ndarray, weight: np.ndarray, least: int) -> Iterator[tupl
 
 
 def _counted(chunk: pa.Table, least: int) -> tuple[list, list, list, list]:
-    """(language, phrase, words, weight) of the phrases that the suffixes of a chunk begin with."""
+    """(language, phrase, words, weight) of the phrases that the suffixes of a chunk begin with.
+
+    Equal pointers of different blocks are one before they are sorted.
+    """
+    chunk = chunk.group_by(["lang", "words"], use_threads=False).aggregate([("n", "sum")])
     langs, texts = chunk.column("lang").to_pylist(), chunk.column("words").to_pylist()
-    weight = chunk.column("n").to_numpy().astype(np.int64)
+    weight = chunk.column("n_sum").to_numpy().astype(np.int64)
     split = [t.split(" ") if t else [] for t in texts]
     known: dict[tuple[str, str], int] = {}
     keys = np.zeros((len(split), MOST_WORDS), np.int32)
