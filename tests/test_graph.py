@@ -40,6 +40,23 @@ def test_shortest_paths(spark):
     assert got == {"d": 2, "a": 0}
 
 
+def test_paths_between_are_the_shortest_paths(spark):
+    rng = random.Random(11)
+    names = [f"n{i:02}" for i in range(30)]
+    pairs = [(f"n{i:02}", f"n{i + 1:02}") for i in range(19)] + [tuple(rng.sample(names[:20], 2)) for _ in range(9)]
+    pairs += [(names[i], names[j]) for i, j in ((20, 22), (20, 23), (21, 22), (21, 23), (23, 24), (22, 24), (24, 24))]
+    _, edges = graph(spark, pairs)
+    asked = [(a, b) for a in names for b in names] + [("n00", "n05"), ("n00", None), (None, "n00"), ("x", "x"), ("x", "n00")]
+    wanted = spark.createDataFrame(asked, "source STRING, target STRING")
+    got = {(r["source"], r["target"]): (r["path"], r["length"]) for r in G.paths_between(edges, wanted).collect()}
+    every = G.shortest_paths(edges, wanted.select("source").dropna().distinct(), wanted)
+    want = {(r["source"], r["target"]): (r["path"], r["length"]) for r in every.collect()}
+    assert got == want and max(length for _, length in got.values()) > 4
+    assert len(G.paths_between(edges, wanted).collect()) == len(got)
+    assert G.paths_between(edges, wanted.limit(0)).count() == 0
+    assert G.paths_between(edges.limit(0), wanted.limit(40)).count() == 2
+
+
 def test_neighbors(spark):
     nodes, edges = graph(spark, [("a", "b"), ("c", "b"), ("c", "d"), ("a", "a")])
     seed = spark.createDataFrame([("a",)], "entity_id STRING")

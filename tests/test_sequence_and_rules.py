@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from watchmere.operators import rules as R
-from watchmere.operators.sequence import with_previous
+from watchmere.operators.sequence import with_latest, with_previous
 
 START = datetime(2024, 1, 1)
 SCHEMA = "entity_id STRING, event_id STRING, event_time TIMESTAMP, event_type STRING, city STRING, location STRUCT<lat: DOUBLE, lon: DOUBLE>"
@@ -102,6 +102,37 @@ def test_exfiltration_matches_pairs(many_chunks):
     assert {r["event_id"] for r in found.collect()} == want and want
 
 
+def test_latest_value_is_carried_over_chunks(many_chunks):
+    # One hot key, values on one row in fifty: most chunks have none and take what an earlier one left.
+    rows = [("hot" if i % 10 else f"k{i % 30}", i, i * 7 if i % 50 == 21 else None) for i in range(2000)]
+    random.Random(3).shuffle(rows)
+    df = many_chunks.createDataFrame(rows, "k STRING, t BIGINT, v BIGINT")
+    want, last = {}, {}
+    for k, t, v in sorted(rows, key=lambda r: r[1]):
+        last[k] = v if v is not None else last.get(k)
+        want[t] = last[k]
+    got = {r["t"]: r["seen"] for r in with_latest(df, ["k"], ["t"], F.col("v"), "seen").collect()}
+    assert got == want
+    recent = with_latest(df, ["k"], ["t"], F.col("v"), "seen", keep=lambda seen: F.col("t") - seen / 7 <= 5)
+    assert {r["t"] for r in recent.collect()} == {t for t, v in want.items() if v is not None and t - v / 7 <= 5}
+    assert with_latest(df.limit(0), ["k"], ["t"], F.col("v"), "seen").count() == 0
+
+
+def test_exfiltration_with_empty_columns_and_long_spans(many_chunks):
+    rows = hot_rows(300, kinds=("file_access", "data_exfiltration", "login"), seconds=90000)
+    rows += [("a", None, START, "file_access", None, None), ("a", "no time", None, "data_exfiltration", None, None)]
+    rows += [(None, "no one", START, "file_access", None, None), (None, "nobody", START, "data_exfiltration", None, None)]
+    rows += [("a", "same instant", START, "data_exfiltration", None, None)]
+    found = R.detect_exfiltration(many_chunks.createDataFrame(rows, SCHEMA), seconds=10**6)
+    want = sorted(
+        b[1]
+        for b in rows
+        if b[3] == "data_exfiltration" and b[0] and b[2]
+        and any(a[0] == b[0] and a[3] == "file_access" and a[2] and a[2] <= b[2] for a in rows)
+    )
+    assert sorted(r["event_id"] for r in found.collect()) == want and "same instant" in want
+
+
 def test_privilege_escalation_windows(spark):
     rows = [("a", f"e{i}", START + timedelta(seconds=s), "privilege_escalation", None, None) for i, s in enumerate((1, 119, 121))]
     found = R.detect_privilege_escalation(spark.createDataFrame(rows, SCHEMA)).collect()

@@ -1,5 +1,6 @@
 """Feature store, alerts, feedback, ensemble and texts."""
 
+import re
 from datetime import datetime
 
 import pytest
@@ -10,6 +11,8 @@ from watchmere.operators import explain as X
 from watchmere.operators import feedback as B
 from watchmere.operators import scaling as D
 from watchmere.operators import store as S
+from watchmere.operators.alert_pages import AlertPages
+from watchmere.schemas import SEVERITIES
 
 
 def test_rows_expire_and_the_last_write_wins(spark):
@@ -104,3 +107,27 @@ def test_scaler_only_centres_constant_columns(spark):
     assert [r["features"] for r in scaler.transform(rows).orderBy("row_key").collect()] == [[-1.0, 0.0], [1.0, 0.0]]
     got = {r["feature"]: r["importance"] for r in D.mean_importance(rows, ["a", "b"]).collect()}
     assert got == pytest.approx({"a": 2 / 3, "b": 1 / 3})
+
+
+def test_deep_pages_read_the_parts_that_hold_them(spark, tmp_path):
+    rows = [
+        (f"al-{i:04}", datetime(2024, 1, 1 + i % 3) if i % 40 else None, SEVERITIES[i % 4], "new" if i % 7 else "closed", "unknown", i)
+        for i in range(900)
+    ]
+    schema = "alert_id STRING, event_time TIMESTAMP, severity STRING, status STRING, attack_type STRING, part_of INT"
+    alerts = spark.createDataFrame(rows, schema)
+    pages = AlertPages.write(alerts, str(tmp_path / "pages"), part_rows=50)
+    assert pages.index.select("part").distinct().count() > 10
+    for chosen in ({}, {"status": "closed"}, {"severity": SEVERITIES[1], "status": "new"}):
+        for page, size in ((1, 20), (7, 20), (4, 33), (100, 20)):
+            listed = A.page_alerts(A.filter_alerts(alerts, **chosen), page, size)
+            want = [r for r in listed.collect() if r["alert_id"]]
+            shown = pages.page(page, size, **chosen)
+            assert shown.columns == listed.columns and shown.collect() == want
+    plan = pages.page(20, 20)._jdf.queryExecution().executedPlan().toString()
+    read = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", plan)[1]
+    assert "part" in read and len(re.findall(r"\d+", read.split("part")[-1])) <= 4
+    empty = AlertPages.write(alerts.limit(0), str(tmp_path / "none"))
+    assert empty.page(1).collect() == [] and empty.page(1).columns == [*alerts.columns, "total"]
+    with pytest.raises(ValueError):
+        pages.page(0)

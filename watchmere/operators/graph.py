@@ -6,6 +6,8 @@ rows as it has neighbours, not as it has events. Traversals are rounds of fronti
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -234,6 +236,74 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | No
     return found.select("source", "target", "path", (F.size("path") - 1).cast("bigint").alias("length"))
 
 
+def paths_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Undirected shortest paths between given pairs (source, target), each searched from both of its ends.
+
+    The same paths as `shortest_paths` gives, one row per distinct pair that is connected; pairs with a null end have
+    none. The two ends grow layers of nodes in turn until a new layer meets the last one of the other side, so a pair
+    explores two balls of half its distance instead of one of all of it. Nodes carry no paths but one step each: on
+    the target's side the smallest neighbour nearer to the target, on the source's side the same, told backwards from
+    the nodes where the sides meet. Following the steps from the source unrolls the smallest of the shortest paths.
+    """
+    pair = ["source", "target"]
+    step_key = [*pair, "node"]
+    both = cut_lineage(undirected(edges).select("a", "b").distinct())
+    wanted = cut_lineage(pairs.select(*pair).dropna().distinct())
+    ahead = cut_lineage(wanted.select(*pair, F.col("source").alias("node"), F.lit(0).alias("depth")))
+    behind = cut_lineage(wanted.select(*pair, F.col("target").alias("node"), F.lit(None).cast("string").alias("next")))
+    layers, nexts = [ahead], behind
+    met = cut_lineage(ahead.join(behind, step_key, "left_semi"))
+    rounds = 0
+    while True:
+        # A pair that has met, or one side of which has no new nodes, is searched no further.
+        going = ahead.select(*pair).distinct().join(behind, pair, "left_semi").join(met, pair, "left_anti")
+        going = cut_lineage(going)
+        if going.isEmpty():
+            break
+        rounds += 1
+        ahead, behind = ahead.join(going, pair, "left_semi"), behind.join(going, pair, "left_semi")
+        if rounds % 2:
+            seen = reduce(DataFrame.unionByName, [layer.select(*step_key) for layer in layers])
+            step = _neighbours(ahead, both).select(*pair, F.col("b").alias("node")).distinct()
+            ahead = step.join(seen, step_key, "left_anti").withColumn("depth", F.lit(len(layers)))
+            ahead = cut_lineage(ahead)
+            layers.append(ahead)
+        else:
+            step = _neighbours(behind, both).groupBy(*pair, F.col("b").alias("node")).agg(F.min("a").alias("next"))
+            behind = cut_lineage(step.join(nexts, step_key, "left_anti"))
+            nexts = nexts.unionByName(behind)
+            if rounds % COMPACT_ROUNDS == 0:
+                nexts = cut_lineage(nexts)
+        met = cut_lineage(met.unionByName(ahead.join(behind, step_key, "left_semi")))
+
+    steps = [nexts]
+    on_way = met.filter(F.col("depth") == len(layers) - 1).select(*step_key)
+    for depth in range(len(layers) - 2, -1, -1):
+        back = _neighbours(on_way, both).groupBy(*pair, F.col("b").alias("node")).agg(F.min("a").alias("next"))
+        back = cut_lineage(back.join(layers[depth], step_key, "left_semi"))
+        steps.append(back)
+        on_way = back.select(*step_key).unionByName(met.filter(F.col("depth") == depth).select(*step_key))
+    steps = cut_lineage(reduce(DataFrame.unionByName, steps).join(met, pair, "left_semi"))
+
+    walks = met.select(*pair).distinct().select(*pair, F.col("source").alias("node"), F.array("source").alias("path"))
+    found = []
+    while True:
+        walks = cut_lineage(walks)
+        found.append(walks.filter(F.col("node") == F.col("target")))
+        walks = walks.filter(F.col("node") != F.col("target"))
+        if walks.isEmpty():
+            break
+        moved = walks.join(steps, step_key)
+        walks = moved.select(*pair, F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"))
+    paths = reduce(DataFrame.unionByName, found)
+    return paths.select(*pair, "path", (F.size("path") - 1).cast("bigint").alias("length"))
+
+
+def _neighbours(nodes: DataFrame, both: DataFrame) -> DataFrame:
+    """Each row of `nodes` with the edges (a, b) that leave its node."""
+    return nodes.join(both, F.col("node") == F.col("a"))
+
+
 def lateral_movement(
     nodes: DataFrame, edges: DataFrame, min_count: int = LATERAL_MIN_COUNT, limit: int = LATERAL_LIMIT
 ) -> DataFrame:

@@ -1,7 +1,7 @@
 """Detection rules for four attack shapes.
 
 A user under attack can be the busiest of all, so no rule gathers the events of one user: they count
-per second first, look at bounded stretches of time, or compare rows inside chunks.
+per second first, or compare rows and carry values inside chunks.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from watchmere.functions.columns import haversine_km
 from watchmere.operators.features import IMPOSSIBLE_KMH, MIN_HOURS
-from watchmere.operators.sequence import with_previous
+from watchmere.operators.sequence import with_latest, with_previous
 
 # Durations of the attacks in seconds.
 BRUTE_FORCE_SECONDS = 300
@@ -102,38 +102,23 @@ def detect_impossible_travel(events: DataFrame, kmh: float = IMPOSSIBLE_KMH) ->
 def detect_exfiltration(events: DataFrame, seconds: int = EXFILTRATION_SECONDS) -> DataFrame:
     """Exfiltration events that follow a file access of the same entity within so many seconds.
 
-    Accesses are cut down to the first and the last one of each second, kept per stretch of time in
-    arrays of at most two stretches. One equi-join on (entity, stretch) then answers exactly: the
-    second at the far end of the span needs its last access, the second of the event its first.
+    An as-of join in one pass: the last access is carried forward over the entity's accesses and exfiltrations in
+    order of time, accesses first where times are equal. Any span costs the same, and nothing is gathered.
     """
-    micros = F.unix_micros("event_time")
-    length = seconds * 1_000_000
-    per_second = (
-        events.filter(F.col("event_type") == "file_access")
-        .groupBy("entity_id", _second().alias("second"))
-        .agg(F.min(micros).alias("first"), F.max(micros).alias("last"))
-    )
-    stretch = F.floor(F.col("second") / seconds)
-    stretches = (
-        per_second.select("entity_id", "first", "last", F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
-        .groupBy("entity_id", "stretch")
-        .agg(F.collect_list(F.struct("first", "last")).alias("accesses"))
-    )
-    sent = events.filter(F.col("event_type") == "data_exfiltration").select(
-        "entity_id", "event_id", "event_time", micros.alias("at"), F.floor(_second() / seconds).alias("stretch")
-    )
-    def in_span(access):
-        from_second = F.floor((F.col("at") - length) / 1_000_000)
-        far = F.floor(access["last"] / 1_000_000) == from_second
-        return F.when(far, access["last"] >= F.col("at") - length).otherwise(
-            (access["first"] <= F.col("at")) & (access["first"] >= F.col("at") - length)
-        )
-
-    return (
-        sent.join(stretches, ["entity_id", "stretch"])
-        .filter(F.exists("accesses", in_span))
-        .select("entity_id", "event_id", "event_time")
-    )
+    at = F.unix_micros("event_time")
+    access = F.col("event_type") == "file_access"
+    slim = events.filter(
+        F.col("event_type").isin("file_access", "data_exfiltration")
+        & F.col("event_time").isNotNull()
+        & F.col("entity_id").isNotNull()
+    ).select("entity_id", "event_id", "event_time", at.alias("at"), F.when(access, 0).otherwise(1).alias("sent"))
+
+    def follows(accessed):
+        return (F.col("sent") == 1) & (F.col("at") - accessed <= seconds * 1_000_000)
+
+    value = F.when(F.col("sent") == 0, F.col("at"))
+    found = with_latest(slim, ["entity_id"], ["at", "sent", "event_id"], value, "accessed", keep=follows)
+    return found.select("entity_id", "event_id", "event_time")
 
 
 def detect_privilege_escalation(

@@ -53,3 +53,32 @@ def with_previous(
     if keep is not None:
         rows = rows.filter(keep(F.col("_value"), F.col(name)))
     return rows.drop("_value", "_before", "_head", "_tail", "_seam", "_across", CHUNK)
+
+
+def with_latest(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, keep=None
+) -> DataFrame:
+    """Add `name`: the last non-null `value` among the rows of a key up to and including this one.
+
+    Chunks answer for themselves from their first value on. What lies before it needs the last value of an earlier
+    chunk: the ends of all chunks of a key, two rows per chunk, carry it on, and it is spread inside the chunk again.
+    `keep`, a function from the column `name` to a predicate, drops rows early: only rows that pass, rows that are not
+    decided yet and the ends of chunks go through the closing shuffles. Values must be orderable.
+    """
+    inner = chunk_window(keys, order)
+    rows = (
+        with_chunks(df.withColumn("_value", value), keys, order)
+        .withColumn("_own", F.last("_value", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_head", F.lag(F.lit(1)).over(inner).isNull())
+        .withColumn("_tail", F.lead(F.lit(1)).over(inner).isNull())
+    )
+    if keep is not None:
+        rows = rows.filter(F.col("_head") | F.col("_tail") | F.col("_own").isNull() | keep(F.col("_own")))
+    seam = F.when(F.col("_head") | F.col("_tail"), F.lit(-1)).otherwise(F.col(CHUNK))
+    outer = Window.partitionBy(*keys, "_seam").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_seam", seam).withColumn("_across", F.last("_own", ignorenulls=True).over(outer))
+    carried = F.max(F.when(F.col("_head"), F.col("_across"))).over(Window.partitionBy(*keys, CHUNK))
+    rows = rows.withColumn(name, F.coalesce("_own", carried))
+    if keep is not None:
+        rows = rows.filter(keep(F.col(name)))
+    return rows.drop("_value", "_own", "_head", "_tail", "_seam", "_across", CHUNK)

@@ -297,6 +297,21 @@ for _hop in range(1, _PATH_DEPTH + 1):
         f"SELECT b.b AS target, min(list_append(p.path, b.b)) AS path FROM @path{_hop - 1} p JOIN @both b ON p.target = b.a WHERE b.b NOT IN ({_before}) GROUP BY b.b",
         ("both", *(f"path{i}" for i in range(_hop))),
     )
+_TABLES["pairs"] = (
+    """
+SELECT f.source, e.entity_id AS target FROM @entities e
+JOIN (SELECT department, min(entity_id) AS source FROM @entities GROUP BY department) f ON e.department = f.department
+""",
+    ("entities",),
+)
+_TABLES["way0"] = ("SELECT DISTINCT source, source AS target, [source] AS path FROM @pairs", ("pairs",))
+for _hop in range(1, _PATH_DEPTH + 1):
+    _before = " UNION ALL ".join(f"SELECT source, target FROM @way{i}" for i in range(_hop))
+    _TABLES[f"way{_hop}"] = (
+        f"""SELECT p.source, b.b AS target, min(list_append(p.path, b.b)) AS path FROM @way{_hop - 1} p JOIN @both b ON p.target = b.a
+        WHERE (p.source, b.b) NOT IN ({_before}) GROUP BY p.source, b.b""",
+        ("both", *(f"way{i}" for i in range(_hop))),
+    )
 _TABLES["simple"] = (
     "SELECT DISTINCT least(source, target) AS u, greatest(source, target) AS v FROM @edges WHERE source <> target",
     ("edges",),
@@ -538,6 +553,11 @@ _SQL: dict[str, str] = {
     "shortest_path": " UNION ALL ".join(
         f"SELECT '{_SEED}' AS source, target, array_to_string(path, ' > ') AS path, {i}::BIGINT AS length FROM @path{i}" for i in range(_PATH_DEPTH + 1)
     ),
+    "shortest_path_between": "SELECT w.* FROM ("
+    + " UNION ALL ".join(
+        f"SELECT source, target, array_to_string(path, ' > ') AS path, {i}::BIGINT AS length FROM @way{i}" for i in range(_PATH_DEPTH + 1)
+    )
+    + ") w JOIN @pairs p ON w.source = p.source AND w.target = p.target",
     "lateral_movement": """SELECT e.source AS entity_id, e.target, n.name AS target_name, n.entity_type AS target_type, e.edge_type AS relationship, e."count" AS access_count, n.risk_score AS target_risk
         FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY "count" DESC, target, edge_type) AS r FROM @edges WHERE "count" > 5) e JOIN @nodes n ON e.target = n.entity_id WHERE r <= 20""",
     "clustering_coefficient": f"""SELECT n.entity_id, coalesce(k, 0)::BIGINT AS degree, coalesce(t, 0)::BIGINT AS triangles,
@@ -553,6 +573,10 @@ _SQL: dict[str, str] = {
         count(*) FILTER (status = 'false_positive' AND resolved_at >= {DAY_OF_ALERTS}) AS false_positives_today FROM @alerts""",
     "filter_alerts": "SELECT * FROM @alerts WHERE severity = 'critical' AND status = 'new' AND attack_type = 'brute_force'",
     "page_alerts": "SELECT alert_id, event_time, severity, (SELECT count(*) FROM @alerts) AS total FROM @alerts ORDER BY event_time DESC, alert_id LIMIT 20 OFFSET 40",
+    "page_alerts_deep": " UNION ALL ".join(
+        f"SELECT '{name}' AS listed, alert_id, event_time, severity, total FROM (SELECT *, row_number() OVER (ORDER BY event_time DESC, alert_id) - 1 AS r, count(*) OVER () AS total FROM @alerts{where}) x WHERE r // 20 = total // 40"
+        for name, where in (("any", ""), ("new", " WHERE status = 'new'"))
+    ),
     "lookup_alerts": "SELECT alert_id, severity, status FROM @alerts WHERE alert_id IN (SELECT alert_id FROM @feedback)",
     "missing_alerts": "SELECT DISTINCT 'al-' || (eid * 2)::VARCHAR AS alert_id FROM @sec_events WHERE 'al-' || (eid * 2)::VARCHAR NOT IN (SELECT alert_id FROM @alerts)",
     "upsert_alerts": f"""SELECT alert_id, severity, CASE WHEN status = 'in_progress' THEN 'resolved' ELSE status END AS status,
@@ -613,6 +637,7 @@ for _name, _wide, _limits in (
     _SQL[_wide] = _SQL[_name]
     for _old, _new in _limits:
         _SQL[_name] = _SQL[_name].replace(_old, _new)
+_SQL["detect_exfiltration_month"] = _SQL["detect_exfiltration_day"].replace("86400 SECOND", "2592000 SECOND")
 
 _SQL["alert_lifecycle"] = f"""SELECT sha256(entity_id || '|' || epoch_us({AS_OF})::VARCHAR) AS alert_id, 'user' AS entity_type,
     CASE WHEN final_score > 0.5 THEN 'high' ELSE 'low' END AS severity,

@@ -25,6 +25,7 @@ from watchmere.operators import scaling as D
 from watchmere.operators import store as S
 from watchmere.operators import tree_values as V
 from watchmere.operators import windows as W
+from watchmere.operators.alert_pages import AlertPages
 from watchmere.operators.snapshots import SnapshotTable
 from watchmere.operators.attribution import attribution_lime as lime_values
 from watchmere.operators.attribution import attribution_shap as shapley_values
@@ -478,6 +479,17 @@ def shortest_path(spark, root):
     return paths.select("source", "target", F.concat_ws(" > ", "path").alias("path"), "length")
 
 
+@query("shortest_path_between")
+def shortest_path_between(spark, root):
+    """Paths between each entity and the first one of its department."""
+    _, edges = _graph(spark, root)
+    members = P.entities(spark, root).select("entity_id", "department")
+    first = members.groupBy("department").agg(F.min("entity_id").alias("source"))
+    pairs = members.join(first, "department").select("source", F.col("entity_id").alias("target"))
+    paths = G.paths_between(edges, pairs)
+    return paths.select("source", "target", F.concat_ws(" > ", "path").alias("path"), "length")
+
+
 @query("lateral_movement")
 def lateral_movement(spark, root):
     return G.lateral_movement(*_graph(spark, root))
@@ -536,6 +548,25 @@ def page_alerts(spark, root):
     return A.page_alerts(P.alerts(spark, root), page=3, page_size=20).select("alert_id", "event_time", "severity", "total")
 
 
+def _alert_pages(spark, root):
+    """All alerts in parts, a sixteenth of them each."""
+    alerts = P.alerts(spark, root)
+    return AlertPages.write(alerts, scratch_path(spark, "alert_pages"), max(1, alerts.count() // 16))
+
+
+@query("page_alerts_deep")
+def page_alerts_deep(spark, root):
+    """The page in the middle of all alerts, and the one in the middle of the new ones, by the index."""
+    pages = _alert_pages(spark, root)
+    shown = []
+    for status in (None, "new"):
+        total = pages.page(1, 1, status=status).select("total").first()
+        middle = (total["total"] if total else 0) // 40 + 1
+        page = pages.page(middle, 20, status=status)
+        shown.append(page.select(F.lit(status or "any").alias("listed"), "alert_id", "event_time", "severity", "total"))
+    return shown[0].unionByName(shown[1])
+
+
 @query("lookup_alerts")
 def lookup_alerts(spark, root):
     return A.lookup_alerts(P.alerts(spark, root), P.feedback(spark, root)).select("alert_id", "severity", "status")
@@ -723,6 +754,12 @@ def detect_fast_travel(spark, root):
     return R.detect_impossible_travel(P.sec_events(spark, root), kmh=100.0)
 
 
+@query("detect_exfiltration_month")
+def detect_exfiltration_month(spark, root):
+    """A span of thirty days: as cheap as one of ten minutes, as only the last access is carried."""
+    return R.detect_exfiltration(P.sec_events(spark, root), seconds=30 * 86400)
+
+
 @query("detect_exfiltration_day")
 def detect_exfiltration_day(spark, root):
     return R.detect_exfiltration(P.sec_events(spark, root), seconds=86400)
