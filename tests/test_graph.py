@@ -102,3 +102,23 @@ def test_long_paths(spark):
     _, edges = graph(spark, list(zip(names, names[1:])))
     paths = G.shortest_paths(edges, spark.createDataFrame([(names[0],)], "source STRING")).collect()
     assert {r["target"]: r["path"] for r in paths} == {name: names[: i + 1] for i, name in enumerate(names)}
+
+
+def test_metadata_of_the_last_observation_stays(spark):
+    rows = [("n", "user", "a", 0.1, datetime(2024, 1, 2), {"k": "2"}), ("n", "user", "a", 0.1, TIME, {"k": "1"}), ("m", "user", "m", 0.0, TIME, None)]
+    seen = spark.createDataFrame(rows, "entity_id STRING, entity_type STRING, name STRING, risk_score DOUBLE, event_time TIMESTAMP, metadata MAP<STRING, STRING>")
+    assert {r["entity_id"]: (r["metadata"], r["first_seen"]) for r in G.graph_nodes(seen).collect()} == {"n": ('{"k":"2"}', TIME), "m": ("{}", TIME)}
+    rows = [("n", "m", "t", 1.0, TIME, "old"), ("n", "m", "t", 1.0, datetime(2024, 1, 3), "new"), ("m", "n", "t", 1.0, TIME, None)]
+    seen = spark.createDataFrame(rows, "source STRING, target STRING, edge_type STRING, weight DOUBLE, event_time TIMESTAMP, metadata STRING")
+    assert {r["source"]: (r["metadata"], r["count"]) for r in G.graph_edges(seen).collect()} == {"n": ("new", 2), "m": ("{}", 1)}
+    assert "metadata" not in G.graph_edges(seen.drop("metadata")).columns
+
+
+def test_traversals_of_everything_are_refused(spark):
+    nodes, edges = graph(spark, [("a", "b"), ("c", "b")])
+    with pytest.raises(ValueError):
+        G.neighbors_k_hop(nodes, edges, depth=2)
+    sources = spark.createDataFrame([("a",), ("b",)], "source STRING")
+    with pytest.raises(ValueError):
+        G.shortest_paths(edges, sources, most_sources=1)
+    assert G.shortest_paths(edges, sources, most_sources=2).count() == 6

@@ -30,6 +30,16 @@ def test_equal_lines_of_a_file_are_events_of_their_own(spark, log_file):
     assert len(ids[0]) == 6 and ids[0] == ids[1]
 
 
+def test_a_line_repeated_many_times_is_numbered_in_steps(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text("same\n" * 25_000 + "other\n" + "pair\n" * 2)
+    rows = logs.file_raw_logs(spark, str(tmp_path / "logs"))
+    made = rows.withColumn("n", F.regexp_extract("record_place", "([0-9]+)$", 1).cast("long")).groupBy("value")
+    found = made.agg(F.count("*"), F.count_distinct("record_place"), F.min("n"), F.max("n")).collect()
+    assert {tuple(r) for r in found} == {("same", 25_000, 25_000, 1, 25_000), ("other", 1, 1, 1, 1), ("pair", 2, 2, 1, 2)}
+    assert "Window" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ids_without_ingest_time_do_not_change(spark):
     raw = spark.createDataFrame([(json.dumps(FAILED),)], "value STRING")
     assert N.normalize(raw).first()["event_id"] == N.normalize(raw).first()["event_id"]

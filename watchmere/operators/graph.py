@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from watchmere.functions.columns import filled
 from watchmere.session import cut_lineage
@@ -19,6 +20,9 @@ NEIGHBOR_LIMIT = 50
 LATERAL_MIN_COUNT = 5
 LATERAL_LIMIT = 20
 
+# Sources of which the paths to all nodes may be asked at once.
+MOST_SOURCES = 1000
+
 # Rounds of a traversal after which the nodes reached so far are written as one table again.
 COMPACT_ROUNDS = 8
 
@@ -83,34 +87,48 @@ def observed_nodes(observations: DataFrame) -> DataFrame:
     )
 
 
+def _metadata(observations: DataFrame) -> list[Column]:
+    """The column `metadata` as text, where there is one: JSON of a map or a struct, `{}` for nothing."""
+    if "metadata" not in observations.columns:
+        return []
+    held = observations.schema["metadata"].dataType
+    text = F.col("metadata") if isinstance(held, T.StringType) else F.to_json("metadata")
+    return [F.coalesce(text, F.lit("{}")).alias("metadata")]
+
+
 def graph_nodes(observations: DataFrame) -> DataFrame:
     """Upsert of node observations: the first time is kept, everything else is overwritten.
 
-    Equal observations are folded together first, which is a hash aggregate; picking the latest of
-    several texts needs sorted rows, and by then few are left.
+    Equal observations are folded together first, which is a hash aggregate; picking the latest of several texts needs
+    sorted rows, and by then few are left. A column `metadata` is kept as text, the last one winning with the rest.
     """
-    folded = observations.groupBy("entity_id", "entity_type", "name", "risk_score").agg(
-        F.min("event_time").alias("first"), F.max("event_time").alias("last")
-    )
-    latest = F.max(F.struct("last", "entity_type", "name", "risk_score"))
+    metadata = _metadata(observations)
+    kept = ["entity_type", "name", "risk_score", *(["metadata"] if metadata else [])]
+    rows = observations.withColumn("metadata", metadata[0]) if metadata else observations
+    folded = rows.groupBy("entity_id", *kept).agg(F.min("event_time").alias("first"), F.max("event_time").alias("last"))
+    latest = F.max(F.struct("last", *kept))
     return (
         folded.groupBy("entity_id")
         .agg(F.min("first").alias("first_seen"), F.max("last").alias("last_seen"), latest.alias("_last"))
         .select(
             "entity_id",
-            F.col("_last.entity_type").alias("entity_type"),
-            F.col("_last.name").alias("name"),
-            F.col("_last.risk_score").alias("risk_score"),
+            *[F.col(f"_last.{name}").alias(name) for name in kept[:3]],
             "first_seen",
             "last_seen",
+            *[F.col(f"_last.{name}").alias(name) for name in kept[3:]],
         )
     )
 
 
 def graph_edges(observations: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """Upsert of edge observations keyed by (source, target, type); both ends must be known nodes."""
+    """Upsert of edge observations keyed by (source, target, type); both ends must be known nodes.
+
+    A column `metadata` is kept as text: that of the last observation, the largest of several at one time.
+    """
+    metadata = _metadata(observations)
+    last = [F.max(F.struct("event_time", *metadata))["metadata"].alias("metadata")] if metadata else []
     edges = observations.groupBy("source", "target", "edge_type").agg(
-        F.count("*").alias("count"), F.sum("weight").alias("weight"), F.max("event_time").alias("last_seen")
+        F.count("*").alias("count"), F.sum("weight").alias("weight"), F.max("event_time").alias("last_seen"), *last
     )
     if nodes is not None:
         known = nodes.select("entity_id")
@@ -156,9 +174,12 @@ def neighbors_k_hop(
 ) -> DataFrame:
     """Nodes within `depth` steps of each seed in either direction, nearest first, at most `limit`.
 
-    `seeds` has a column `entity_id`; without it every node is a seed. The few distinct types of the
-    edges that lead to a neighbour are joined into one text.
+    `seeds` has a column `entity_id`; without it every node is a seed, which is allowed for direct neighbours only, as
+    more steps would pair almost all nodes with each other. The few distinct types of the edges that lead to a
+    neighbour are joined into one text.
     """
+    if seeds is None and depth > 1:
+        raise ValueError("neighbours beyond one step need seeds")
     both = undirected(edges)
     if seeds is None:
         first = both.select(F.col("a").alias("entity_id"), F.col("b").alias("neighbor_id"), "edge_type")
@@ -199,15 +220,20 @@ def neighbors_k_hop(
     )
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+def shortest_paths(
+    edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, most_sources: int = MOST_SOURCES
+) -> DataFrame:
     """Undirected shortest paths from each source to every node it reaches, or to given targets.
 
     `sources` has a column `source`; `targets` has (source, target) pairs and limits the result, the
     search ending early once all of them are found. Rounds of frontier joins: each round extends the
     paths found in the round before by one edge, drops nodes already reached and keeps the smallest
     path per node. Among equally short paths that is the smallest overall, because its every prefix
-    is the smallest path to where it ends.
+    is the smallest path to where it ends. Without targets each source gives a row per node it reaches,
+    so more than `most_sources` of them are refused; for many pairs use `paths_between`.
     """
+    if targets is None and sources.select("source").distinct().limit(most_sources + 1).count() > most_sources:
+        raise ValueError(f"more than {most_sources} sources need targets")
     both = cut_lineage(undirected(edges).select("a", "b").distinct())
     start = sources.select("source").distinct()
     reached = cut_lineage(

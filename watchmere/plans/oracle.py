@@ -541,6 +541,9 @@ _SQL: dict[str, str] = {
         FROM @ensemble s LEFT JOIN (SELECT entity_id, string_agg(array_to_string(list_transform(string_split(feature, '_'), lambda x: upper(x[1]) || x[2:]), ' ') || ' (score: ' || printf('%.2f', score) || ')', ', ' ORDER BY r) AS t
         FROM @ranked WHERE r <= 3 AND score > 0.1 GROUP BY entity_id) x ON s.entity_id = x.entity_id""",
     "graph_nodes": "SELECT * FROM @nodes",
+    "graph_metadata": """SELECT entity_id, username AS name, event_time AS last_seen, metadata FROM (
+        SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY event_time DESC, username DESC, metadata DESC) AS r FROM (
+            SELECT *, '{"department":"' || department || '","last_event":"' || event_type || '"}' AS metadata FROM @sec_events) x) y WHERE r = 1""",
     "graph_edges": "SELECT * FROM @edges WHERE edge_type <> 'member_of'",
     "record_access": """SELECT entity_id AS source, hostname AS target, event_type AS edge_type, count(*) AS "count", count(*)::DOUBLE AS weight, max(event_time) AS last_seen
         FROM @sec_events WHERE hostname IS NOT NULL GROUP BY entity_id, hostname, event_type""",

@@ -327,7 +327,7 @@ def cold_start_features(spark, root):
 @query("save_predictions")
 def save_predictions(spark, root):
     """The last prediction per entity and model."""
-    scores = P.model_scores(spark, root).join(P.sec_events(spark, root).select("event_id", "event_time"), "event_id")
+    scores = P.model_scores(spark, root, "event_time")
     log = S.stamped(scores.withColumnRenamed("event_time", "written_at"))
     return S.latest_predictions(log, AS_OF).select("entity_id", "model_name", "anomaly_score", "written_at", "expires_at")
 
@@ -433,6 +433,21 @@ def graph_nodes(spark, root):
     return _graph(spark, root)[0]
 
 
+@query("graph_metadata")
+def graph_metadata(spark, root):
+    """Users with the department and the kind of their last event as metadata."""
+    about = F.create_map(F.lit("department"), "department", F.lit("last_event"), "event_type")
+    seen = P.sec_events(spark, root).select(
+        "entity_id",
+        F.lit("user").alias("entity_type"),
+        F.col("username").alias("name"),
+        F.lit(0.0).alias("risk_score"),
+        "event_time",
+        about.alias("metadata"),
+    )
+    return G.graph_nodes(seen).select("entity_id", "name", "last_seen", "metadata")
+
+
 @query("graph_edges")
 def graph_edges(spark, root):
     """Only edges between known nodes: departments are not known here."""
@@ -665,9 +680,9 @@ def alert_lifecycle_stats(spark, root):
 @query("entity_risk")
 def entity_risk(spark, root):
     """The ensemble score of the last event of each entity."""
-    scores = P.model_scores(spark, root).groupBy("entity_id", "event_id").agg(F.avg("anomaly_score").alias("final_score"))
-    times = P.sec_events(spark, root).select("event_id", F.col("event_time").alias("scored_at"))
-    return A.entity_risk(scores.join(times, "event_id"))
+    scores = P.model_scores(spark, root, "event_time")
+    event = ("entity_id", "event_id", F.col("event_time").alias("scored_at"))
+    return A.entity_risk(scores.groupBy(*event).agg(F.avg("anomaly_score").alias("final_score")))
 
 
 @query("system_metrics")

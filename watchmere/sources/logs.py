@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchmere.operators.normalize import keyed_json
@@ -12,6 +12,9 @@ from watchmere.schemas import RAW_LOG
 RAW_TOPIC = "raw_logs"
 NORMALIZED_TOPIC = "normalized_events"
 
+# Equal lines that are numbered in one array.
+NUMBERED = 10_000
+
 
 def kafka_raw_logs(spark: SparkSession, servers: str, topic: str = RAW_TOPIC, **options: str) -> DataFrame:
     """Raw logs from a Kafka topic, from its beginning; the query's checkpoint keeps the offsets.
@@ -46,7 +49,14 @@ def file_raw_logs(spark: SparkSession, path: str, streaming: bool = False) -> Da
         number = F.col("_line")
     else:
         lines = spark.read.text(path).select("value", *file)
-        number = F.row_number().over(Window.partitionBy("_file", "value").orderBy("ingest_time"))
+        # Equal lines of a file are equal rows: they are counted, with sums in the tasks that read them, and numbered
+        # from their count in steps, so that a line repeated any number of times is never sorted or held at once.
+        counted = lines.groupBy("_file", "value", "ingest_time").agg(F.count("*").alias("_n"))
+        steps = F.sequence(F.lit(0), F.expr(f"(_n - 1) div {NUMBERED}").cast("int"))
+        lines = counted.withColumn("_step", F.explode(steps))
+        first = F.col("_step") * F.lit(NUMBERED).cast("bigint")
+        lines = lines.withColumn("_line", F.explode(F.sequence(first + 1, F.least(F.col("_n"), first + NUMBERED))))
+        number = F.col("_line")
     return lines.select("value", "ingest_time", F.concat_ws(":", "_file", number.cast("string")).alias("record_place"))
 
 

@@ -176,8 +176,8 @@ def feature_log(spark: SparkSession, root: str) -> DataFrame:
     return _project(FEATURE_LOG, sec_events=sec_events(spark, root))
 
 
-def model_scores(spark: SparkSession, root: str) -> DataFrame:
-    """The three given scores of each event as long rows, from one pass over the events."""
+def model_scores(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """The three given scores of each event as long rows, with `columns` of the event, from one pass over the events."""
     scores = F.array(
         *[
             F.struct(F.lit(model).alias("model_name"), score.cast("double").alias("anomaly_score"))
@@ -188,7 +188,7 @@ def model_scores(spark: SparkSession, root: str) -> DataFrame:
             )
         ]
     )
-    return sec_events(spark, root).select("entity_id", "event_id", F.inline(scores))
+    return sec_events(spark, root).select("entity_id", "event_id", *columns, F.inline(scores))
 
 
 def feature_matrix(spark: SparkSession, root: str) -> DataFrame:
