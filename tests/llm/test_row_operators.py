@@ -6,6 +6,7 @@ import re
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import ROOT, odd_documents
@@ -256,3 +257,30 @@ def test_pii_query(spark, given):
 def test_redaction(spark):
     df = odd_documents(spark, ["mail a@b.org or call +1 234 567 8901 now", None])
     assert [r.text for r in pii.redact(df).collect()] == ["mail [email] or call [phone] now", ""]
+
+
+def test_pii_in_a_text_of_very_many_matches(spark):
+    rng = random.Random(6)
+    kinds = ("10.0.{}.{}", "a{}@b{}.org", "+49 30 {}{}12345", "4111 1111 1111 1111 {} {}", "\U0001f600 {} é {}", "nothing {}:{}")
+    text = " ".join(rng.choice(kinds).format(rng.randrange(300), rng.randrange(300)) for _ in range(16_000))
+    found = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id LONG, text STRING")).first()
+    assert [(s.kind, s.start, s.end) for s in found.base] == pii_base(text) and len(found.base) > 6000
+
+
+def test_pii_spans_that_overlap_no_base_span(spark):
+    rng = random.Random(8)
+
+    def spans(n):
+        starts = [rng.randrange(300) for _ in range(n)]
+        return [(s, s + rng.choice((1, 2, 5, 40))) for s in starts]
+
+    rows = [(i, spans(rng.randrange(30)), spans(rng.randrange(12))) for i in range(60)] + [(60, [], []), (61, [(0, 3)], [(3, 5)])]
+    span = "ARRAY<STRUCT<start: INT, end: INT>>"
+    df = spark.createDataFrame(rows, f"id INT, mine {span}, others {span}")
+    kept = {r.id: [tuple(s) for s in r.kept] for r in df.select("id", pii.uncovered(F.col("mine"), F.col("others")).alias("kept")).collect()}
+    assert kept == {i: [c for c in mine if not any(c[0] < o[1] and o[0] < c[1] for o in others)] for i, mine, others in rows}
+    text = "".join(rng.choice("ab é\U0001f600\n") for _ in range(3 * pii.CELL + 7))
+    places = [0, 1, 5, 30, pii.CELL - 1, pii.CELL, pii.CELL + 1, 2 * pii.CELL + 10, len(text) - 1, len(text)]
+    df = spark.createDataFrame([(text, p) for p in places], "text STRING, p INT").withColumn("cells", pii.cells_of(F.col("text")))
+    for r in df.select("p", pii._around(F.col("cells"), F.col("p"), 24, 24).alias("b"), pii._around(F.col("cells"), F.col("p"), 0, 2).alias("a")).collect():
+        assert (r.b, r.a) == (text[max(0, r.p - 24) : r.p], text[r.p : r.p + 2])
