@@ -294,6 +294,24 @@ def test_decontamination(spark, most_bytes):
     assert decontaminate.contamination(df.limit(0), benchmark).count() == 0
 
 
+@pytest.mark.parametrize("most_bytes", [1 << 20, -1])
+def test_cut_spans(spark, most_bytes):
+    long = " ".join(f"w{i}" for i in range(20))
+    items = [(1, long), (2, "Two, three"), (3, None), (None, "five"), (4, f"{long} {long}")]
+    texts = [None, "", "two", f"a {long.upper()}! b five", f"{long} w0 w1", "Two three two", "Two three two", (None, "four five")]
+    df = odd_documents(spark, texts)
+    got = decontaminate.cut_spans(df, spark.createDataFrame(items, "item_id long, text string"), most_bytes=most_bytes)
+    want = collections.Counter()
+    windows = [tuple(long.split()[i : i + 13]) for i in range(8)] + [("two", "three"), ("five",)]
+    windows += [tuple((long + " " + long).split()[i : i + 13]) for i in range(28)]
+    for r in df.collect():
+        words = [w.decode() for w in words_of((r.text or "").encode())]
+        hit = {i + j for w in windows for i in range(len(words)) if tuple(words[i : i + len(w)]) == w for j in range(len(w))}
+        want[r.doc_id, " ".join(w for i, w in enumerate(words) if i not in hit), len(hit)] += 1
+    assert collections.Counter(tuple(r) for r in got.collect()) == want and max(n for _, _, n in want) == 22
+    assert decontaminate.cut_spans(df.limit(0), spark.createDataFrame(items, "item_id long, text string"), most_bytes=most_bytes).count() == 0
+
+
 @pytest.mark.parametrize("most_bytes", [1 << 20, -1])
 def test_items_without_an_id_count(spark, most_bytes):
     df = odd_documents(spark, ["one two three four", "nothing of it"])

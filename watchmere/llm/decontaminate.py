@@ -124,8 +124,8 @@ def _window_rows(size: int, lengths: list[int]):
     return open_scanner
 
 
-def _by_shuffle(documents, benchmark, id_col, text_col, item_col, item_text_col, size) -> DataFrame:
-    """Windows of both sides joined by their words; hits fold to one row per document afterwards."""
+def _hits(rows, key, benchmark, item_col, item_text_col, size) -> DataFrame:
+    """(key, at, length, item) of the windows of `rows` that an item has, by a join on the words themselves."""
 
     def item_scanner():
         def scan(text: bytes):
@@ -141,12 +141,18 @@ def _by_shuffle(documents, benchmark, id_col, text_col, item_col, item_text_col,
     )
     held = explode_rows(items, ["__item"], "__item_text", "length int, window string", item_scanner).distinct()
     lengths = [row[0] for row in held.select("length").distinct().collect()]  # at most `size` of them
+    spots = explode_rows(rows, key, "__text", "at int, length int, window string", _window_rows(size, lengths))
+    return spots.join(held, ["length", "window"])
+
+
+def _by_shuffle(documents, benchmark, id_col, text_col, item_col, item_text_col, size) -> DataFrame:
+    """Windows of both sides joined by their words; hits fold to one row per document afterwards."""
     rows = documents.select(
         F.col(id_col), F.col(text_col).cast("string").alias("__text"), F.xxhash64(text_col).alias("__print")
     )
     key = [id_col, "__print"]
-    spots = explode_rows(rows, key, "__text", "at int, length int, window string", _window_rows(size, lengths))
-    hits = spots.join(held, ["length", "window"]).withColumnsRenamed({id_col: "__id", "__print": "__p"})
+    hits = _hits(rows, key, benchmark, item_col, item_text_col, size)
+    hits = hits.withColumnsRenamed({id_col: "__id", "__print": "__p"})
     by_doc = hits.groupBy("__id", "__p").agg(
         F.array_sort(F.collect_set("__item")).alias("items"),
         F.size(
@@ -186,26 +192,59 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: st
     return keep_rows(documents, text_col, open_test)
 
 
-def cut_spans(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents' texts without the hit words: (id, text as lower-cased words joined by spaces, n_cut)."""
-    windows = window_set(benchmark, "item_id", "text", WINDOW_WORDS, BROADCAST_BYTES)
+def cut_spans(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    most_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Documents' texts without the hit words: (id, text as lower-cased words joined by spaces, n_cut).
+
+    Beyond the broadcast's bound the hits come from the shuffle join; equal texts are cut once and share the result.
+    """
+    windows = window_set(benchmark, "item_id", "text", WINDOW_WORDS, most_bytes)
     if windows is None:
-        raise ValueError("cutting spans needs a benchmark within BROADCAST_BYTES; use contamination() beyond it")
+        return _cut_by_shuffle(documents, benchmark, id_col, text_col)
     shared = documents.sparkSession.sparkContext.broadcast(windows)
 
     def open_scanner():
         def cut(text: bytes):
             n, places, _ = shared.value.find(text)
-            hit = np.zeros(n, np.bool_)
-            for at, length in places:
-                hit[at : at + length] = True
-            return b" ".join(w for w, h in zip(words_of(text), hit, strict=True) if not h).decode(), int(hit.sum())
+            return _without(words_of(text), places)
 
         return cut
 
     return scan_rows(documents, [id_col], text_col, "text string, n_cut long", open_scanner)
 
 
+def _without(words: list[bytes], places: list[tuple[int, int]]) -> tuple[str, int]:
+    """The words outside `places`, joined by spaces, and how many were left out."""
+    hit = np.zeros(len(words), np.bool_)
+    for at, length in places:
+        hit[at : at + length] = True
+    return b" ".join(w for w, h in zip(words, hit, strict=True) if not h).decode(), int(hit.sum())
+
+
+def _cut_by_shuffle(documents, benchmark, id_col, text_col) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    rows = documents.select(F.col(id_col).alias("__id"), text.alias("__text"), F.xxhash64(text, F.octet_length(text)).alias("__print"))
+    texts = rows.groupBy("__print").agg(F.max("__text").alias("__text"))
+    hits = _hits(texts, ["__print"], benchmark, "item_id", "text", WINDOW_WORDS)
+    # One pair per place, however many items have it; places of one text are at most its words.
+    places = hits.groupBy("__print").agg(F.collect_set(F.struct("at", "length")).alias("__places"))
+    marked = rows.join(places.withColumnRenamed("__print", "__p"), F.col("__print") == F.col("__p"), "left")
+
+    def open_scanner():
+        def cut(text: bytes, places: list[dict] | None):
+            return _without(words_of(text), [(p["at"], p["length"]) for p in places or ()])
+
+        return cut
+
+    cut = scan_rows(marked, ["__id"], "__text", "text string, n_cut long", open_scanner, beside="__places")
+    return cut.withColumnRenamed("__id", id_col)
+
+
 def op10_decontaminate(spark: SparkSession, root: str) -> DataFrame:
     found = contamination(table(spark, root, "documents"), table(spark, root, "benchmark"))
     return found.select(
