@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 
 import pytest
@@ -118,6 +119,54 @@ def test_prefixes_shorten_to_the_target():
     assert 1 - (1 - 0.8 ** (depth + 1)) ** near_duplicates.TREES < near_duplicates.TARGET
 
 
+def test_crowded_prefixes_shorten_one_by_one():
+    forest = near_duplicates.Forest(4)
+    free = forest.depths({})
+    assert free == {}
+    few = forest.depths({tree: [2000, 900, 800, 700, 600] for tree in range(5)})
+    assert set(few.values()) == {forest.deepest}
+    sizes = {tree: [5000 - tree, 4000, 3000, 2000 if tree % 2 else 20, 10] for tree in range(forest.trees)}
+    many = forest.depths(sizes)
+    reached = sum(forest.weight(d) for d in many.values())
+    assert 1 - math.exp(-reached) >= forest.target
+    assert min(many.values()) == forest.shallow < max(many.values())
+    # Every crowded tree at its shortest is the most that can be asked for.
+    assert set(near_duplicates.Forest(4, target=1 - 1e-9).depths(sizes).values()) == {forest.shallow}
+
+
+@pytest.mark.parametrize("crowd", [3, 20])
+def test_crowded_places_lose_no_link(spark, crowd):
+    rnd = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(900)]
+    texts = []
+    for _ in range(3):
+        base = [rnd.choice(vocabulary) for _ in range(90)]
+        for _ in range(50):
+            copy = list(base)
+            for _ in range(rnd.randrange(4)):
+                copy[rnd.randrange(90)] = rnd.choice(vocabulary)
+            texts.append(" ".join(copy))
+    # A common opening that brings texts together which are not alike.
+    opening = [rnd.choice(vocabulary) for _ in range(40)]
+    texts += [" ".join(opening + [rnd.choice(vocabulary) for _ in range(25)]) for _ in range(60)]
+    df = odd_documents(spark, texts)
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    got = near_duplicates.near_duplicates(df, block=16, crowd=crowd).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == sorted(brute_classes(rows), key=str)
+
+
+def test_prefixes_are_counted_over_all_tasks(spark):
+    forest = near_duplicates.Forest(4)
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(2), rnd.randrange(3), rnd.choice([0, 1, 5 << 30, (5 << 30) + 1]), rnd.randrange(10**9)) for _ in range(4000)]
+    frame = spark.createDataFrame(rows, "tree int, head long, tail long, hi long").repartition(7)
+    got = {(r.tree, r.head, r.depth, r.prefix): r.n for r in near_duplicates.trie_nodes(frame, forest).collect()}
+    wanted = collections.Counter(
+        (t, h, d, tail >> (forest.bits * (forest.deepest - d))) for t, h, tail, _ in rows for d in range(5, 9)
+    )
+    assert got == wanted
+
+
 def test_components(spark):
     rnd = random.Random(6)
     edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)]

@@ -1,9 +1,12 @@
 """N-gram Jaccard join: a MinHash LSH forest finds candidates, shared word shingles decide.
 
-Each different text is a node. A tree of the forest sorts nodes by a label of MinHash values; nodes that share a prefix
-of their labels are candidates. Prefixes are shortened from DEEPEST values until pairs at the wanted similarity are
-found with the target probability over all trees. A pair is looked at in the first tree that brings it together, and
-nowhere else, by the exact Jaccard similarity of its sets of five-word shingles.
+Each different text is a node. A tree of the forest is a prefix trie of labels of DEEPEST MinHash values, held as labels
+in sorted order; nodes that share a prefix are candidates. Matched prefixes begin at the deepest level and are shortened
+per text: at once to the shallowest level where few texts share that prefix, which costs little, and in crowded places
+step by step, the least crowded one first, until the text's matches over all trees find a pair at the wanted similarity
+with the target probability. Texts of one place take the shortest prefix that one of them needs. The bound holds trees
+to be independent. A pair is looked at in the first tree that brings it together, and nowhere else, by the exact Jaccard
+similarity of its sets of five-word shingles.
 
 Texts of fewer than five words, but not none, are one shingle. A null text is empty; texts without words link to none
 but their own copies, which are always one class. Rows that agree in id and text are copies too. An empty table gives
@@ -16,7 +19,10 @@ pair is skipped, and no pair leaves its task, only each node's number of links a
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +41,7 @@ TREES = 32
 DEEPEST = 8
 TARGET = 1 - 1e-6
 BLOCK = 1024
+CROWD = 1024
 COLUMNS = 4096
 
 
@@ -46,15 +53,52 @@ def prefix_depth(similar: float, trees: int = TREES, deepest: int = DEEPEST, tar
     return depth
 
 
+@dataclass(frozen=True)
+class Forest:
+    """Shape of the tries: labels of `deepest` values, of which at least `shallow` must match."""
+
+    shallow: int
+    similar: float = SIMILAR
+    target: float = TARGET
+    trees: int = TREES
+    deepest: int = DEEPEST
+
+    @property
+    def bits(self) -> int:
+        """Of each value below the shallowest level; together they fit one number."""
+        return min(15, 60 // max(1, self.deepest - self.shallow))
+
+    def weight(self, depth: int) -> float:
+        """What a match of this many values in one tree adds: minus the logarithm of the chance that it misses a pair."""
+        return -math.log1p(-(self.similar**depth))
+
+    def depths(self, crowded: dict[int, list[int]]) -> dict[int, int]:
+        """Matched prefixes in the crowded trees of one text, given how many texts share each from `shallow` on."""
+        found = dict.fromkeys(crowded, self.deepest)
+        reached = (self.trees - len(crowded)) * self.weight(self.shallow) + len(crowded) * self.weight(self.deepest)
+        ways = [(sizes[-2], tree, self.deepest - 1) for tree, sizes in crowded.items() if self.deepest > self.shallow]
+        heapq.heapify(ways)
+        while ways and reached < -math.log(1 - self.target):
+            _, tree, depth = heapq.heappop(ways)
+            found[tree] = depth
+            reached += self.weight(depth) - self.weight(depth + 1)
+            if depth > self.shallow:
+                heapq.heappush(ways, (crowded[tree][depth - 1 - self.shallow], tree, depth - 1))
+        return found
+
+
 class Signer:
-    """Labels of a text: for each tree a number that stands for its prefix of MinHash values."""
+    """Labels of a text: for each tree one number for the values of its shallowest prefix, one for those below."""
 
-    def __init__(self, depth: int, trees: int = TREES, size: int = SHINGLE):
+    def __init__(self, forest: Forest, size: int = SHINGLE):
         draw = np.random.default_rng(20240501)
-        self.size, self.depth, self.trees = size, depth, trees
-        self.factors = draw.integers(1, 1 << 63, depth * trees, dtype=np.uint64) | np.uint64(1)
-        self.offsets = draw.integers(0, 1 << 63, depth * trees, dtype=np.uint64)
-        self.mix = draw.integers(1, 1 << 63, (trees, depth), dtype=np.uint64) | np.uint64(1)
+        self.size, self.forest = size, forest
+        trees, shallow, deepest = forest.trees, forest.shallow, forest.deepest
+        self.factors = draw.integers(1, 1 << 32, deepest * trees, dtype=np.uint32) | np.uint32(1)
+        self.offsets = draw.integers(0, 1 << 32, deepest * trees, dtype=np.uint32)
+        self.mix = draw.integers(1, 1 << 63, (trees, shallow), dtype=np.uint64) | np.uint64(1)
+        self.fold = draw.integers(1, 1 << 32, (trees, deepest - shallow), dtype=np.uint32) | np.uint32(1)
+        self.shifts = np.arange(deepest - shallow, dtype=np.uint64)[::-1] * np.uint64(forest.bits)
         self.places = draw.integers(1, 1 << 63, size, dtype=np.uint64) | np.uint64(1)
         self.known: dict[bytes, int] = {}
 
@@ -72,20 +116,24 @@ class Signer:
         out = row[:n] * self.places[0]
         for i in range(1, self.size):
             out = out + row[i : i + n] * self.places[i]
-        out ^= out >> np.uint64(29)
-        return np.unique(out)
+        return out
 
     def __call__(self, text: bytes):
         words = words_of(text)
         if not words:
-            return 0, None
-        hashes = self.shingle_hashes(words)
-        least = np.full(len(self.factors), np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(hashes), 1024):
-            part = hashes[at : at + 1024, None] * self.factors + self.offsets
+            return 0, None, None
+        hashes = np.unique((self.shingle_hashes(words) >> np.uint64(32)).astype(np.uint32))
+        least = np.full(len(self.factors), np.iinfo(np.uint32).max, np.uint32)
+        for at in range(0, len(hashes), 256):
+            part = hashes[at : at + 256, None] * self.factors
+            part += self.offsets
             np.minimum(least, part.min(axis=0), out=least)
-        labels = ((least >> np.uint64(20)).reshape(self.trees, self.depth) * self.mix).sum(axis=1, dtype=np.uint64)
-        return len(words), labels.view(np.int64).tolist()
+        values = least.reshape(self.forest.trees, -1)
+        shallow = self.forest.shallow
+        heads = (values[:, :shallow] * self.mix).sum(axis=1, dtype=np.uint64)
+        low = (values[:, shallow:] * self.fold) >> np.uint32(32 - self.forest.bits)
+        tails = (low.astype(np.uint64) << self.shifts).sum(axis=1, dtype=np.uint64)
+        return len(words), heads.view(np.int64).tolist(), tails.view(np.int64).tolist()
 
 
 def text_print(text_col: str):
@@ -235,27 +283,111 @@ def _labels(column: pa.ChunkedArray) -> np.ndarray:
 GROUP = ["bucket", "left", "right"]
 MEMBER = "bucket long, left int, right int, tree int, side int, hi long, lo long"
 LINKS = "hi long, lo long, links long, root_hi long, root_lo long"
+SIGNED = "n_words long, heads array<long>, tails array<long>"
+TRIE = "tree int, head long, depth int, prefix long, n long"
+
+
+def kept(frame: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read again."""
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
 
 
-def text_nodes(documents: DataFrame, id_col: str, text_col: str, depth: int, size: int) -> DataFrame:
+def text_nodes(documents: DataFrame, id_col: str, text_col: str, forest: Forest, size: int) -> DataFrame:
     """One row per different text: its print, smallest id, copies and labels, written to the shared folder."""
     rows = documents.select(F.col(id_col).alias("id"), *text_print(text_col), F.col(text_col).alias("body"))
-    signed = scan_rows(rows, ["id", "hi", "lo"], "body", "n_words long, labels array<long>", lambda: Signer(depth, size=size))
+    signed = scan_rows(rows, ["id", "hi", "lo"], "body", SIGNED, lambda: Signer(forest, size))
     nodes = signed.groupBy("hi", "lo").agg(
-        F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("labels").alias("labels")
+        F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first(F.struct("heads", "tails")).alias("label")
     )
-    path = scratch_path(documents.sparkSession, "text-nodes")
-    nodes.write.parquet(path)
-    return documents.sparkSession.read.parquet(path)
+    return kept(nodes.select("hi", "lo", "first_id", "copies", "label.heads", "label.tails"), "text-nodes")
 
 
-def candidate_groups(nodes: DataFrame, block: int) -> DataFrame:
-    """Members of prefixes that several nodes share, dealt to groups of at most two blocks."""
-    spots = nodes.filter("labels IS NOT NULL").select("hi", "lo", F.posexplode("labels").alias("tree", "label"))
-    spots = spots.select(F.xxhash64("tree", "label").alias("bucket"), F.col("tree").cast("int").alias("tree"), "hi", "lo")
+def trie_nodes(crowded: DataFrame, forest: Forest) -> DataFrame:
+    """How many texts share each prefix below the shallowest level: tree, head, depth, prefix, n.
+
+    Labels are sorted over all tasks, so a prefix is a run of rows. Tasks count runs batch by batch, hold no run and may
+    each have a part of one; the parts are added up.
+    """
+    arrow = to_arrow_schema(schema_of(TRIE))
+    order = ["tree", "head", "tail", "hi"]
+    levels = range(forest.shallow + 1, forest.deepest + 1)
+    bits, deepest = forest.bits, forest.deepest
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tree, head, tail = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for depth in levels if len(tree) else ():
+                prefix = tail >> (bits * (deepest - depth))
+                new = np.ones(len(tree), np.bool_)
+                new[1:] = (tree[1:] != tree[:-1]) | (head[1:] != head[:-1]) | (prefix[1:] != prefix[:-1])
+                at = np.flatnonzero(new)
+                sizes = np.diff(np.append(at, len(tree)))
+                columns = [tree[at], head[at], np.full(len(at), depth), prefix[at], sizes]
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    ordered = crowded.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    runs = ordered.mapInArrow(count, schema_of(TRIE))
+    return runs.groupBy("tree", "head", "depth", "prefix").agg(F.sum("n").alias("n"))
+
+
+def prefix_of(depth, forest: Forest):
+    return F.expr(f"shiftright(tail, CAST({forest.bits} * ({forest.deepest} - {depth}) AS INT))").alias("prefix")
+
+
+def matched_prefixes(crowded: DataFrame, forest: Forest) -> DataFrame:
+    """The prefixes that must match in crowded places: tree, head, depth. Rows are crowded nodes of the shallowest level."""
+    depths = f"sequence({forest.shallow + 1}, {forest.deepest})" if forest.deepest > forest.shallow else "array(0)"
+    levels = crowded.select("tree", "head", "tail", "hi", "lo", "n", F.explode(F.expr(depths)).alias("depth"))
+    levels = levels.withColumn("prefix", prefix_of("depth", forest)).drop("tail").withColumnRenamed("n", "whole")
+    sized = levels.join(trie_nodes(crowded, forest), ["tree", "head", "depth", "prefix"], "left")
+    # At most one row for each tree and level of a text.
+    texts = sized.groupBy("hi", "lo").agg(F.collect_list(F.struct("tree", "head", "depth", "whole", "n")).alias("places"))
+    ddl = "tree int, head long, depth int"
+    arrow = to_arrow_schema(schema_of(ddl))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for places in batch.column(0).to_pylist():
+                sizes = {p["tree"]: [p["whole"]] * (forest.deepest - forest.shallow + 1) for p in places}
+                for p in places:
+                    if p["n"] is not None:
+                        sizes[p["tree"]][p["depth"] - forest.shallow] = p["n"]
+                heads = {p["tree"]: p["head"] for p in places}
+                rows += [{"tree": t, "head": heads[t], "depth": d} for t, d in forest.depths(sizes).items()]
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    chosen = small_batches(texts.select("places")).mapInArrow(choose, schema_of(ddl))
+    return chosen.groupBy("tree", "head").agg(F.min("depth").alias("depth"))
+
+
+def shared_prefixes(nodes: DataFrame, forest: Forest, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Texts by the prefixes that they share with others, and the labels that stand for longer prefixes.
+
+    The first has a row (bucket, tree, hi, lo, n) for each text and prefix that n texts share; the second a row (hi, lo,
+    longer) for each text that stands in crowded places, a map from trees to labels.
+    """
+    spots = nodes.filter("heads IS NOT NULL").select("hi", "lo", "tails", F.posexplode("heads").alias("tree", "head"))
+    tail = F.element_at("tails", F.col("tree") + 1).alias("tail")
+    spots = spots.select(F.xxhash64("tree", "head").alias("bucket"), "tree", "head", tail, "hi", "lo")
     crowds = spots.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    crowds = crowds.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    sided = spots.join(crowds, "bucket").withColumn("side", F.pmod("hi", "blocks").cast("int"))
+    shared = kept(spots.join(crowds, "bucket"), "shared-prefixes")
+    crowded = shared.filter(F.col("n") > crowd)
+    chosen = crowded.join(matched_prefixes(crowded, forest), ["tree", "head"])
+    label = F.xxhash64("tree", "head", "depth", prefix_of("depth", forest)).alias("bucket")
+    longer = kept(chosen.select(label, "tree", "hi", "lo"), "longer-prefixes")
+    again = longer.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = shared.filter(F.col("n") <= crowd).select("bucket", "tree", "hi", "lo", "n")
+    members = members.unionByName(longer.join(again, "bucket"))
+    labels = longer.groupBy("hi", "lo").agg(F.map_from_entries(F.collect_list(F.struct("tree", "bucket"))).alias("longer"))
+    return members, labels
+
+
+def candidate_groups(members: DataFrame, block: int) -> DataFrame:
+    """Texts of shared prefixes, dealt to groups of at most two blocks."""
+    sided = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("side", F.pmod("hi", "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = sided.select("bucket", "tree", "side", "hi", "lo", other)
     return paired.select(
@@ -263,7 +395,9 @@ def candidate_groups(nodes: DataFrame, block: int) -> DataFrame:
     )
 
 
-def similar_links(documents: DataFrame, nodes: DataFrame, text_col: str, size: int, similar: float, block: int) -> DataFrame:
+def similar_links(
+    documents: DataFrame, nodes: DataFrame, text_col: str, size: int, forest: Forest, block: int, crowd: int
+) -> DataFrame:
     """Verified links, folded in their tasks: per node and group its number of links and its local root."""
 
     def meet(columns):
@@ -275,18 +409,18 @@ def similar_links(documents: DataFrame, nodes: DataFrame, text_col: str, size: i
     def verify(columns):
         tree = columns[3][0].as_py()
         fresh = new_pairs(_labels(columns[7]), tree, columns[4].to_numpy())
-        links = links_of(columns[8].cast(pa.binary()).to_pylist(), fresh, size, similar)
+        links = links_of(columns[8].cast(pa.binary()).to_pylist(), fresh, size, forest.similar)
         counts = links.sum(axis=0) + links.sum(axis=1)
         found = np.flatnonzero(counts)
         roots = local_roots(links)
         hi, lo = columns[5].to_numpy(), columns[6].to_numpy()
         return [v.tolist() for v in (hi[found], lo[found], counts[found], hi[roots[found]], lo[roots[found]])]
 
-    members = candidate_groups(nodes, block).join(nodes.select("hi", "lo", "labels"), ["hi", "lo"])
-    members = members.select(*GROUP, "tree", "side", "hi", "lo", "labels")
-    path = scratch_path(documents.sparkSession, "candidates")
-    groups_in(members, GROUP, MEMBER + ", labels array<long>", meet).write.parquet(path)
-    met = documents.sparkSession.read.parquet(path)
+    members, longer = shared_prefixes(nodes, forest, crowd)
+    own = F.transform("heads", lambda head, tree: F.coalesce(F.col("longer")[tree], head)).alias("labels")
+    labels = nodes.join(longer, ["hi", "lo"], "left").select("hi", "lo", F.when(F.col("longer").isNull(), F.col("heads")).otherwise(own).alias("labels"))
+    dealt = candidate_groups(members, block).join(labels, ["hi", "lo"]).select(*GROUP, "tree", "side", "hi", "lo", "labels")
+    met = kept(groups_in(dealt, GROUP, MEMBER + ", labels array<long>", meet), "candidates")
     texts = documents.select(*text_print(text_col), F.col(text_col).cast("string").alias("body"))
     bodies = texts.join(met.select("hi", "lo").distinct(), ["hi", "lo"], "left_semi").dropDuplicates(["hi", "lo"])
     return groups_in(met.join(bodies, ["hi", "lo"]).select(*met.columns[:3], "tree", "side", "hi", "lo", "labels", "body"), GROUP, LINKS, verify)
@@ -300,20 +434,20 @@ def classes(
     similar: float = SIMILAR,
     target: float = TARGET,
     block: int = BLOCK,
+    crowd: int = CROWD,
 ) -> DataFrame:
     """One row per different text: (hi, lo) name it; class_id, links to other texts, copies, and whether it leads.
 
-    A class is what links connect; its id is the smallest document id in it.
+    A class is what links connect; its id is the smallest document id in it. A prefix that more than `crowd` texts share is
+    crowded: it is matched at a greater depth where the target allows it.
     """
-    depth = prefix_depth(similar, target=target)
-    nodes = text_nodes(documents, id_col, text_col, depth, size)
-    path = scratch_path(documents.sparkSession, "links")
-    similar_links(documents, nodes, text_col, size, similar, block).write.parquet(path)
-    found = documents.sparkSession.read.parquet(path)
+    forest = Forest(prefix_depth(similar, target=target), similar, target)
+    nodes = text_nodes(documents, id_col, text_col, forest, size)
+    found = kept(similar_links(documents, nodes, text_col, size, forest, block, crowd), "links")
     edges = found.select(F.struct("hi", "lo").alias("a"), F.struct(F.col("root_hi").alias("hi"), F.col("root_lo").alias("lo")).alias("b"))
     roots = components(edges).select("node.hi", "node.lo", "root")
     counts = found.groupBy("hi", "lo").agg(F.sum("links").alias("n_links"))
-    member = nodes.drop("labels").join(roots, ["hi", "lo"], "left").join(counts, ["hi", "lo"], "left")
+    member = nodes.drop("heads", "tails").join(roots, ["hi", "lo"], "left").join(counts, ["hi", "lo"], "left")
     own = F.coalesce("root", F.struct("hi", "lo"))
     leads = F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "hi", "lo")
     by_class = member.groupBy(own.alias("own")).agg(F.min(leads).alias("lead"))
