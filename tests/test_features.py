@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from statistics import fmean, pstdev
 
 import pytest
+from pyspark.sql import functions as F
 
 from watchmere.operators import features as FE
 from watchmere.operators import windows as W
@@ -160,6 +161,22 @@ def test_periodicity(spark, agos, score):
     assert got["user:a", 3600]["periodicity_score"] == pytest.approx(score)
 
 
+def test_family_with_aggregates_of_its_own(spark):
+    own = FE.Family(
+        ("latest_host_length",),
+        lambda part, window: {"latest_host_length": part("host_length") * 3600 / window},
+        aggregates={"host_length": F.max(F.length("hostname"))},
+    )
+    rows = [event(1, 60, host="abc"), event(2, 7200, host="abcdef"), event(3, 7200, entity="user:b", host=None)]
+    got = features_of(spark, rows, families=["entropy", own])
+    assert got["user:a", 3600]["latest_host_length"] == 3
+    assert got["user:a", 86400]["latest_host_length"] == pytest.approx(6 / 24)
+    assert got["user:b", 3600]["latest_host_length"] == got["user:b", 86400]["latest_host_length"] == 0
+    assert "hostname_entropy" in got["user:a", 3600]
+    with pytest.raises(ValueError, match="host_length"):
+        FE.needed([own, own])
+
+
 def test_travel(spark):
     one = features_of(spark, [event(1, 60, city="London")], families=["geo"])["user:a", 86400]
     assert one["max_distance_km"] == 0 and one["impossible_travel_count"] == 0

@@ -10,8 +10,9 @@ Two partial results, each keyed by (entity, window), make up the features:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -98,7 +99,8 @@ KEYS = ["entity_id", "window_size"]
 class Family:
     """A feature family: which partial results it needs and how its features follow from them.
 
-    `features` maps (partial column by name, window seconds) to a column per feature name.
+    `features` maps (partial column by name, window seconds) to a column per feature name. `aggregates` are partial results
+    of the family's own: numbers aggregated over the events of an entity and window, by name; zero where there are none.
     """
 
     names: Sequence[str]
@@ -109,6 +111,7 @@ class Family:
     links: bool = False
     gaps: bool = False
     places: bool = False
+    aggregates: Mapping[str, Column] = field(default_factory=dict)
 
 
 def _hours(window: Column) -> Column:
@@ -169,7 +172,7 @@ def _graph(part, window):
     }
 
 
-# Further families can be added under a new name; their partial results must be among those below.
+# Further families can be added under a new name, or be passed in place of one.
 REGISTRY: dict[str, Family] = {
     "frequency": Family(
         FAMILIES["frequency"], _frequency, activity=("n", *TYPE_COUNTERS), distinct=("hostname", "source_ip")
@@ -392,7 +395,7 @@ def extract_features(
     events: DataFrame,
     as_of,
     windows: Sequence[int] = WINDOW_SECONDS,
-    families: Sequence[str] = tuple(FAMILIES),
+    families: Sequence[str | Family] = tuple(FAMILIES),
     entities: DataFrame | None = None,
 ) -> DataFrame:
     """One row per entity and window with a DOUBLE column per feature, zeros where nothing happened.
@@ -408,6 +411,8 @@ def extract_features(
         parts.append(_values(held, needs.activity, needs.distinct, needs.entropies, needs.links))
     if needs.gaps or needs.places:
         parts.append(_sequence(held, needs.gaps, needs.places))
+    if needs.aggregates:
+        parts.append(held.groupBy(*KEYS).agg(*[column.alias(name) for name, column in needs.aggregates.items()]))
     spine = entity_spine(entities if entities is not None else window_events(events, as_of, max(windows)), windows)
     return features_of(spine, parts, families)
 
@@ -422,21 +427,30 @@ class Needs:
     links: bool
     gaps: bool
     places: bool
+    aggregates: dict[str, Column]
 
     @property
     def counted(self) -> bool:
         return bool(self.activity or self.distinct or self.entropies or self.links)
 
 
-def needed(families: Sequence[str]) -> Needs:
-    chosen = [REGISTRY[name] for name in families]
+def family_of(family: str | Family) -> Family:
+    return family if isinstance(family, Family) else REGISTRY[family]
+
+
+def needed(families: Sequence[str | Family]) -> Needs:
+    chosen = [family_of(family) for family in families]
+    own = [(name, column) for family in chosen for name, column in family.aggregates.items()]
+    twice = {name for name, times in Counter(name for name, _ in own).items() if times > 1}
+    if twice:
+        raise ValueError(f"families share names of aggregates: {sorted(twice)}")
     lists = (list(dict.fromkeys(x for family in chosen for x in getattr(family, kind))) for kind in ("activity", "distinct", "entropies"))
-    return Needs(*lists, *(any(getattr(family, kind) for family in chosen) for kind in ("links", "gaps", "places")))
+    return Needs(*lists, *(any(getattr(family, kind) for family in chosen) for kind in ("links", "gaps", "places")), dict(own))
 
 
-def features_of(spine: DataFrame, parts: Sequence[DataFrame], families: Sequence[str]) -> DataFrame:
+def features_of(spine: DataFrame, parts: Sequence[DataFrame], families: Sequence[str | Family]) -> DataFrame:
     """The features of every row of the spine from the partial results of (entity, window)."""
-    chosen = [REGISTRY[name] for name in families]
+    chosen = [family_of(family) for family in families]
     joined = reduce(lambda left, right: left.join(right, KEYS, "left"), parts, spine)
     partial = {c: zero_if_null(F.col(c)).alias(c) for part in parts for c in part.columns if c not in KEYS}
     filled_in = joined.select(*KEYS, *partial.values())
@@ -463,10 +477,10 @@ def flattened_features(
     events: DataFrame,
     as_of,
     windows: Sequence[int] = WINDOW_SECONDS,
-    families: Sequence[str] = tuple(FAMILIES),
+    families: Sequence[str | Family] = tuple(FAMILIES),
     entities: DataFrame | None = None,
 ) -> DataFrame:
-    names = [name for family in families for name in REGISTRY[family].names]
+    names = [name for family in families for name in family_of(family).names]
     return flatten(extract_features(events, as_of, windows, families, entities), windows, names)
 
 

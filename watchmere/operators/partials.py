@@ -148,6 +148,8 @@ def features_from_hours(
 ) -> DataFrame:
     """What `extract_features` gives, from the stored hours and the events at the ends of the windows."""
     needs, cut = needed(families), Cut(as_of, windows)
+    if needs.aggregates:
+        raise ValueError(f"stored hours do not hold a family's own aggregates: {sorted(needs.aggregates)}")
     ends = cut.ends(events)
     parts, seen = [], []
     if needs.counted:

@@ -493,6 +493,11 @@ _SQL: dict[str, str] = {
     **{
         f"features_{family}": f"SELECT entity_id, window_size, {', '.join(_FEATURE_SQL[family])} FROM @f_long" for family in _ALL
     },
+    "features_own_family": f"""SELECT f.entity_id, f.window_size, {', '.join(_FEATURE_SQL['entropy'])},
+        coalesce(x.longest_command, 0)::DOUBLE AS longest_command, round(coalesce(x.active, 0) / f.window_size, 6) AS active_share
+        FROM @f_long f LEFT JOIN (SELECT entity_id, w, max(length(command_line)) AS longest_command,
+            epoch_us(max(event_time)) // 1000000 - epoch_us(min(event_time)) // 1000000 AS active
+            FROM @wev GROUP BY entity_id, w) x ON f.entity_id = x.entity_id AND f.window_size = x.w""",
     "engine_statistics": "SELECT count(DISTINCT entity_id) AS entity_count, count(*) AS total_events, '3600,86400,604800' AS window_sizes, 5::BIGINT AS extractor_count, 33::BIGINT AS total_features FROM @sec_events",
     "evict_old_events": f"""SELECT (count(*) FILTER (old))::BIGINT AS removed_events, (count(*) FILTER (NOT old))::BIGINT AS kept_events,
         (count(DISTINCT entity_id) - count(DISTINCT entity_id) FILTER (NOT old))::BIGINT AS removed_entities

@@ -207,6 +207,27 @@ for _family in FE.FAMILIES:
     query(f"features_{_family}")(_features)
 
 
+def _session_features(part, window):
+    span = part("last_second") - part("first_second")
+    return {"longest_command": part("longest_command"), "active_share": span / window}
+
+
+@query("features_own_family")
+def features_own_family(spark, root):
+    """A family that brings aggregates of its own, beside one that does not."""
+    second = F.unix_seconds("event_time")
+    own = FE.Family(
+        ("longest_command", "active_share"),
+        _session_features,
+        aggregates={
+            "longest_command": F.max(F.length("command_line")),
+            "first_second": F.min(second),
+            "last_second": F.max(second),
+        },
+    )
+    return FE.extract_features(P.sec_events(spark, root), AS_OF, families=["entropy", own])
+
+
 @query("engine_statistics")
 def engine_statistics(spark, root):
     return W.engine_statistics(P.sec_events(spark, root), WINDOW_SECONDS, len(FE.FAMILIES), len(FE.FEATURE_NAMES))
