@@ -122,3 +122,22 @@ def test_traversals_of_everything_are_refused(spark):
     with pytest.raises(ValueError):
         G.shortest_paths(edges, sources, most_sources=1)
     assert G.shortest_paths(edges, sources, most_sources=2).count() == 6
+
+
+def test_paths_over_a_hub_do_not_fetch_its_neighbours_for_every_pair(spark, monkeypatch):
+    # A pair whose ends meet at a hub needs the neighbours of its ends, not the hub's.
+    users = [f"u{i:03d}" for i in range(300)]
+    _, edges = graph(spark, [(u, "hub") for u in users] + [(u, "other hub") for u in users])
+    wanted = spark.createDataFrame([(users[0], u) for u in users[1:]], "source STRING, target STRING")
+    sizes = []
+    whole = G._neighbours
+
+    def counted(nodes, both):
+        found = whole(nodes, both)
+        sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(G, "_neighbours", counted)
+    paths = G.paths_between(edges, wanted).collect()
+    assert {tuple(r["path"]) for r in paths} == {(users[0], "hub", u) for u in users[1:]}
+    assert max(sizes) <= 4 * len(users)

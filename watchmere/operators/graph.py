@@ -305,8 +305,11 @@ def paths_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     steps = [nexts]
     on_way = met.filter(F.col("depth") == len(layers) - 1).select(*step_key)
     for depth in range(len(layers) - 2, -1, -1):
-        back = _neighbours(on_way, both).groupBy(*pair, F.col("b").alias("node")).agg(F.min("a").alias("next"))
-        back = cut_lineage(back.join(layers[depth], step_key, "left_semi"))
+        # Along the edges that grew the layers: a hub on the way would bring all of its neighbours for every pair.
+        ahead = _neighbours(layers[depth].join(met, pair, "left_semi"), both)
+        ends = on_way.select(*pair, F.col("node").alias("b"))
+        back = ahead.join(ends, [*pair, "b"]).groupBy(*step_key).agg(F.min("b").alias("next"))
+        back = cut_lineage(back)
         steps.append(back)
         on_way = back.select(*step_key).unionByName(met.filter(F.col("depth") == depth).select(*step_key))
     steps = cut_lineage(reduce(DataFrame.unionByName, steps).join(met, pair, "left_semi"))
