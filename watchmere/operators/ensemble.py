@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchmere.functions.columns import two_places
+from watchmere.functions.columns import exact_mean, two_places
 
 # Decision and text thresholds.
 DECISION_ABOVE = 0.5
@@ -27,7 +27,7 @@ def with_labels(scores: DataFrame, above: float = DECISION_ABOVE) -> DataFrame:
 
 def model_predictions(scores: DataFrame) -> DataFrame:
     """One prediction per entity and model: the mean over the entity's vectors."""
-    mean = F.avg("anomaly_score")
+    mean = exact_mean("anomaly_score")
     return scores.groupBy("entity_id", "model_name").agg(
         mean.alias("anomaly_score"),
         (F.avg("is_anomaly") > DECISION_ABOVE).alias("is_anomaly"),
@@ -37,7 +37,7 @@ def model_predictions(scores: DataFrame) -> DataFrame:
 
 def ensemble_score(predictions: DataFrame) -> DataFrame:
     """The mean of the models' scores, the decision, and the share of models that vote anomaly."""
-    mean = F.avg("anomaly_score")
+    mean = exact_mean("anomaly_score")
     return predictions.groupBy("entity_id").agg(
         mean.alias("final_score"),
         (mean > DECISION_ABOVE).alias("final_decision"),
