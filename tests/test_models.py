@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from watchmere.operators import boosted
 from watchmere.operators.attribution import attribution_lime, attribution_shap, background_rows
 from watchmere.operators.autoencoder import Autoencoder, gradient, initial_weights, reconstruction_errors, train_autoencoder
 from watchmere.operators.boosted import OneClassError, train_boosted_trees
@@ -122,3 +123,23 @@ def test_trees_split_neighbouring_doubles():
         grown = grow_tree(rows, 42)
         split = grown[grown["feature"] >= 0]
         assert len(split) == 1 and float(split["threshold"].iloc[0]) == 1.0
+
+
+def test_boosted_trees_grow_in_as_many_tasks_as_run_at_once(spark, monkeypatch):
+    seen = []
+
+    class Learner:
+        def __init__(self, **_):
+            pass
+
+        def fit(self, vectors):
+            seen.append(vectors.rdd.glom().map(len).collect())
+
+    monkeypatch.setattr(boosted, "GBTClassifier", Learner)
+    rows = spark.range(20000).select(
+        F.array((F.col("id") % 977).cast("double"), F.lit(1.0)).alias("features"), (F.col("id") % 2).cast("int").alias("label")
+    )
+    for given in (1, 64):  # one file, or many small ones
+        train_boosted_trees(rows.repartition(given), ["a", "b"])
+    few, many = seen
+    assert len(few) == len(many) == 4 and sum(few) == sum(many) == 20000 and max(few) < 6000
