@@ -16,8 +16,7 @@ from watchmere.session import scratch_path
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    bands = quality.fitted_bands(docs, table(spark, sf_dir, "labels"))
-    return quality.keep_good(docs, bands=bands, lang_col="lang")
+    return quality.keep_fitted(docs, table(spark, sf_dir, "labels"))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -284,3 +285,30 @@ def test_pii_spans_that_overlap_no_base_span(spark):
     df = spark.createDataFrame([(text, p) for p in places], "text STRING, p INT").withColumn("cells", pii.cells_of(F.col("text")))
     for r in df.select("p", pii._around(F.col("cells"), F.col("p"), 24, 24).alias("b"), pii._around(F.col("cells"), F.col("p"), 0, 2).alias("a")).collect():
         assert (r.b, r.a) == (text[max(0, r.p - 24) : r.p], text[r.p : r.p + 2])
+
+
+def test_bands_come_from_all_labelled_documents(spark, monkeypatch):
+    """4,000 good documents, more than the sample once held: the limit is the quantile of all of them."""
+    measures = spark.range(4000).select(
+        F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("latin").alias("script"), F.lit(False).alias("base_failed"),
+        F.lit(True).alias("kept"), (2 + F.col("id") / 4000).alias("chars_per_piece"), (3 + F.col("id") / 4000).alias("chars_per_byte_token"),
+        F.lit(0.0).alias("fallback_share"),
+    )
+    labels = measures.select("doc_id", F.lit(1).alias("quality"))
+    bands = quality.bands_of(measures, labels)
+    exact = np.percentile(np.floor((2 + np.arange(4000) / 4000) * quality.STEPS) / quality.STEPS, 100 * quality.QUANTILE)
+    assert bands["latin en"].least_piece == pytest.approx(exact, abs=1e-9)
+    kept = measures.withColumn("kept", quality.within_bands(bands))
+    assert kept.filter("not kept").count() == 20
+
+
+def test_one_measuring_keeps_what_two_do(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = documents.select("doc_id", F.lit(1).alias("quality"))
+    bands = quality.fitted_bands(documents, labels)
+    assert len(bands) > len(quality.BANDS)
+    two = quality.keep_good(documents, bands=bands, lang_col="lang")
+    one = quality.keep_fitted(documents, labels)
+    assert one.schema == two.schema and sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    verdicts = quality.quality(documents, bands=bands, lang_col="lang").filter("kept")
+    assert verdicts.count() == one.count()

@@ -4,7 +4,8 @@ Words are what ASCII white space separates. Two public vocabularies measure each
 back to bytes, and a byte-level one. Both cut words apart anyway, so each different word is tokenised once and
 remembered in the Python worker. Characters per token, the share of fallback bytes and the entropy of the tokens
 (relative to the largest for that many) must lie in the bands of the text's language and main script. The bands are fitted
-to a bounded sample of the documents that `labels` calls good; a language of which it holds few has its script's wide ones.
+to all documents that `labels` calls good; a language of which there are few has its script's wide ones. Each document is
+measured once, and the fitted bands are held against the stored measures.
 Text of symbols alone is a script of its own and is rejected.
 
 A null or empty text has no words and fails; very long texts are read whole, one at a time; repeated rows each get
@@ -21,10 +22,11 @@ import numpy as np
 import public_tokenizers
 import sentencepiece
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchmere.llm.common import Memory, keep_rows, resident, scan_rows, table
+from watchmere.session import cut_lineage, scratch_path
 
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
@@ -59,12 +61,13 @@ BANDS = {
     "other": Band(0.2, 9.0, 0.95, 0.20),
     "symbols": Band(float("inf"), 9.0, 0.95, 0.20),
 }
-# Bands are fitted to so many labelled documents, from so many of a language on, at this quantile.
-SAMPLE = 3000
+# Bands are fitted to labelled documents, from so many of a language on, at this quantile.
 LEAST_SAMPLE = 50
 QUANTILE = 0.005
 # A text may hold a few more foreign characters than the sample's.
 MORE_FALLBACK = 0.02
+# Fitted limits have steps of one to so many, which bounds the counts that a quantile is taken from.
+STEPS = 10000
 # Scripts by the first byte of a character in UTF-8.
 FIRST_BYTES = {
     "latin": [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)],
@@ -194,20 +197,29 @@ class QualityScanner:
 def fitted_bands(
     documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> dict[str, Band]:
-    """BANDS, and narrower ones of each language and script, by what labelled good documents measure.
-
-    Documents are chosen by a hash of their id. Entropy falls with a text's length, so that its limit stays.
-    """
-    ids = labels.filter("quality = 1").select(F.col("doc_id").alias("__good")).distinct()
-    good = ids.orderBy(F.xxhash64("__good"), "__good").limit(SAMPLE)
-    named = documents.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__body"), F.col(lang_col).alias("lang"))
-    sample = named.join(F.broadcast(good), F.col("__id") == F.col("__good"))
-    measured = scan_rows(sample, ["lang"], "__body", FOUND, QualityScanner).filter("not base_failed")
-    rows = measured.groupBy("script", "lang").agg(
+    """BANDS, and narrower ones of each language and script, by what all labelled good documents measure."""
+    named = documents.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), text_col)
+    return bands_of(scan_rows(named, ["doc_id", "lang"], text_col, FOUND, QualityScanner), labels)
+
+
+def bands_of(
+    measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang"
+) -> dict[str, Band]:
+    """As `fitted_bands`, from rows that hold the measures. Entropy falls with a text's length, so that its limit stays."""
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("__good"))
+    rows = measured.filter("not base_failed").select(
+        F.col(id_col).alias("__id"),
+        "script",
+        F.col(lang_col).alias("lang"),
+        (F.floor(F.col("chars_per_piece") * STEPS) / STEPS).alias("piece"),
+        (F.floor(F.col("chars_per_byte_token") * STEPS) / STEPS).alias("byte"),
+        (F.ceil(F.col("fallback_share") * STEPS) / STEPS).alias("fallback"),
+    )
+    rows = rows.join(good, F.col("__id") == F.col("__good"), "left_semi").groupBy("script", "lang").agg(
         F.count("*").alias("n"),
-        F.percentile("chars_per_piece", F.lit(QUANTILE)).alias("piece"),
-        F.percentile("chars_per_byte_token", F.lit(QUANTILE)).alias("byte"),
-        F.percentile("fallback_share", F.lit(1 - QUANTILE)).alias("fallback"),
+        F.percentile("piece", F.lit(QUANTILE)).alias("piece"),
+        F.percentile("byte", F.lit(QUANTILE)).alias("byte"),
+        F.percentile("fallback", F.lit(1 - QUANTILE)).alias("fallback"),
     )
     bands = dict(BANDS)
     for r in rows.filter(f"n >= {LEAST_SAMPLE}").collect():
@@ -218,6 +230,37 @@ def fitted_bands(
     return bands
 
 
+def within_bands(bands: dict[str, Band], lang_col: str = "lang") -> Column:
+    """Whether a row that the scripts' wide bands keep also lies in the fitted ones, which are narrower in three limits."""
+    fitted = {key: (b.least_piece, b.least_byte, b.most_fallback) for key, b in bands.items() if key not in BANDS}
+    inside = F.lit(True)
+    if fitted:
+        parts = [F.array(*map(F.lit, x)) for x in fitted.values()]
+        held = F.map_from_arrays(F.array(*map(F.lit, fitted)), F.array(*parts))
+        limits = F.try_element_at(held, F.concat("script", F.lit(" "), F.coalesce(lang_col, F.lit("None"))))
+        inside = limits.isNull() | (
+            (F.col("chars_per_piece") >= limits[0])
+            & (F.col("chars_per_byte_token") >= limits[1])
+            & (F.col("fallback_share") <= limits[2])
+        )
+    return F.col("kept") & F.coalesce(inside, F.lit(False))
+
+
+def keep_fitted(
+    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
+    """The rows, all columns, that pass with bands fitted to `labels`; measures are stored beside the rows, so that no
+    text is measured twice or shuffled."""
+    spark = documents.sparkSession
+    path = scratch_path(spark, "measured")
+    given = [f"__given_{i}" for i in range(len(documents.columns))]
+    at = [given[documents.columns.index(c)] for c in (id_col, text_col, lang_col)]
+    scan_rows(documents.toDF(*given), given, at[1], FOUND, QualityScanner).write.parquet(path)
+    measured = spark.read.parquet(path)
+    kept = measured.filter(within_bands(bands_of(measured, labels, at[0], at[2]), at[2]))
+    return kept.select(*given).toDF(*documents.columns)
+
+
 def quality(
     documents: DataFrame,
     id_col: str = "doc_id",
@@ -252,5 +295,6 @@ def keep_good(
 
 def op4_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     documents = table(spark, root, "documents")
-    bands = fitted_bands(documents, table(spark, root, "labels"))
-    return quality(documents, bands=bands, lang_col="lang")
+    measured = cut_lineage(scan_rows(documents, ["doc_id", "lang"], "text", FOUND, QualityScanner))
+    bands = bands_of(measured, table(spark, root, "labels"))
+    return measured.withColumn("kept", within_bands(bands)).drop("lang")
