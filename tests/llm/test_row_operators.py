@@ -268,6 +268,24 @@ def test_pii_in_a_text_of_very_many_matches(spark):
     assert [(s.kind, s.start, s.end) for s in found.base] == pii_base(text) and len(found.base) > 6000
 
 
+def test_pii_trees_learn_from_all_different_texts(spark, monkeypatch):
+    """6,000 texts of 18,000 candidates and more, past what a sample once held, copies counted once."""
+    texts = [f"ref 12-{i} at 10.0.{i % 300}.{i % 7}, card {i} 4111" for i in range(6000)] + ["mail a@b.org", None, ""]
+    df = odd_documents(spark, texts + texts[:500])
+    given, fit = [], pii.GBTClassifier.fit
+
+    def noted(self, rows):
+        given.append(rows.agg(F.sum("n" if "n" in rows.columns else F.lit(1)), F.sum(F.col("label") * (F.col("n") if "n" in rows.columns else 1))).first())
+        return fit(self, rows)
+
+    monkeypatch.setattr(pii.GBTClassifier, "fit", noted)
+    assert pii.train(df) is not None
+    found = df.select("text").distinct().filter(F.pmod(F.xxhash64("text"), F.lit(4)) != 0).select(F.explode(pii.candidates(F.col("text"))).alias("c"))
+    rows, bases = found.agg(F.count("*"), F.count_if("c.base")).first()
+    assert given[0][0] == rows > 10_000 and bases <= given[0][1] < rows
+    assert pii.train(df.limit(0)) is None
+
+
 def test_pii_spans_that_overlap_no_base_span(spark):
     rng = random.Random(8)
 

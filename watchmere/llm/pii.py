@@ -1,10 +1,10 @@
 """Personal data: generators propose spans, boosted trees score them, thresholds choose; DataFrame functions only.
 
 Generators of high recall propose spans that may overlap: the four base kinds, and numbers of other shapes. Rules decide
-the base kinds. Boosted trees are fitted on format and context features of candidates from at most TRAIN_DOCUMENTS
-documents, the ones of smallest hash; base spans are the positive examples. A threshold is calibrated on documents
-that the trees have not seen. The trees become one SQL expression, so that scoring is a projection of each row: no
-shuffle, no grouping, nothing that grows but the row itself.
+the base kinds. Boosted trees are fitted on format and context features of the candidates of all different texts; base
+spans are the positive examples. Equal features are one weighted row. A threshold is calibrated on the candidates of a
+quarter of the texts, which the trees have not seen. The trees become one SQL expression, so that scoring is a
+projection of each row: no shuffle, no grouping, nothing that grows but the row itself.
 
 A null text is empty and has no spans. Repeated rows each get their own row. An empty table gives an empty result.
 With one kind of example alone there is nothing to learn, and only the rules find spans. Only the id and text columns
@@ -15,6 +15,7 @@ compared with each other, pair by pair.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
@@ -23,11 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchmere.llm.common import table
+from watchmere.session import spread
 
-TRAIN_DOCUMENTS = 3000
-TRAIN_CANDIDATES = 5000
 TREES, DEPTH = 12, 3
 LEAST_PRECISION = 0.95
+MOST_BINS = 1024
+ROWS_PER_TASK = 100_000
 AROUND = 24
 CELL = 512
 
@@ -274,45 +276,52 @@ def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def train(documents: DataFrame, text_col: str = "text", most: int = TRAIN_DOCUMENTS) -> Trees | None:
-    """Trees and threshold from the candidates of the documents of smallest hash, or None where they are of one kind."""
+def examples(documents: DataFrame, text_col: str = "text") -> DataFrame:
+    """(held_out, label, features, n): how many candidates of different texts have the label and the features."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    met = text.rlike("[0-9@]")
-    prints = documents.filter(met).select(F.xxhash64(text).alias("p")).distinct().orderBy("p").limit(most)
-    last = prints.agg(F.max("p")).first()[0]
-    if last is None:
-        return None
-    chosen = documents.select(text.alias("body")).filter((F.xxhash64("body") <= last) & F.col("body").rlike("[0-9@]")).distinct()
+    chosen = documents.select(text.alias("body")).filter(F.col("body").rlike("[0-9@]"))
     found = _with_candidates(chosen.select(F.xxhash64("body").alias("p"), "body"), "p", "body")
     marked = F.transform(
         "__found",
         lambda c: F.struct(c.alias("c"), *[f.alias(name) for name, f in features(c, F.col("__cells")).items()]),
     )
     place = ["kind", "start", "end"]
-    spans = found.select("p", F.inline(marked)).select("p", "c.base", *[f"c.{x}" for x in place], *NAMES).persist()
-    rows = spans.orderBy("p", *NAMES, *place).limit(TRAIN_CANDIDATES)
+    spans = found.select("p", F.inline(marked)).select("p", "c.base", *[f"c.{x}" for x in place], *NAMES)
+    spans = spans.distinct().persist()  # Copies of a text count once; only their candidates are shuffled.
     # Both kinds of span are laid into cells, and those that share a cell are compared: texts full of spans stay apart.
     cell = F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("end") - 1) / CELL))).alias("cell")
     sure = spans.filter("base").select("p", F.col("start").alias("from"), F.col("end").alias("to"), cell)
-    near = rows.select("p", *place, cell).join(sure, ["p", "cell"])
+    near = spans.select("p", *place, cell).join(sure, ["p", "cell"])
     near = near.filter("start < to AND from < end AND to - from <= end - start").select("p", *place).distinct()
-    rows = rows.join(near.withColumn("label", F.lit(1.0)), ["p", *place], "left").fillna(0.0, ["label"])
-    rows = VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(rows)
-    held_out = F.pmod("p", F.lit(4)) == 0
-    # A few thousand rows of doubles at most.
-    rows = rows.select("p", *place, "label", "features", *NAMES).orderBy("p", *NAMES, *place).persist()
-    fit = rows.filter(~held_out)
-    if fit.select("label").distinct().count() < 2:
+    rows = spans.join(near.withColumn("label", F.lit(1.0)), ["p", *place], "left").fillna(0.0, ["label"])
+    held_out = (F.pmod("p", F.lit(4)) == 0).alias("held_out")
+    counted = rows.groupBy(held_out, "label", *NAMES).agg(F.count("*").cast("double").alias("n")).persist()
+    counted.count()
+    spans.unpersist()
+    return counted
+
+
+def train(documents: DataFrame, text_col: str = "text") -> Trees | None:
+    """Trees and threshold from the candidates of all documents, or None where they are of one kind."""
+    rows = examples(documents, text_col)
+    fit = rows.filter("not held_out")
+    kinds, n = fit.agg(F.countDistinct("label"), F.count("*")).first()
+    if kinds < 2:
+        rows.unpersist()
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1).fit(fit.select("label", "features").coalesce(1))
+    dealt = spread(fit, n, ROWS_PER_TASK).sortWithinPartitions(*NAMES, "label")
+    dealt = VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(dealt).select("label", "features", "n")
+    # With bins by the square of the rows at least, Spark ML takes its splits from all rows and not from a sample.
+    bins = max(MOST_BINS, math.isqrt(n) + 1)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, maxBins=bins, weightCol="n").fit(dealt)
     trees = Trees(
         tuple(model.treeWeights), tuple(_node(t._call_java("rootNode")) for t in model.trees), 0.5
     )
     chance = trees.probability({name: F.col(name) for name in NAMES})
-    scored = rows.filter(held_out).select("label", F.floor(chance * 20).alias("cell"))
-    cells = {r.cell: (r.n, r.good) for r in scored.groupBy("cell").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()}
+    scored = rows.filter("held_out").select("label", "n", F.floor(chance * 20).alias("cell"))
+    cells = scored.groupBy("cell").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("good"))
+    cells = {r.cell: (r.n, r.good) for r in cells.collect()}
     rows.unpersist()
-    spans.unpersist()
     threshold, n, good = 0.95, 0, 0.0
     for cell in range(20, 9, -1):
         n, good = n + cells.get(cell, (0, 0.0))[0], good + cells.get(cell, (0, 0.0))[1]
