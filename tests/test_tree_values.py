@@ -131,3 +131,18 @@ def test_scaled_rows_are_explained(spark):
     raw = {str(r["row_key"]): r["features"][0] for r in rows.collect()}
     for r in pd.DataFrame(found[found["feature"] == "f0"]).itertuples():
         assert r.output == (10.0 if (raw[r.entity_id] - 1.0) / 0.5 > 1.0 else 0.0)
+
+
+def test_explained_rows_are_dealt_to_tasks(spark):
+    """Rows that one task holds are explained by several, and each still gets the values of its own."""
+    rows, x = table(spark)
+    forest = train_forest(rows, WIDTH, trees=5, max_samples=64)
+    trees = T.forest_leaves(forest)
+    made = T.attribution_trees(trees, forest.scaler, rows.filter("row_key < 60").coalesce(1), rows, NAMES, limit=20)
+    tasks = made.select("entity_id", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r["task"] for r in tasks}) > 1 and len(tasks) == 60
+    # Equal background rows are one pattern; what they add up to is that of each by itself.
+    some = np.repeat(x[:6], [1, 2, 3, 1, 1, 4], axis=0)
+    for row in x[:5]:
+        each = np.mean([T.shapley(trees, row, z[None]) for z in some], axis=0)
+        assert np.abs(T.shapley(trees, row, some) - each).max() < 1e-12

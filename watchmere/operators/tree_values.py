@@ -8,7 +8,8 @@ of reach. Then each of the a features gains leaf x (a-1)! b! / (a+b)!, each of t
 Sums over leaves, trees and background rows are exact: they add up to the output less the mean output of the background.
 
 What is explained is what trees add up to: the mean path length of a forest, the margin of boosted trees. Only flagged
-rows are explained; trees and at most BACKGROUND_ROWS background rows are sent to the tasks.
+rows are explained, dealt evenly to the tasks; trees and the patterns of at most BACKGROUND_ROWS background rows are sent
+to them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from watchmere.operators.attribution import BACKGROUND_ROWS, background_rows
 from watchmere.operators.boosted import BoostedTrees
 from watchmere.operators.forest import Forest
 from watchmere.operators.scaling import Scaler
-from watchmere.session import scratch_path
+from watchmere.session import scratch_path, spread
+
+# Explained rows for which a task of its own is worth its start.
+ROWS_PER_TASK = 16
 
 
 @dataclass(frozen=True)
@@ -109,22 +113,74 @@ def _weights(most: int) -> tuple[np.ndarray, np.ndarray]:
     return gain, gain.T
 
 
+@dataclass(frozen=True)
+class Patterns:
+    """The leaves of all trees, and which of a leaf's path features background rows satisfy, as bits.
+
+    Background rows that satisfy the same features of a leaf are one pattern with their number, so none is looked at
+    again for each explained row.
+    """
+
+    leaves: Leaves
+    full: np.ndarray  # per leaf the bits of all its path features
+    leaf: np.ndarray  # per pattern
+    bits: np.ndarray
+    share: np.ndarray  # the rows of the pattern by all rows, times the leaf's value
+
+
+def _bits(leaves: Leaves, seen: np.ndarray) -> np.ndarray:
+    """The path features that hold the values `seen`, whose last two axes are leaves and their features."""
+    inside = (seen > leaves.low) & (seen <= leaves.high) & (leaves.feature >= 0)
+    return inside @ (1 << np.arange(leaves.feature.shape[1], dtype=np.int64))
+
+
+def patterns_of(trees: list[Leaves], background: np.ndarray) -> Patterns:
+    most = max(t.feature.shape[1] for t in trees)
+
+    def joined(parts: list[np.ndarray], fill: float) -> np.ndarray:
+        return np.concatenate([np.pad(p, ((0, 0), (0, most - p.shape[1])), constant_values=fill) for p in parts])
+
+    found = Leaves(
+        np.concatenate([t.value for t in trees]),
+        joined([t.feature for t in trees], -1),
+        joined([t.low for t in trees], -math.inf),
+        joined([t.high for t in trees], math.inf),
+    )
+    full = (found.feature >= 0) @ (1 << np.arange(most, dtype=np.int64))
+    leaf, bits, share, at = [], [], [], 0
+    for t in trees:  # One tree at a time, as whole rows by all leaves need not fit.
+        met = _bits(t, background[:, t.feature])
+        keys, n = np.unique(met + (np.arange(len(t.value)) << most), return_counts=True)
+        at_leaf = keys >> most
+        leaf.append(at_leaf + at)
+        bits.append(keys & ((1 << most) - 1))
+        share.append(n / len(background) * t.value[at_leaf])
+        at += len(t.value)
+    return Patterns(found, full, np.concatenate(leaf), np.concatenate(bits), np.concatenate(share))
+
+
+def values_of(patterns: Patterns, row: np.ndarray) -> np.ndarray:
+    """The Shapley values of one row against the background rows of the patterns."""
+    leaves = patterns.leaves
+    most = leaves.feature.shape[1]
+    own = _bits(leaves, row[leaves.feature])
+    reach = np.flatnonzero((own[patterns.leaf] | patterns.bits) == patterns.full[patterns.leaf])
+    leaf, theirs, share = patterns.leaf[reach], patterns.bits[reach], patterns.share[reach]
+    ours, theirs = own[leaf] & ~theirs, theirs & ~own[leaf]
+    a, b = np.bitwise_count(ours), np.bitwise_count(theirs)
+    gain, loss = _weights(most)
+    gained, lost = gain[a, b] * share, loss[a, b] * share
+    values = np.zeros(len(row))
+    for j in range(most):
+        step = np.where(ours >> j & 1, gained, 0.0) - np.where(theirs >> j & 1, lost, 0.0)
+        some = np.flatnonzero(step)
+        values += np.bincount(leaves.feature[leaf[some], j], step[some], minlength=len(row))
+    return values
+
+
 def shapley(trees: list[Leaves], row: np.ndarray, background: np.ndarray) -> np.ndarray:
     """The Shapley values of one row against background rows."""
-    values = np.zeros(len(row))
-    for t in trees:
-        gain, loss = _weights(t.feature.shape[1])
-        given = t.feature >= 0
-        own = (row[t.feature] > t.low) & (row[t.feature] <= t.high) & given
-        seen = background[:, t.feature]
-        other = (seen > t.low) & (seen <= t.high) & given
-        reach = (own | other | ~given).all(axis=2)
-        z, leaf = np.nonzero(reach)
-        ours, theirs = own[leaf] & ~other[z, leaf], other[z, leaf] & ~own[leaf]
-        a, b = ours.sum(axis=1), theirs.sum(axis=1)
-        step = ours * gain[a, b][:, None] - theirs * loss[a, b][:, None]
-        np.add.at(values, t.feature[leaf][given[leaf]], (step * t.value[leaf][:, None])[given[leaf]])
-    return values / len(background)
+    return values_of(patterns_of(trees, background), row)
 
 
 def attribution_trees(
@@ -136,20 +192,24 @@ def attribution_trees(
     """
     held = background_rows(scaler.transform(rows.select("row_key", "features")), limit).orderBy("background").collect()
     background = np.array([r["reference"] for r in held])
-    shared = flagged.sparkSession.sparkContext.broadcast((trees, background, float(outputs(trees, background).mean())))
+    found = patterns_of(trees, background) if len(held) else None
+    base = float(outputs(trees, background).mean())
+    shared = flagged.sparkSession.sparkContext.broadcast((trees, found, base))
     columns = list(names)
 
     def explain(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees, background, base = shared.value
+        trees, patterns, base = shared.value
         for part in parts:
             for key, features in zip(part["row_key"], part["features"], strict=True):
                 x = np.asarray(features, dtype=float)
-                signed = shapley(trees, x, background)
+                signed = values_of(patterns, x)
                 output = float(outputs(trees, x[None])[0])
                 yield pd.DataFrame(
                     {"entity_id": key, "feature": columns, "score": np.abs(signed), "signed": signed, "output": output, "base": base}
                 )
 
     kept = flagged.select(F.col("row_key").cast("string").alias("row_key"), scaler.scaled(F.col("features")).alias("features"))
+    # Few rows of much work each, which would else be taken by the one task that holds them.
+    kept = spread(kept, kept.count(), ROWS_PER_TASK)
     made = "entity_id string, feature string, score double, signed double, output double, base double"
     return kept.mapInPandas(explain, made)
