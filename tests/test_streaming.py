@@ -41,3 +41,13 @@ def test_a_second_run_takes_only_what_is_new(spark):
         logs.write_table(spark.createDataFrame(rows, "value STRING, source_type STRING, ingest_time TIMESTAMP"), path)
         stream = J.normalize_stream(logs.table_raw_logs(spark, path, streaming=True))
         assert J.run_to_table(stream, out).filter(F.col("dns_query") == "a.com").count() == want
+
+
+def test_state_of_streams_is_not_in_the_heap(spark):
+    stream = P.sec_events_from(stream_table(spark, ROOT, "events"))
+    counts = J.sliding_counts(stream, "1 day", "6 hours", "1 hour")
+    path = scratch_path(spark, "state")
+    query = J.append_stream(counts, f"{path}/table", f"{path}/checkpoint")
+    query.awaitTermination()
+    held = [operator for progress in query.recentProgress for operator in progress["stateOperators"]]
+    assert held and all(any(name.startswith("rocksdb") for name in operator["customMetrics"]) for operator in held)
