@@ -330,3 +330,29 @@ def test_one_measuring_keeps_what_two_do(spark):
     assert one.schema == two.schema and sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
     verdicts = quality.quality(documents, bands=bands, lang_col="lang").filter("kept")
     assert verdicts.count() == one.count()
+
+
+def test_quality_words_are_tokenised_together():
+    scanner = quality.QualityScanner()
+    vocab = scanner.words
+    vocab.known.forget()
+    calls = []
+
+    class Counted:
+        def encode_ordinary(self, text, encode=vocab.bytes.encode_ordinary):
+            calls.append(text)
+            return encode(text)
+
+    words = [f"w{i}ord{i * i}," for i in range(1500)] + ["Größe", "(été)", "слово", "中文字", "'s", "don't", "<0x41>", "~#$"]
+    odd = ["\u2581a", "a\u2581", "x\u00a0y", "\u00a0", "\u3000z", "e\u0301", "\u00b4", "\U0001f600", "\ud55c", "\u2003\u2003"]
+    given, vocab.bytes = vocab.bytes, Counted()
+    try:
+        got = vocab.tokenised(words[:900] + odd + words[900:])
+        assert got == vocab.one_by_one(words[:900] + odd + words[900:])
+        calls.clear()
+        ids, coarse = vocab.tokens([w.encode() for w in words])
+        assert len(calls) <= 3
+    finally:
+        vocab.bytes = given
+        vocab.known.forget()
+    assert ids.tolist() == vocab.pieces.encode(" ".join(words)) and coarse == len(given.encode_ordinary(" " + " ".join(words)))

@@ -2,7 +2,7 @@
 
 Words are what ASCII white space separates. Two public vocabularies measure each text: a piece vocabulary that falls
 back to bytes, and a byte-level one. Both cut words apart anyway, so each different word is tokenised once and
-remembered in the Python worker. Characters per token, the share of fallback bytes and the entropy of the tokens
+remembered in the Python worker, and unknown words are tokenised many at a time. Characters per token, the share of fallback bytes and the entropy of the tokens
 (relative to the largest for that many) must lie in the bands of the text's language and main script. The bands are fitted
 to all documents that `labels` calls good; a language of which there are few has its script's wide ones. Each document is
 measured once, and the fitted bands are held against the stored measures.
@@ -15,6 +15,7 @@ their own row; an empty table gives an empty result; only the id, text and langu
 from __future__ import annotations
 
 import base64
+import re
 import unicodedata
 from dataclasses import dataclass, replace
 
@@ -68,6 +69,12 @@ QUANTILE = 0.005
 MORE_FALLBACK = 0.02
 # Fitted limits have steps of one to so many, which bounds the counts that a quantile is taken from.
 STEPS = 10000
+# Words that a worker remembers in each of two generations.
+MEMORY_WORDS = 200_000
+# Unknown words are tokenised so many at a time, joined by spaces, if no character in them can act across a space.
+AT_ONCE = 1000
+PLAIN = re.compile("[\x21-\x7e\u00c0-\u024f\u0386-\u03ce\u0400-\u0482\u048a-\u052f\u4e00-\u9fff ]*")
+SPACE = "\u2581"  # in pieces
 # Scripts by the first byte of a character in UTF-8.
 FIRST_BYTES = {
     "latin": [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)],
@@ -89,11 +96,17 @@ class Vocabularies:
 
     def __init__(self, pieces: str, ranks: str):
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())])
+        names = [self.pieces.id_to_piece(i) for i in range(self.pieces.vocab_size())]
+        self.is_byte = np.array([self.pieces.is_byte(i) for i in range(len(names))])
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.bytes = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.known = Memory()
+        # Tokens that begin a word; joined words are told apart by them, unless a piece goes on into the next word.
+        self.opens = np.array([name.startswith(SPACE) for name in names])
+        self.opens_bytes = np.zeros(max(table.values()) + 1, np.bool_)
+        self.opens_bytes[[rank for token, rank in table.items() if token.startswith(b" ")]] = True
+        self.apart = not any(SPACE in name[1:] and name.strip(SPACE) for name in names)
+        self.known = Memory(MEMORY_WORDS)
 
     def tokens(self, words: list[bytes]) -> tuple[np.ndarray, int]:
         """The words' pieces, and how many byte-level tokens they have."""
@@ -101,16 +114,43 @@ class Vocabularies:
         found = [young.get(w) or recall(w) for w in words]
         if None in found:
             new = list(dict.fromkeys([w for w, f in zip(words, found, strict=True) if f is None]))
-            texts = [w.decode() for w in new]
-            pieces = self.pieces.encode(texts, num_threads=1)
-            coarse = self.bytes.encode_ordinary
             made = {}
-            for word, text, ids in zip(new, texts, pieces, strict=True):
-                value = (np.array(ids, np.int32).tobytes(), len(coarse(" " + text)))
-                made[word] = self.known.keep(word, value)
+            for start in range(0, len(new), AT_ONCE):
+                part = new[start : start + AT_ONCE]
+                for word, value in zip(part, self.tokenised([w.decode() for w in part]), strict=True):
+                    made[word] = self.known.keep(word, value)
             found = [f or made[w] for w, f in zip(words, found, strict=True)]
         return np.frombuffer(b"".join([f[0] for f in found]), np.int32), sum([f[1] for f in found])
 
+    def tokenised(self, texts: list[str]) -> list[tuple[bytes, int]]:
+        """Of each word its pieces, as the bytes of an array, and its number of byte-level tokens."""
+        if not self.apart:
+            return self.one_by_one(texts)
+        if PLAIN.fullmatch(" ".join(texts)):
+            return self.joined(texts)
+        plain = [t for t in texts if PLAIN.fullmatch(t)]
+        odd = [t for t in texts if not PLAIN.fullmatch(t)]
+        made = dict(zip(plain + odd, self.joined(plain) + self.one_by_one(odd), strict=True))
+        return [made[t] for t in texts]
+
+    def joined(self, texts: list[str]) -> list[tuple[bytes, int]]:
+        if not texts:
+            return []
+        text = " ".join(texts)
+        ids, coarse = np.array(self.pieces.encode(text), np.int32), np.array(self.bytes.encode_ordinary(" " + text))
+        at, coarse_at = np.flatnonzero(self.opens[ids]), np.flatnonzero(self.opens_bytes[coarse])
+        if not len(at) == len(coarse_at) == len(texts):
+            return self.one_by_one(texts)
+        held = ids.tobytes()
+        cuts = [*(ids.itemsize * at).tolist(), len(held)]
+        counts = np.diff(coarse_at, append=len(coarse)).tolist()
+        return [(held[a:b], n) for a, b, n in zip(cuts, cuts[1:], counts)]
+
+    def one_by_one(self, texts: list[str]) -> list[tuple[bytes, int]]:
+        coarse = self.bytes.encode_ordinary
+        pieces = self.pieces.encode(texts, num_threads=1)
+        return [(np.array(ids, np.int32).tobytes(), len(coarse(" " + t))) for t, ids in zip(texts, pieces, strict=True)]
+
 
 def vocabularies(pieces: str, ranks: str) -> Vocabularies:
     return resident((pieces, ranks), lambda: Vocabularies(pieces, ranks))
