@@ -292,6 +292,50 @@ def test_every_repeated_run_of_lines_goes(spark):
     assert got[0].text.count("same ten") == 5
 
 
+def test_equal_digests_are_not_enough(spark):
+    """With digests of one byte many runs only seem to be equal: what goes has the bytes of the first copy."""
+    rnd = random.Random(15)
+    passage = [" ".join(rnd.choice("abcdefgh") * 3 + str(rnd.randrange(999)) for _ in range(14)) for _ in range(9)]
+    texts = []
+    for _ in range(80):
+        own = [" ".join(rnd.choice("ijklmnop") * 3 + str(rnd.randrange(9999)) for _ in range(rnd.randrange(9, 60))) for _ in range(12)]
+        texts.append("\n".join(own + passage * (rnd.randrange(8) == 0)))
+    df = odd_documents(spark, texts)
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    due = dict(brute_lines(rows, brute_runs))
+    places = line_dedup.repeated_runs(df, "doc_id", "text", 1)
+    assert places.count() > 300
+    for r in line_dedup.remove_repeats(df, size=1).collect():
+        left = collections.Counter(r.text.split("\n"))
+        left.subtract(due[r.doc_id].split("\n"))
+        assert min(left.values()) >= 0
+    whole = line_dedup.remove_repeats(df).collect()
+    assert {r.doc_id: r.text for r in whole} == due and sum(r["__lines_cut"] for r in whole) > 20
+
+
+def test_lines_that_differ_from_the_first_copy_stay():
+    lines = [(f"line{i} " * 20).strip().encode() for i in range(12)]
+    text = b"\n".join(lines)
+    assert line_dedup._cut(text, [{"start": 2, "past": 8, "body": b"\n".join(lines[2:8])}]) == (b"\n".join(lines[:2] + lines[8:]), 12, 6)
+    other = [*lines[2:5], b"another", *lines[6:8]]
+    assert line_dedup._cut(text, [{"start": 2, "past": 8, "body": b"\n".join(other)}]) == (b"\n".join(lines[:2] + lines[5:]), 12, 3)
+
+
+def test_stretches_cover_all_places_at_most_twice():
+    rnd = random.Random(16)
+    for _ in range(200):
+        places = []
+        for _ in range(rnd.randrange(1, 30)):
+            start = rnd.randrange(60)
+            first = {"__id": rnd.randrange(3), "__print": 1, "start": start + rnd.randrange(3)}
+            places.append({"start": start, "past": start + rnd.randrange(1, 9), "first": first})
+        given = {i for p in places for i in range(p["start"], p["past"])}
+        covered = collections.Counter(i for a, b, _ in line_dedup._stretches(places) for i in range(a, b))
+        assert set(covered) == given and max(covered.values()) <= 2
+        same = {(p["first"]["__id"], 1, p["start"] - p["first"]["start"]) for p in places}
+        assert {key for _, _, key in line_dedup._stretches(places)} <= same
+
+
 def test_blank_lines_are_read_once():
     text = b"w " * 60 + b"\n" * 200_000
     found = line_dedup.counted_runs(text)
