@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from watchmere.operators import alerts as A
+from watchmere.operators.boosted import train_boosted_trees
 from watchmere.operators.feedback import valid_feedback
 from watchmere.operators.retraining import Retraining
 from watchmere.plans.detection import Pipeline
@@ -81,3 +82,18 @@ def test_rules_read_the_days_of_the_windows(spark, attacked):
     days = spark.read.parquet(f"{pipeline.path}/recent").select(F.to_date("event_time").cast("string").alias("d")).distinct()
     assert {r.d for r in days.collect()} <= {"2024-01-19", "2024-01-20"}
     assert normal.count() + (attack.count() if attack is not None else 0) == vectors.count()
+
+
+def test_training_makes_its_rows_once(spark):
+    """What training rows are made from may be large joins: they are not run again in each pass over the rows."""
+    made = spark.sparkContext.accumulator(0)
+
+    def label(i):
+        made.add(1)
+        return i % 2
+
+    labels = F.udf(label, "int")("id")
+    rows = spark.range(80).repartition(2).select(F.array(F.col("id").cast("double"), F.rand(3)).alias("features"), labels.alias("label"))
+    model = train_boosted_trees(rows, ["a", "b"], rounds=2, depth=2)
+    assert made.value == 80
+    assert model.transform(rows.select("features")).count() == 80
