@@ -3,13 +3,15 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from watchmere.operators import alerts as A
-from watchmere.operators.boosted import train_boosted_trees
+from watchmere.operators.boosted import DEPTH, LEARNING_RATE, ROUNDS, train_boosted_trees
 from watchmere.operators.feedback import valid_feedback
 from watchmere.operators.retraining import Retraining
 from watchmere.plans.detection import Pipeline
+from watchmere.plans.queries import QUERIES
 from watchmere.session import scratch_path
 from watchmere.sources import projections as P
 
@@ -97,3 +99,26 @@ def test_training_makes_its_rows_once(spark):
     model = train_boosted_trees(rows, ["a", "b"], rounds=2, depth=2)
     assert made.value == 80
     assert model.transform(rows.select("features")).count() == 80
+
+
+def test_the_gate_trains_whole_models(spark, tmp_path, monkeypatch):
+    """A version that the gate lets through is asked for with as many trees, as deep, as any other model."""
+    asked, fit = [], GBTClassifier.fit
+
+    def short(self, rows):
+        # What was asked for is looked at; two trees are enough to go on with.
+        asked.append((self.getMaxIter(), self.getMaxDepth(), self.getStepSize(), self.getSubsamplingRate()))
+        return fit(self, rows, {self.maxIter: 2})
+
+    monkeypatch.setattr(GBTClassifier, "fit", short)
+    # Alerts of user 0 are true and those of user 1 false; user 1's own events have other alerts.
+    events = [(i, START + timedelta(days=2, minutes=i), 0, 1 if i % 2 == 0 else 3) for i in range(120)]
+    events += [(i, START + timedelta(days=2, minutes=i), 1, 4) for i in range(120, 123)]
+    rows = [(i, at, user, "click", 1.0, f'{{"k": {k}}}') for i, at, user, k in events]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    orders = [(i, i % 2, "O", 1.0, START, "5-LOW") for i in range(120)]
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    spark.createDataFrame(orders, schema).write.parquet(f"{tmp_path}/orders.parquet")
+    told = [tuple(r) for r in QUERIES["retraining_gate"](spark, str(tmp_path)).orderBy("step").collect()]
+    assert told == [(step, step == 0, "collecting", 0, "2.0.0") for step in range(3)]
+    assert asked == [(ROUNDS, DEPTH, LEARNING_RATE, 1.0)]
